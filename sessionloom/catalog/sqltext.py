@@ -55,3 +55,39 @@ FILINGS = """f as (select o_custkey as cik, o_orderpriority as concept,
     case o_orderstatus when 'F' then '10-K' when 'O' then '10-Q' else '8-K' end as form,
     cast(date_trunc('quarter', o_orderdate) - interval 1 day as date) as period_end,
     o_orderdate + interval '16 hours 5 minutes' as available_at, o_orderkey as accession, o_totalprice as value from orders)"""
+
+I = "over (partition by instrument_id order by session_ix)"
+
+
+def rows(n: int, end: int = 0) -> str:
+    last = f"{end} preceding" if end else "current row"
+    return f"over (partition by instrument_id order by session_ix rows between {n - 1 + end} preceding and {last})"
+
+
+def sess(n: int, end: int = 0) -> str:
+    last = f"{end} preceding" if end else "current row"
+    return f"over (partition by instrument_id order by session_ix range between {n - 1 + end} preceding and {last})"
+
+
+def lag(c: str, k: int) -> str:
+    return f"(case when session_ix - lag(session_ix,{k}) {I} = {k} then lag({c},{k}) {I} end)"
+
+
+def cont(n: int) -> str:
+    return f"(session_ix - lag(session_ix,{n - 1}) {I} = {n - 1})"
+
+
+def full(agg: str, n: int) -> str:
+    return f"(case when {cont(n)} then {agg} {rows(n)} end)"
+
+
+def needs(x: str, n: int, agg: str) -> str:
+    return f"(case when count({x}) {rows(n)} = {n} then {agg} {rows(n)} end)"
+
+
+def ret(k: int) -> str:
+    return f"(close/{lag('close', k)}-1)"
+
+
+def lr() -> str:
+    return f"ln(close/{lag('close', 1)})"

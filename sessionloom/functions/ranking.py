@@ -19,11 +19,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions.staging import cut
+
 BUCKETS = 16
 
 
 def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    return (
+    """Distinct values with their counts, stored once: every later pass reads this table."""
+    return cut(
         df.where(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -114,14 +117,44 @@ def nearest_rank(
     return pos.groupBy(*group).agg(F.max("_total").alias("n_group"), *aggs)
 
 
-def median_mad(df: DataFrame, group: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """Median and median absolute deviation (unscaled) per group (AGG-09)."""
-    counts = value_counts(df, group, value)
-    med = _pick(counts, group, {"med": 0.5}, buckets)
-    dev = (
-        counts.join(med.select(*group, "med"), list(group))
+def deviations(counts: DataFrame, centre: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Counts of absolute deviations from ``med``."""
+    return (
+        counts.join(centre.select(*group, "med"), list(group))
         .groupBy(*group, F.abs(F.col("_v") - F.col("med")).alias("_v"))
         .agg(F.sum("_n").alias("_n"))
     )
-    mad = _pick(dev, group, {"mad": 0.5}, buckets).drop("n_group")
+
+
+def median_mad(df: DataFrame, group: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+    """Median and median absolute deviation (unscaled) per group (AGG-09)."""
+    counts = value_counts(df, group, value)
+    med = cut(_pick(counts, group, {"med": 0.5}, buckets))
+    mad = _pick(deviations(counts, med, group), group, {"mad": 0.5}, buckets).drop("n_group")
     return med.join(mad, list(group))
+
+
+def winsorised_scores(
+    df: DataFrame, group: Sequence[str], value: str, low: float, high: float, buckets: int = BUCKETS
+) -> DataFrame:
+    """One row per (group, value): the winsorised value, its mid-rank after winsorising, median and MAD.
+
+    The median is inside the winsor edges, so one pass yields both edges and the centre.
+    """
+    group = list(group)
+    counts = value_counts(df, group, value)
+    edges = cut(_pick(counts, group, {"q_lo": low, "med": 0.5, "q_hi": high}, buckets))
+    clipped = counts.join(edges, group).withColumn("w", F.least("q_hi", F.greatest("q_lo", "_v")))
+    by_w = cut(clipped.groupBy(*group, F.col("w").alias("_v")).agg(F.sum("_n").alias("_n")))
+    mad = _pick(deviations(by_w, edges, group), group, {"mad": 0.5}, buckets).drop("n_group")
+    ranks = _positions(_binned(by_w, group, buckets), group).select(
+        *group,
+        F.col("_v").alias("w"),
+        F.col("_n").alias("n_tied"),
+        (F.col("_lt") + (F.col("_n") + 1) / 2.0).alias("midrank"),
+    )
+    return (
+        clipped.select(*group, F.col("_v").alias(value), "w", "med", "n_group")
+        .join(ranks, [*group, "w"])
+        .join(mad, group)
+    )
