@@ -71,10 +71,11 @@ def reasons(*pairs: tuple[Column, str]) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, code in pairs])))
 
 
-def first_failing(*pairs: tuple[Column, str], ok: str) -> Column:
+def first_failing(*pairs: tuple[Column, str | Column], ok: str) -> Column:
     """Ordered ladder: the first condition that holds names the outcome."""
     out = None
     for cond, code in pairs:
+        code = F.lit(code) if isinstance(code, str) else code
         out = F.when(cond, code) if out is None else out.when(cond, code)
     return out.otherwise(ok)
 

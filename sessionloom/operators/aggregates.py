@@ -13,8 +13,8 @@ def count_if(cond: Column) -> Column:
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a grand-total aggregate: exactly one row by construction, so it is safe to broadcast."""
-    return df.crossJoin(F.broadcast(one_row))
+    """Add the columns of a grand-total aggregate as scalar subqueries: one value each, no join."""
+    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
 
 
 def chronological_halves(df: DataFrame, order: str = "session_ix") -> DataFrame:
@@ -72,3 +72,124 @@ def multiset_fingerprint(row_text: Column) -> list[Column]:
 def top_share(df: DataFrame, group: list[str], value: str, order: list[Column]) -> DataFrame:
     """AGG-31: largest absolute contribution over the sum of absolute contributions."""
     return df.groupBy(*group).agg(ratio(F.max(F.abs(value)), F.sum(F.abs(value))).alias("top_share"))
+
+
+def market_summary(df: DataFrame, by: list[str], buckets: int = 16) -> DataFrame:
+    """AGG-02: advancers / decliners / unchanged, ratios, up / down volume, mean, median, shares of returns ``r1``."""
+    from sessionloom.functions.ranking import quantiles
+
+    r = F.col("r1")
+    base = df.where(r.isNotNull()).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(r > 0).alias("advancers"), F.count_if(r < 0).alias("decliners"),
+        F.count_if(r == 0).alias("unchanged"), F.sum(F.when(r > 0, F.col("volume")).otherwise(0.0)).alias("up_volume"),
+        F.sum(F.when(r < 0, F.col("volume")).otherwise(0.0)).alias("down_volume"), F.avg(r).alias("mean_return"))
+    med = quantiles(df, by, "r1", {"median_return": 0.5}, buckets).drop("n_group")
+    return base.join(med, by).select(
+        *by, "n", "advancers", "decliners", "unchanged",
+        ratio("advancers", "decliners").alias("ad_ratio"), ratio("up_volume", "down_volume").alias("volume_ratio"),
+        "mean_return", "median_return", (F.col("advancers") / F.col("n")).alias("advancer_share"))
+
+
+def dedupe(df: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """AGG-03: exact duplicates collapse to one row, conflicting ones are counted and carry no row."""
+    sig = F.struct(*fields)
+    g = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"), F.min(sig).alias("_lo"), F.max(sig).alias("_hi"))
+    same = F.col("_lo").eqNullSafe(F.col("_hi"))
+    return g.select(
+        *key, "n_rows",
+        F.when(~same, "conflicting").when(F.col("n_rows") > 1, "exact_duplicate").otherwise("unique").alias("status"),
+        *[F.when(same, F.col(f"_lo.{f}")).alias(f) for f in fields])
+
+
+def claims(df: DataFrame, owner: str, claimed: str, out: str) -> DataFrame:
+    """AGG-05 / AGG-06: how many distinct ``owner`` values claim one ``claimed`` value.
+
+    Two grouped counts instead of a window, so a value shared by millions of rows stays a small row.
+    """
+    return df.select(owner, claimed).distinct().groupBy(claimed).agg(F.count(F.lit(1)).alias(out))
+
+
+def coverage_gate(value: Column, actual: Column, total: Column, floor: float, minimum: int) -> tuple[Column, Column]:
+    """AGG-07: the value, or null with the reason it is missing."""
+    cov = actual / total
+    reason = (
+        F.when(cov < floor, "insufficient_coverage").when(actual < minimum, "insufficient_observations")
+        .when(value.isNull(), "zero_denominator"))
+    return F.when(reason.isNull(), value), reason
+
+
+def split_product(df: DataFrame, key: list[str]) -> DataFrame:
+    """AGG-12: multiply numerators and denominators apart, divide once."""
+    return df.groupBy(*key).agg((F.product("split_from") / F.product("split_to")).alias("factor"), F.count(F.lit(1)).alias("n_actions"))
+
+
+def top_decile_share(df: DataFrame, by: list[str], value: str, minimum: int, buckets: int = 16) -> DataFrame:
+    """AGG-15: share of the positive sum held by the ceil(n / 10) largest, ties broken by value.
+
+    Works on (value, count, position) so the winners of a session are never sorted in one task.
+    """
+    from sessionloom.functions.ranking import rank_table
+
+    ranks = rank_table(df.where(F.col(value) > 0), by, value, buckets)
+    n, top = F.col("n_group"), F.ceil(F.col("n_group") / 10)
+    above = n - F.col("n_lower") - F.col("n_tied")
+    taken = F.greatest(F.lit(0), F.least(F.col("n_tied"), top - above))
+    g = ranks.groupBy(*by).agg(
+        F.max(n).alias("n_positive"), F.sum(F.col(value) * taken).alias("_top"), F.sum(F.col(value) * F.col("n_tied")).alias("_all"))
+    return g.select(*by, "n_positive", F.when(F.col("n_positive") >= minimum, ratio("_top", "_all")).alias("concentration"))
+
+
+def distribution_report(df: DataFrame, by: list[str], value: str, buckets: int = 16) -> DataFrame:
+    """AGG-22: quantiles, extremes, distinct count, tie excess and the share outside three IQRs."""
+    from sessionloom.functions.ranking import _pick, value_counts
+
+    counts = value_counts(df, by, value)
+    q = _pick(counts, by, {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}, buckets)
+    iqr = F.col("p75") - F.col("p25")
+    out = (F.col("_v") < F.col("p25") - 3 * iqr) | (F.col("_v") > F.col("p75") + 3 * iqr)
+    qs = ["p01", "p05", "p25", "p50", "p75", "p95", "p99"]
+    return counts.join(q, by).groupBy(*by).agg(
+        *[F.max(c).alias(c) for c in qs], F.min("_v").alias("lowest"), F.max("_v").alias("highest"),
+        F.sum("_n").alias("n"), F.count(F.lit(1)).alias("n_distinct"), (F.sum("_n") - F.count(F.lit(1))).alias("tie_excess"),
+        (F.sum(F.when(out, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("outlier_rate"))
+
+
+def concentration(df: DataFrame, by: list[str], part: str, top: int = 10) -> DataFrame:
+    """AGG-23: largest share, top-k share and Herfindahl of the counts of ``part``.
+
+    The k largest parts are kept by a mergeable top-k, so the parts of one group are never sorted together.
+    """
+    parts = df.groupBy(*by, part).agg(F.count(F.lit(1)).alias("_n"))
+    total = parts.groupBy(*by).agg(F.sum("_n").alias("_t"), F.sum(F.col("_n").cast("double") * F.col("_n")).alias("_sq"), F.max("_n").alias("_m"), F.count(F.lit(1)).alias("n_parts"))
+    best = parts.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_n"), part))).where(F.col("_rn") <= top)
+    best = best.groupBy(*by).agg(F.sum("_n").alias("_k"))
+    return total.join(best, by).select(
+        *by, "n_parts", (F.col("_m") / F.col("_t")).alias("max_share"), (F.col("_k") / F.col("_t")).alias("top_share"),
+        (F.col("_sq") / F.col("_t") / F.col("_t")).alias("herfindahl"))
+
+
+def unpivot(df: DataFrame, ids: list[str], columns: list[str], name: str = "factor_id", value: str = "value") -> DataFrame:
+    return df.unpivot(ids, columns, name, value)
+
+
+def rank_ic(df: DataFrame, by: list[str], factor: str, target: str, minimum: int = 2) -> DataFrame:
+    """AGG-17: Spearman with mid-ranks per group, from two distributed rankings."""
+    from sessionloom.functions.ranking import rank_table
+
+    both = df.where(F.col(factor).isNotNull() & F.col(target).isNotNull())
+    f = rank_table(both, by, factor).select(*by, factor, F.col("midrank").alias("_rf"))
+    g = rank_table(both, by, target).select(*by, target, F.col("midrank").alias("_rt"))
+    return both.join(f, [*by, factor]).join(g, [*by, target]).groupBy(*by).agg(*[
+        c.alias(a) for c, a in zip(pearson("_rf", "_rt", minimum), ("n_obs", "ic"))])
+
+
+def partial_rank_ic(df: DataFrame, by: list[str], factor: str, target: str, control: str) -> DataFrame:
+    """AGG-18: partial Spearman in closed form from three rank correlations."""
+    from sessionloom.functions.ranking import rank_table
+
+    d = df.where(F.col(factor).isNotNull() & F.col(target).isNotNull() & F.col(control).isNotNull())
+    for c, a in ((factor, "_x"), (target, "_y"), (control, "_z")):
+        d = d.join(rank_table(d, by, c).select(*by, c, F.col("midrank").alias(a)), [*by, c])
+    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_obs"), F.corr("_x", "_y").alias("xy"), F.corr("_x", "_z").alias("xz"), F.corr("_y", "_z").alias("yz"))
+    den = (1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz"))
+    return g.select(*by, "n_obs", F.col("xy").alias("ic"), F.when(den > 1e-12, (F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt(den)).alias("partial_ic"))
