@@ -57,12 +57,12 @@ def _(t):
     return bars(t).select(*ID, rnd(N.ratio(c("close") - c("low"), c("high") - c("low"))).alias("clv"), F.when(c("high") == c("low"), "zero_signal_session_range").alias("reason"))
 
 
-@query("sca_06_factor_reconcile", f"""with {B()}, d as (select {IDS}, close, {lag('close', 1)} as pc, close*0.01 as cash from b) select {IDS}, {R('(pc-cash)/pc')} as backward_factor, {R('close*((pc-cash)/pc)/((pc-cash)/pc)', 4)} as restored,
- case when pc is null then 'not_comparable' when (pc-cash)/pc=0.99 then 'exact' when (pc-cash)/pc=0 then 'not_comparable' when abs(0.99/((pc-cash)/pc)-1)<=0.01 then 'within_tolerance' else 'mismatch' end as verdict from d""")
+@query("sca_06_factor_reconcile", f"""with {B()}, d as (select {IDS}, close, {lag('close', 1)} as pc, close*0.01::double as cash from b) select {IDS}, {R('(pc-cash)/pc')} as backward_factor, {R('close*((pc-cash)/pc)/((pc-cash)/pc)', 8)} as restored,
+ case when pc is null then 'not_comparable' when (pc-cash)/pc=0.99::double then 'exact' when (pc-cash)/pc=0 then 'not_comparable' when abs(0.99::double/((pc-cash)/pc)-1)<=0.01 then 'within_tolerance' else 'mismatch' end as verdict from d""")
 def _(t):
     d = bars(t).select(*ID, "close", W.lagged("close", 1).alias("pc"), (F.col("close") * 0.01).alias("cash"))
     f = (F.col("pc") - F.col("cash")) / F.col("pc")
-    return d.select(*ID, rnd(f).alias("backward_factor"), rnd(F.col("close") * f / f, 4).alias("restored"), S.factor_reconcile(F.lit(0.99), f, 0.01).alias("verdict"))
+    return d.select(*ID, rnd(f).alias("backward_factor"), rnd(F.col("close") * f / f, 8).alias("restored"), S.factor_reconcile(F.lit(0.99), f, 0.01).alias("verdict"))
 
 
 ASSUMPTIONS = [dict(name="low", coefficient=0.5, commission=0.5, half_spread=1.0, delay=0.5), dict(name="base", coefficient=0.8, commission=1.0, half_spread=2.0, delay=1.0), dict(name="stress", coefficient=1.2, commission=2.0, half_spread=5.0, delay=3.0)]
@@ -96,7 +96,7 @@ def _(t):
     return l.groupBy("session_ix").agg(F.count_if(c("close").between(c("limit_down"), c("limit_up"))).alias("n_inside"), F.count_if(c("close") > c("limit_up")).alias("n_above"), F.count_if(c("close") < c("limit_down")).alias("n_below"))
 
 
-@query("sca_10_ex_right_reference", f"""with {B()}, p as (select {IDS}, {lag('close', 1)} as pc, instrument_id%4*0.1 as bonus, instrument_id%3*0.2 as rr, close from b) select {IDS}, {R('(pc-1.5+8.0*rr)/(1+rr+bonus)')} as reference, {R('close/((pc-1.5+8.0*rr)/(1+rr+bonus))-1')} as step_error from p""")
+@query("sca_10_ex_right_reference", f"""with {B()}, p as (select {IDS}, {lag('close', 1)} as pc, (instrument_id%4)*0.1::double as bonus, (instrument_id%3)*0.2::double as rr, close from b) select {IDS}, {R('(pc-1.5::double+8.0::double*rr)/(1+rr+bonus)')} as reference, {R('close/((pc-1.5::double+8.0::double*rr)/(1+rr+bonus))-1')} as step_error from p""")
 def _(t):
     k = F.col("instrument_id")
     ref = S.ex_right_reference(F.col("pc"), F.lit(1.5), F.lit(8.0), k % 3 * 0.2, k % 4 * 0.1)
