@@ -110,13 +110,6 @@ def daily_composite(t):
     return e.select("universe_id", "session_ix", F.least(F.lit(100.0), F.round(F.col("v") * 2, 4)).alias("score"))
 
 
-@query("job_08_market_state")
-def _(t):
-    from sessionloom.streaming.folds import state_history
-
-    return state_history(daily_composite(t), first=1, last=30)
-
-
 @query("job_09_state_explanation", f"""with {_composite_sql()} select session_ix, {R('regime_score-70', 4)} as to_risk_on, {R('regime_score-50', 4)} as to_balanced, {R('regime_score-30', 4)} as to_defensive,
  array_to_string(list_sort(list_filter([{','.join(f"case when {d}_score>=60 then '{d}' end" for d in DIMENSIONS)}], lambda x: x is not null)),'|') as supporting,
  array_to_string(list_sort(list_filter([{','.join(f"case when {d}_score<=40 then '{d}' end" for d in DIMENSIONS)}], lambda x: x is not null)),'|') as conflicting from cp""")

@@ -77,11 +77,11 @@ def _(t):
     return good.select(F.lit("mapped").alias("outcome"), "kind").unionAll(issues.select("issue", "kind")).groupBy("outcome", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src_11_day_aggregates", f"with {B()} select session_ix, 'S'||instrument_id as ticker, volume, {R('close', 6)} as close, trades as transactions from b")
+@query("src_11_day_aggregates", f"with {B()} select session_ix, 'S'||instrument_id as ticker, volume, {R('close', 8)} as close, trades as transactions from b")
 def _(t):
     line = F.concat_ws(",", F.concat(F.lit("S"), "instrument_id"), "volume", "open", "close", "high", "low", F.lit(0), "trades")
     lines = bars(t).select("session_ix", line.alias("body"))
-    return G.day_aggregates(lines, "body", ["session_ix"]).select("session_ix", "ticker", "volume", rnd("close", 6).alias("close"), "transactions")
+    return G.day_aggregates(lines, "body", ["session_ix"]).select("session_ix", "ticker", "volume", rnd("close", 8).alias("close"), "transactions")
 
 
 def facts_docs(t):

@@ -34,6 +34,7 @@ def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 
 
 def _binned(counts: DataFrame, group: Sequence[str], buckets: int) -> DataFrame:
+    buckets = max(buckets, 2)
     steps = [i / buckets for i in range(1, buckets)]
     stats = counts.groupBy(*group).agg(
         F.percentile_approx("_v", steps, 1000).alias("_edges"), F.sum("_n").alias("_total")

@@ -9,50 +9,63 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from sessionloom.functions.numeric import col, ratio, sorted_middle
 
 ANNUAL = 252.0
-BY = Window.partitionBy("instrument_id").orderBy("session_ix")
 
 
-def rows(n: int, end: int = 0, by=BY):
+def series() -> WindowSpec:
+    """One instrument in session order."""
+    return Window.partitionBy("instrument_id").orderBy("session_ix")
+
+
+def __getattr__(name: str):
+    # a window needs a running session, so the shared one is built on use, not on import
+    if name == "BY":
+        return series()
+    raise AttributeError(name)
+
+
+def rows(n: int, end: int = 0, by=None):
     """The last ``n`` rows ending ``end`` rows before the current one."""
-    return by.rowsBetween(-(n - 1) - end, -end)
+    return (by or series()).rowsBetween(-(n - 1) - end, -end)
 
 
-def sessions(n: int, end: int = 0, by=BY):
+def sessions(n: int, end: int = 0, by=None):
     """The last ``n`` sessions ending ``end`` sessions before the current one."""
-    return by.rangeBetween(-(n - 1) - end, -end)
+    return (by or series()).rangeBetween(-(n - 1) - end, -end)
 
 
-def lagged(x: str | Column, k: int, by=BY) -> Column:
+def lagged(x: str | Column, k: int, by=None) -> Column:
     """Value exactly ``k`` sessions ago; null when that session has no bar."""
+    by = by or series()
     return F.when(F.col("session_ix") - F.lag("session_ix", k).over(by) == k, F.lag(col(x), k).over(by))
 
 
-def contiguous(n: int, by=BY) -> Column:
+def contiguous(n: int, by=None) -> Column:
     """The last ``n`` sessions all have a bar."""
-    return F.col("session_ix") - F.lag("session_ix", n - 1).over(by) == n - 1
+    return F.col("session_ix") - F.lag("session_ix", n - 1).over(by or series()) == n - 1
 
 
-def full(agg: Column, n: int, by=BY) -> Column:
+def full(agg: Column, n: int, by=None) -> Column:
     return F.when(contiguous(n, by), agg.over(rows(n, by=by)))
 
 
-def simple_return(k: int, by=BY) -> Column:
+def simple_return(k: int, by=None) -> Column:
     return F.col("close") / lagged("close", k, by) - 1
 
 
-def add_returns(df: DataFrame, lags=(1, 5, 20), by=BY) -> DataFrame:
+def add_returns(df: DataFrame, lags=(1, 5, 20), by=None) -> DataFrame:
     return df.select("*", *[simple_return(k, by).alias(f"r{k}") for k in lags])
 
 
-def add_log_return(df: DataFrame, by=BY) -> DataFrame:
+def add_log_return(df: DataFrame, by=None) -> DataFrame:
     return df.withColumn("lr", F.log(F.col("close") / lagged("close", 1, by)))
 
 
-def needs(x: str, n: int, agg: Column, by=BY) -> Column:
+def needs(x: str, n: int, agg: Column, by=None) -> Column:
     """``agg`` over the last n rows when all n values of ``x`` are present."""
     return F.when(F.count(x).over(rows(n, by=by)) == n, agg.over(rows(n, by=by)))
 
@@ -192,7 +205,7 @@ def up_run(df: DataFrame, cap: int = 5) -> DataFrame:
     """WIN-16: consecutive rising closes ending here, capped."""
     up = F.coalesce(F.col("close") > lagged("close", 1), F.lit(False))
     df = df.withColumn("_up", up.cast("int"))
-    isle = F.sum(1 - F.col("_up")).over(BY.rowsBetween(Window.unboundedPreceding, 0))
+    isle = F.sum(1 - F.col("_up")).over(series().rowsBetween(Window.unboundedPreceding, 0))
     df = df.withColumn("_isle", isle)
     run = F.sum("_up").over(Window.partitionBy("instrument_id", "_isle").orderBy("session_ix"))
     return df.withColumn("up_run", F.least(run, F.lit(cap)).cast("int")).drop("_up", "_isle")

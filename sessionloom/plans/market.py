@@ -82,6 +82,12 @@ def member_metrics(members: DataFrame, n_members: int | Column, min_obs: int, mi
     )
 
 
+def _weighted(score: Column, weight: Column) -> Column:
+    """score * weight / 100 to four digits, half-even on exact decimals (a binary product can miss a tie)."""
+    exact = score.cast("decimal(14,10)") * weight.cast("decimal(7,4)") * F.lit("0.01").cast("decimal(3,2)")
+    return F.bround(exact, 4).cast("double")
+
+
 def composite(metrics: DataFrame) -> DataFrame:
     """JOB-07: normalise, spread weights over available metrics, null when a floor fails."""
     df = metrics
@@ -91,14 +97,14 @@ def composite(metrics: DataFrame) -> DataFrame:
         total = F.lit(0.0)
         for (m, method, low, high, center, _), eff in zip(items, weights):
             score = quantise(normalised(m, method, low, high, center), 10)
-            total = total + F.coalesce(quantise(score * eff / 100.0), F.lit(0.0))
+            total = total + F.coalesce(_weighted(score, eff), F.lit(0.0))
         df = df.withColumn(f"{dim}_score", F.when(have >= MINIMUM_DIMENSION_WEIGHT, quantise(total)))
     parts = [(d, w, F.col(f"{d}_score")) for d, (w, _) in DIMENSIONS.items()]
     weight = sum((F.when(s.isNotNull(), w).otherwise(0) for _, w, s in parts), F.lit(0))
     needed = F.lit(True)
     for d in REQUIRED_DIMENSIONS:
         needed = needed & F.col(f"{d}_score").isNotNull()
-    value = sum((F.coalesce(quantise(s * w / 100.0), F.lit(0.0)) for _, w, s in parts), F.lit(0.0))
+    value = sum((F.coalesce(_weighted(s, F.lit(w)), F.lit(0.0)) for _, w, s in parts), F.lit(0.0))
     return df.select("*", weight.alias("weight_available"), F.when((weight >= MINIMUM_COMPOSITE_WEIGHT) & needed, quantise(value)).alias("regime_score"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GROUPED = "results array<struct<T:string,o:double,h:double,l:double,c:double,v:double,n:bigint,t:bigint>>"
+GROUPED_NAMED = "array<struct<ticker:string,open:double,high:double,low:double,close:double,volume:double,trades:bigint,millis:bigint>>"
 SUBMISSIONS = "accession array<string>, form array<string>, accepted array<string>"
 FACTS = "cik bigint, facts map<string,map<string,struct<units:map<string,array<struct<accn:string,val:double,`end`:string>>>>>>"
 CSV_BARS = "ticker string, volume double, open double, close double, high double, low double, window_start bigint, transactions bigint"
@@ -15,9 +16,9 @@ ACTION = "id string, kind string, ticker string, ex_ix int, split_from double, s
 def grouped_daily(payloads: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """SRC-08: grouped-daily JSON pages to one row per raw bar."""
     parsed = payloads.select(*keep, F.from_json(text, GROUPED, {"mode": "PERMISSIVE"}).alias("_p"))
-    return parsed.select(*keep, F.explode_outer("_p.results").alias("_r")).select(
-        *keep, F.col("_r.T").alias("ticker"), F.col("_r.o").alias("open"), F.col("_r.h").alias("high"), F.col("_r.l").alias("low"),
-        F.col("_r.c").alias("close"), F.col("_r.v").alias("volume"), F.col("_r.n").alias("trades"), F.col("_r.t").alias("millis"))
+    # keys T and t differ only in case, so fields are renamed by position before they are read
+    named = F.col("_p.results").cast(GROUPED_NAMED)
+    return parsed.select(*keep, F.explode_outer(named).alias("_r")).select(*keep, "_r.*")
 
 
 def day_aggregates(lines: DataFrame, text: str, keep: list[str]) -> DataFrame:
