@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.numeric import ratio
+from sessionloom.functions.staging import cut
 
 
 def count_if(cond: Column) -> Column:
@@ -79,7 +80,8 @@ def market_summary(df: DataFrame, by: list[str], buckets: int = 16) -> DataFrame
     from sessionloom.functions.ranking import quantiles
 
     r = F.col("r1")
-    base = df.where(r.isNotNull()).groupBy(*by).agg(
+    df = cut(df.where(r.isNotNull()).select(*by, "r1", "volume"))
+    base = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(r > 0).alias("advancers"), F.count_if(r < 0).alias("decliners"),
         F.count_if(r == 0).alias("unchanged"), F.sum(F.when(r > 0, F.col("volume")).otherwise(0.0)).alias("up_volume"),
         F.sum(F.when(r < 0, F.col("volume")).otherwise(0.0)).alias("down_volume"), F.avg(r).alias("mean_return"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.functions.staging import cut
 from sessionloom.operators.aggregates import multiset_fingerprint
 
 KEY = ["instrument_id", "session_ix"]
@@ -35,8 +36,8 @@ def publish_sessions(new: DataFrame, root: str, schema: str, fields: list[str])
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
     stored = read_sessions(spark, root, schema) if exists else spark.createDataFrame([], schema)
-    plan = publish_plan(new, stored, fields).persist()
+    # stored before the append: a cached plan over the same folder would be refreshed by the write
+    plan = cut(publish_plan(new, stored, fields))
     fresh = new.join(plan.where("action = 'write'").select("session_ix"), "session_ix", "left_semi")
-    plan.count()
     fresh.repartition("session_ix").write.mode("append").partitionBy("session_ix").parquet(root)
     return plan
