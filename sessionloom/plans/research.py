@@ -174,3 +174,61 @@ def cohorts(features: DataFrame) -> DataFrame:
         rec = c("above_prior_close") if g["recovery"] == "close" else c("above_prior_high")
         roles.append(F.struct(F.lit(i).alias("combo"), cohort_role(c("rs") >= floor, depth, rec, c("volume_ratio") <= g["volume_cap"], c("usable"), c("member")).alias("role")))
     return features.withColumn("_r", F.explode(F.array(*roles))).select(*features.columns, "_r.combo", "_r.role")
+
+
+def slope_bootstrap(series: DataFrame, trial: str, x: str, y: str, replicates: int, block: int, seed: str) -> DataFrame:
+    """INF-02: circular block bootstrap of a regression slope.
+
+    A slope needs five sums, and each is a sum over blocks, so a replicate adds precomputed block sums.
+    """
+    pair = F.struct("session_ix", F.col(x).alias("x"), F.col(y).alias("y"))
+    one = series.groupBy(trial).agg(F.array_sort(F.collect_list(pair)).alias("a"), F.regr_slope(y, x).alias("slope")).withColumn("n", F.size("a"))
+    terms = {"sx": lambda p: p["x"], "sy": lambda p: p["y"], "sxx": lambda p: p["x"] * p["x"], "sxy": lambda p: p["x"] * p["y"]}
+    rest = F.col("n") % block
+
+    def sums(term, length):
+        return F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda s: F.aggregate(
+            F.sequence(s, s + length - 1), F.lit(0.0), lambda acc, j: acc + term(F.get(F.col("a"), j % F.col("n")))))
+
+    one = one.select(trial, "n", "slope", *[sums(f, F.lit(block)).alias(f"full_{k}") for k, f in terms.items()],
+                     *[F.when(rest > 0, sums(f, rest)).alias(f"tail_{k}") for k, f in terms.items()])
+    reps = one.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(trial, "rep")
+
+    def start(k):
+        key = F.concat_ws("|", F.lit(seed), F.col(trial), F.col("rep"), k)
+        return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % F.col("n")).cast("int")
+
+    whole = F.floor(F.col("n") / block).cast("int")
+    reps = reps.withColumn("_at", F.transform(F.sequence(F.lit(0), whole), start))
+
+    def total(k):
+        body = F.aggregate(F.slice("_at", F.lit(1), whole), F.lit(0.0), lambda acc, s: acc + F.get(f"full_{k}", s))
+        return (body + F.when(rest > 0, F.get(f"tail_{k}", F.get("_at", whole))).otherwise(0.0)).alias(k)
+
+    cols = [total(k) for k in terms]
+    s = reps.select(trial, "rep", "n", "slope", *cols)
+    den = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
+    return s.select(trial, "rep", "slope", F.when(den > 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / den).alias("boot"))
+
+
+def correlation_matrix(panel: DataFrame, columns: list[str]) -> DataFrame:
+    """AGG-25: pooled Pearson matrix over complete rows, one aggregation for all pairs."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    g = panel.dropna(subset=columns).agg(F.count(F.lit(1)).alias("n"), *[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    tall = g.unpivot(["n"], [f"{a}|{b}" for a, b in pairs], "pair", "corr")
+    return tall.select(F.substring_index("pair", "|", 1).alias("a"), F.substring_index("pair", "|", -1).alias("b"), "n", "corr")
+
+
+def role_capped(df: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """TOP-08: best per related group, then a cap per role; a risk factor needs a selected alpha."""
+    from sessionloom.operators.topk import top_n
+
+    order = [F.desc("score"), F.col("factor_id")]
+    best = top_n(df, ["related"], order, 1, "_g")
+    kept = top_n(best, ["role"], order, max(caps.values()), "role_rank")
+    ok = F.lit(False)
+    for role, cap in caps.items():
+        ok = ok | ((F.col("role") == role) & (F.col("role_rank") <= cap))
+    kept = kept.where(ok)
+    has_alpha = F.max((F.col("role") == "alpha").cast("int")).over(Window.partitionBy())
+    return kept.withColumn("_a", has_alpha).where((F.col("role") != "risk") | (F.col("_a") == 1)).drop("_a", "_g")
