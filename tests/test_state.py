@@ -98,3 +98,28 @@ def test_capped_selection_equals_greedy_walk(spark, seed):
     got = {r.instrument_id: r.outcome for r in out.collect()}
     want = greedy(rows, 10, 3)
     assert got == want
+
+
+def stage_run(asks):
+    from sessionloom.streaming import stages
+
+    state, out = stages.START, []
+    for a in asks:
+        rules = None if a is None else {s: a.get(s) for s in ("none", "watch", "prepare", "enter", "invalidated")}
+        state, status = stages.step(state, rules)
+        out.append((state[0], status))
+    return out
+
+
+def test_stage_confirmation_and_missing_hold():
+    listed, up = {"none": "not_listed_to_watch"}, {"watch": "watch_to_prepare"}
+    assert stage_run([listed, up, up]) == [("watch", "listed"), ("watch", "pending"), ("prepare", "switched")]
+    assert stage_run([listed, up, {}, up]) == [("watch", "listed"), ("watch", "pending"), ("watch", "pending_reversed"), ("watch", "pending")]
+    assert stage_run([listed, up, None, up])[-1] == ("prepare", "switched")
+    assert stage_run([listed, None, None]) == [("watch", "listed"), ("watch", "unavailable_stale"), (None, "unavailable_null")]
+
+
+def test_stage_rule_change_restarts_the_counter():
+    asks = [{"none": "not_listed_to_watch"}, {"watch": "watch_to_prepare"}, {"watch": "watch_to_prepare"}, {"prepare": "prepare_to_enter"}, {"prepare": "prepare_to_watch"}, {"prepare": "prepare_to_watch"}]
+    assert [x[0] for x in stage_run(asks)] == ["watch", "watch", "prepare", "prepare", "prepare", "watch"]
+    assert stage_run([asks[0], {"watch": "active_to_invalidated"}])[-1] == ("invalidated", "invalidated")
