@@ -105,13 +105,13 @@ def _(t):
 
 
 @query("sca_11_session_arithmetic", """with f as (select o_orderkey, cast(o_orderdate as date) as d from orders), x as (select *, cast(floor(date_diff('day', date '1995-01-02', d)/7.0) as int)+1 as ix from f)
- select o_orderkey, ix as at_or_before, cast(case when date_diff('day', date '1995-01-02', d)%7=0 then ix-1 else ix end as int) as previous_ix, cast(ix+1 as int) as next_ix, cast(ix-5 as int) as fifth_before, date '1995-01-02' + (ix-1)*7 + interval '14 hours 30 minutes' as open_utc from x""")
+ select o_orderkey, ix as at_or_before, cast(case when date_diff('day', date '1995-01-02', d)%7=0 then ix-1 else ix end as int) as previous_ix, cast(ix+1 as int) as next_ix, cast(ix-5 as int) as fifth_before, strftime(date '1995-01-02' + (ix-1)*7 + interval '14 hours 30 minutes','%Y-%m-%d %H:%M:%S') as open_utc from x""")
 def _(t):
     d = F.datediff("o_orderdate", F.lit("1995-01-02"))
     ix = (F.floor(d / 7) + 1).cast("int")
     day = F.date_add(F.lit("1995-01-02").cast("date"), (ix - 1) * 7)
     return t.orders.select("o_orderkey", ix.alias("at_or_before"), F.when(d % 7 == 0, ix - 1).otherwise(ix).alias("previous_ix"), (ix + 1).alias("next_ix"), (ix - 5).alias("fifth_before"),
-                           (day.cast("timestamp_ntz") + F.expr("INTERVAL 14 HOURS 30 MINUTES")).alias("open_utc"))
+                           F.date_format(day.cast("timestamp_ntz") + F.expr("INTERVAL 14 HOURS 30 MINUTES"), "yyyy-MM-dd HH:mm:ss").alias("open_utc"))
 
 
 @query("sca_12_freshness", f"""with {B()}, l as (select instrument_id, max(session_ix) as last_ix from b group by 1) select instrument_id, 357-last_ix as lag_sessions, case when last_ix=357 then 'fresh' when last_ix>=355 then 'stale' else 'unavailable' end as freshness from l""")
