@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, urls
+from . import ctph, mixing, pieces, tokens, urls
 from .common import table
 
 
@@ -22,6 +22,14 @@ select page_id, host, path, split_part(hit, '|', 1) as rule, coalesce(split_part
 """
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -46,5 +54,9 @@ select doc_id, size, source_size, target,
 from p
 """
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op8_source_mix": op8_source_mix}
+def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.section_tokens(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_url_filters": op1_url_filters, "op5_sentencepiece": op5_sentencepiece, "op7_piecewise_hash": op7_piecewise_hash, "op8_source_mix": op8_source_mix, "op10_section_tokens": op10_section_tokens}
 ORACLES = {"op1_url_filters": OP1, "op8_source_mix": OP8}
