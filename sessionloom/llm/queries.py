@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ctph, mixing, pieces, tokens, urls
+from . import ctph, lines, mixing, pieces, tokens, topk, urls
 from .common import table
 
 
@@ -22,6 +23,40 @@ select page_id, host, path, split_part(hit, '|', 1) as rule, coalesce(split_part
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_repeats(table(spark, sf_dir, "documents"))
+
+
+OP2 = r"""
+with l as (select doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as i from documents),
+w as (select *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t, len(regexp_extract_all(line, '[^ 	-]+')) as n from l),
+f as (select *, row_number() over (partition by doc_id order by i) as p, sum(n) over (partition by doc_id order by i) as total from w where n > 0),
+e as (select a.doc_id, a.i, a.p, a.total - a.n as before, b.i as last, b.p as q
+      from f a asof join f b on a.doc_id = b.doc_id and a.total - a.n + 50 <= b.total),
+lists as (select doc_id, list(t order by p) as ts from f group by doc_id),
+k as (select e.doc_id, e.i as first, e.last, md5(list_slice(ts, e.p, e.q)::varchar) as h from e join lists using (doc_id)),
+o as (select *, row_number() over (partition by h order by doc_id, first) as r from k),
+g as (select distinct l.doc_id, l.i from o join l on l.doc_id = o.doc_id and l.i between o.first and o.last where o.r > 1),
+z as (select l.doc_id, count(g.i) as deleted, coalesce(string_agg(l.line, chr(10) order by l.i) filter (g.i is null), '') as text, count(*) as lines
+      from l left join g on g.doc_id = l.doc_id and g.i = l.i group by l.doc_id)
+select d.doc_id, case when d.text is null then null else z.text end as text, case when coalesce(d.text, '') = '' then 0 else z.lines end as lines, z.deleted
+from documents d join z using (doc_id)
+"""
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP4 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from v q, v c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5
+"""
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -58,5 +93,5 @@ def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op5_sentencepiece": op5_sentencepiece, "op7_piecewise_hash": op7_piecewise_hash, "op8_source_mix": op8_source_mix, "op10_section_tokens": op10_section_tokens}
-ORACLES = {"op1_url_filters": OP1, "op8_source_mix": OP8}
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_line_dedup": op2_line_dedup, "op4_exact_top_k": op4_exact_top_k, "op5_sentencepiece": op5_sentencepiece, "op7_piecewise_hash": op7_piecewise_hash, "op8_source_mix": op8_source_mix, "op10_section_tokens": op10_section_tokens}
+ORACLES = {"op1_url_filters": OP1, "op2_line_dedup": OP2, "op4_exact_top_k": OP4, "op8_source_mix": OP8}
