@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctph, lines, mixing, pieces, tokens, topk, urls
+from . import ctph, language, lines, mixing, pieces, tokens, topk, urls
 from .common import table
 
 
@@ -29,7 +29,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2 = r"""
 with l as (select doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as i from documents),
-w as (select *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t, len(regexp_extract_all(line, '[^ 	-]+')) as n from l),
+w as (select *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t, len(regexp_extract_all(line, '[^ 	-
+]+')) as n from l),
 f as (select *, row_number() over (partition by doc_id order by i) as p, sum(n) over (partition by doc_id order by i) as total from w where n > 0),
 e as (select a.doc_id, a.i, a.p, a.total - a.n as before, b.i as last, b.p as q
       from f a asof join f b on a.doc_id = b.doc_id and a.total - a.n + 50 <= b.total),
@@ -44,6 +45,15 @@ from documents d join z using (doc_id)
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.document_languages(table(spark, sf_dir, "documents"))
+
+
+def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on raw pages, where all four kinds of evidence exist."""
+    return language.page_languages(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -93,5 +103,5 @@ def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op2_line_dedup": op2_line_dedup, "op4_exact_top_k": op4_exact_top_k, "op5_sentencepiece": op5_sentencepiece, "op7_piecewise_hash": op7_piecewise_hash, "op8_source_mix": op8_source_mix, "op10_section_tokens": op10_section_tokens}
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_line_dedup": op2_line_dedup, "op3_language_id": op3_language_id, "page_language_id": page_language_id, "op4_exact_top_k": op4_exact_top_k, "op5_sentencepiece": op5_sentencepiece, "op7_piecewise_hash": op7_piecewise_hash, "op8_source_mix": op8_source_mix, "op10_section_tokens": op10_section_tokens}
 ORACLES = {"op1_url_filters": OP1, "op2_line_dedup": OP2, "op4_exact_top_k": OP4, "op8_source_mix": OP8}
