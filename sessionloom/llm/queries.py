@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctph, language, lines, mixing, pieces, tokens, topk, urls
+from . import ctph, language, lines, mixing, pieces, probminhash, tokens, topk, urls
 from .common import table
 
 
@@ -99,9 +99,15 @@ select doc_id, size, source_size, target,
 from p
 """
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its class), keep (whether it is that document)."""
+    classes = probminhash.near_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", F.col("class").alias("class_id"), (F.col("key") == F.col("class")).alias("keep"))
+
+
 def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op2_line_dedup": op2_line_dedup, "op3_language_id": op3_language_id, "page_language_id": page_language_id, "op4_exact_top_k": op4_exact_top_k, "op5_sentencepiece": op5_sentencepiece, "op7_piecewise_hash": op7_piecewise_hash, "op8_source_mix": op8_source_mix, "op10_section_tokens": op10_section_tokens}
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_line_dedup": op2_line_dedup, "op3_language_id": op3_language_id, "page_language_id": page_language_id, "op4_exact_top_k": op4_exact_top_k, "op5_sentencepiece": op5_sentencepiece, "op7_piecewise_hash": op7_piecewise_hash, "op8_source_mix": op8_source_mix, "op9_minhash_dedup": op9_minhash_dedup, "op10_section_tokens": op10_section_tokens}
 ORACLES = {"op1_url_filters": OP1, "op2_line_dedup": OP2, "op4_exact_top_k": OP4, "op8_source_mix": OP8}
