@@ -8,17 +8,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import mixing
+from sessionloom.llm import language, lines, mixing, pieces, probminhash
 from sessionloom.llm.common import stored, table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear; the others go."""
+    return language.accepted(docs)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without runs of lines of 50 words or more that stood earlier; documents that consist of them go."""
+    return lines.deduplicated(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return probminhash.first_of_classes(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated, cut or left out so that each source comes to its target."""
     return mixing.mixed_documents(docs)
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, round_trip of each document of the mix."""
+    return pieces.encode_documents(docs)
+
+
 STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", drop_near_copies),
     ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding", encode_pieces),
 ]
 #: Language models, sketches and token ids have no SQL form; tests/llm holds brute-force versions.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctph, language, lines, mixing, pieces, probminhash, tokens, topk, urls
+from . import ctph, language, lines, mixing, pieces, probminhash, quality, tokens, topk, urls
 from .common import table
 
 
@@ -71,6 +71,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -109,5 +113,5 @@ def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op2_line_dedup": op2_line_dedup, "op3_language_id": op3_language_id, "page_language_id": page_language_id, "op4_exact_top_k": op4_exact_top_k, "op5_sentencepiece": op5_sentencepiece, "op7_piecewise_hash": op7_piecewise_hash, "op8_source_mix": op8_source_mix, "op9_minhash_dedup": op9_minhash_dedup, "op10_section_tokens": op10_section_tokens}
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_line_dedup": op2_line_dedup, "op3_language_id": op3_language_id, "page_language_id": page_language_id, "op4_exact_top_k": op4_exact_top_k, "op5_sentencepiece": op5_sentencepiece, "op6_quality_grade": op6_quality_grade, "op7_piecewise_hash": op7_piecewise_hash, "op8_source_mix": op8_source_mix, "op9_minhash_dedup": op9_minhash_dedup, "op10_section_tokens": op10_section_tokens}
 ORACLES = {"op1_url_filters": OP1, "op2_line_dedup": OP2, "op4_exact_top_k": OP4, "op8_source_mix": OP8}
