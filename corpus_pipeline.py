@@ -7,11 +7,17 @@ again, so a lost executor repeats one stage at most. All stages but the last ret
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sessionloom.llm import language, lines, mixing, pieces, probminhash
 from sessionloom.llm.common import stored, table
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars of the texts as they are now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; the others go."""
     return language.accepted(docs)
@@ -19,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without runs of lines of 50 words or more that stood earlier; documents that consist of them go."""
-    return lines.deduplicated(docs)
+    return _measured(lines.deduplicated(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated, cut or left out so that each source comes to its target."""
-    return mixing.mixed_documents(docs)
+    return _measured(mixing.mixed_documents(docs))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
