@@ -344,17 +344,20 @@ def _(t):
 
 
 @query("agg_36_calendar_coverage", f"""with {B()}, fm as (select 'bars' as family, session_ix from b union all select 'actions', effective_ix from ({'with ' + SPLITS + ' select * from sp'}) union all select 'filings', cast(floor(date_diff('day', date '1995-01-02', cast(o_orderdate as date))/7.0)+1 as int) from orders)
- select family, count(distinct session_ix) filter (session_ix between 1 and 357) as covered, 357-count(distinct session_ix) filter (session_ix between 1 and 357) as missing, min(session_ix) as first_ix, max(session_ix) as last_ix,
-  case when count(distinct session_ix) filter (session_ix between 1 and 357)=357 then 'complete' else 'partial' end as status from fm group by 1""")
+ select family, count(distinct session_ix) filter (session_ix between (select min(session_ix) from b) and (select max(session_ix) from b)) as covered, (select max(session_ix)-min(session_ix)+1 from b)-count(distinct session_ix) filter (session_ix between (select min(session_ix) from b) and (select max(session_ix) from b)) as missing, min(session_ix) as first_ix, max(session_ix) as last_ix,
+  case when count(distinct session_ix) filter (session_ix between (select min(session_ix) from b) and (select max(session_ix) from b))=(select max(session_ix)-min(session_ix)+1 from b) then 'complete' else 'partial' end as status from fm group by 1""")
 def _(t):
-    from sessionloom.sources.fixtures import session_index
+    from sessionloom.sources.fixtures import session_index, session_range
+
+    first, last = session_range(t)
+    n = last - first + 1
 
     fil = t.orders.select(F.lit("filings").alias("family"), session_index(F.to_date(F.date_trunc("week", "o_orderdate")), "week").alias("session_ix"))
     fam = bars(t).select(F.lit("bars").alias("family"), "session_ix").unionByName(splits(t).select(F.lit("actions").alias("family"), F.col("effective_ix").alias("session_ix"))).unionByName(fil)
     days = fam.groupBy("family", "session_ix").agg(F.lit(1).alias("x"))
-    ok = F.col("session_ix").between(1, 357)
-    return days.groupBy("family").agg(F.count_if(ok).alias("covered"), (357 - F.count_if(ok)).alias("missing"), F.min("session_ix").alias("first_ix"), F.max("session_ix").alias("last_ix"),
-                                      F.when(F.count_if(ok) == 357, "complete").otherwise("partial").alias("status"))
+    ok = F.col("session_ix").between(first, last)
+    return days.groupBy("family").agg(F.count_if(ok).alias("covered"), (n - F.count_if(ok)).alias("missing"), F.min("session_ix").alias("first_ix"), F.max("session_ix").alias("last_ix"),
+                                      F.when(F.count_if(ok) == n, "complete").otherwise("partial").alias("status"))
 
 
 @query("agg_37_evidence_budget", f"""with {LOCAL_SQL}, x as (select instrument_id, bool_or(not listed_complete) as a, bool_or(warning_status='unknown') as w, bool_or(trading_status='unknown') as s, bool_or(board='unknown') as d from ls group by 1),

@@ -16,7 +16,7 @@ from sessionloom.operators import windows as W
 from sessionloom.params.candidates import COMPONENTS, NORMALISERS
 from sessionloom.plans import candidates as C
 from sessionloom.plans import research as RS
-from sessionloom.sources.fixtures import bars, master, splits
+from sessionloom.sources.fixtures import bars, master, session_range, splits
 
 ID = ["instrument_id", "session_ix"]
 IDS = "instrument_id, session_ix"
@@ -100,10 +100,10 @@ def _(t):
     return df.select(*ID, *[rnd(c).alias(c) for c in ("momentum", "reversal", "down_market_return", "downside_deviation", "residual_volatility")])
 
 
-@query("job_32_adjusted_series", f"""with {B()}, {SPLITS}, fx as (select b.instrument_id, b.session_ix, coalesce(product(split_from)/product(split_to),1.0) as k from b left join sp on sp.instrument_id=b.instrument_id and sp.effective_ix>b.session_ix and sp.effective_ix<=357 group by 1,2)
+@query("job_32_adjusted_series", f"""with {B()}, {SPLITS}, fx as (select b.instrument_id, b.session_ix, coalesce(product(split_from)/product(split_to),1.0) as k from b left join sp on sp.instrument_id=b.instrument_id and sp.effective_ix>b.session_ix and sp.effective_ix<=(select max(session_ix) from b) group by 1,2)
  select b.instrument_id, b.session_ix, {R('open*k', 9)} as open, {R('high*k', 9)} as high, {R('low*k', 9)} as low, {R('close*k', 9)} as close, {R('volume/k')} as volume from b join fx on fx.instrument_id=b.instrument_id and fx.session_ix=b.session_ix""")
 def _(t):
-    df = J.split_factor(bars(t), splits(t), F.lit(357))
+    df = J.split_factor(bars(t), splits(t), F.lit(session_range(t)[1]))
     k = F.col("price_factor")
     return df.select(*ID, *[rnd(F.col(c) * k, 9).alias(c) for c in ("open", "high", "low", "close")], rnd(F.col("volume") / k).alias("volume"))
 

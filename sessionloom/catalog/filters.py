@@ -11,7 +11,7 @@ from sessionloom.functions.numeric import joined, rnd
 from sessionloom.operators import filters as P
 from sessionloom.operators import windows as W
 from sessionloom.operators.aggregates import attach_one_row
-from sessionloom.sources.fixtures import bars, filings, master, universe
+from sessionloom.sources.fixtures import bars, bars_between, filings, master, session_range, universe
 
 ID = ["instrument_id", "session_ix"]
 IDS = "instrument_id, session_ix"
@@ -101,7 +101,7 @@ def _(t):
 @query("fil_06_bars_page", f"""with {B()}, {MASTER}, x as (select b.session_ix, m.ticker, m.form, {R('b.close')} as close, b.instrument_id from b join m using (instrument_id) where m.form='CS' and b.session_ix=100)
  select *, (select count(*) from x) as total from x order by ticker, instrument_id limit 50 offset 10""")
 def _(t):
-    x = bars(t).where("session_ix = 100").join(master(t).where("form = 'CS'"), "instrument_id")
+    x = bars_between(t, 100, 100).join(master(t).where("form = 'CS'"), "instrument_id")
     x = x.select("session_ix", "ticker", "form", rnd("close").alias("close"), "instrument_id")
     total = x.agg(F.count(F.lit(1)).alias("total"))
     rows = P.page(x, [F.col("ticker"), F.col("instrument_id")], 50, 10)
@@ -112,7 +112,7 @@ def _(t):
  x as (select * from r where r1 is not null and session_ix=100 and instrument_id in (select instrument_id from u))
  select instrument_id, {R('r1')} as r1, (select count(*) from x) as total from x order by r1 desc, instrument_id limit 25""")
 def _(t):
-    r = W.add_returns(P.members(bars(t), universe(t)), lags=(1,)).where("session_ix = 100 and r1 is not null")
+    r = W.add_returns(P.members(bars_between(t, 99, 100), universe(t)), lags=(1,)).where("session_ix = 100 and r1 is not null")
     total = r.agg(F.count(F.lit(1)).alias("total"))
     return attach_one_row(P.page(r, [F.desc("r1"), F.col("instrument_id")], 25), total).select("instrument_id", rnd("r1").alias("r1"), "total")
 
@@ -312,7 +312,7 @@ def _(t):
 
 @query("fil_17_conservative_disposition", f"""with {LOCAL_SQL}, c as (select *, max(session_ix) over (partition by instrument_id) as last_ix,
   not (lag((session_ix//50)%3) {I} is not distinct from (session_ix//50)%3) and lag(session_ix) {I} is not null as fc from ls),
- x as (select session_ix, case when not listed_complete or warning_status='unknown' or trading_status='unknown' or board='unknown' or fc or (instrument_id%6=0 and session_ix=last_ix) or session_ix=357 then 'quarantined'
+ x as (select session_ix, case when not listed_complete or warning_status='unknown' or trading_status='unknown' or board='unknown' or fc or (instrument_id%6=0 and session_ix=last_ix) or session_ix=(select max(session_ix) from ls) then 'quarantined'
   when warning_status<>'none' then 'excluded' else 'included' end as disposition from c)
  select session_ix, disposition, count(*) as n from x group by 1,2""")
 def _(t):
@@ -322,7 +322,7 @@ def _(t):
     s = s.select("*", (~F.lag(factor).over(by).eqNullSafe(factor) & F.lag("session_ix").over(by).isNotNull()).alias("factor_changed"),
                  (F.col("session_ix") == F.max("session_ix").over(Window.partitionBy("instrument_id"))).alias("is_last_row"),
                  (~F.col("listed_complete")).alias("listing_uncertain"), (F.col("board") != "unknown").alias("board_supported"),
-                 (F.col("instrument_id") % 6 == 0).alias("terminal"), (F.col("session_ix") == 357).alias("at_interval_end"))
+                 (F.col("instrument_id") % 6 == 0).alias("terminal"), (F.col("session_ix") == session_range(t)[1]).alias("at_interval_end"))
     return P.conservative_disposition(s).groupBy("session_ix", "disposition").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -362,7 +362,7 @@ def _(t):
 @query("fil_20_lifecycle_reasons", f"""with {B()}, h as (select instrument_id, min(session_ix) as first_seen, max(session_ix) as last_seen from b group by 1),
  o as (select s_suppkey as instrument_id, case when s_suppkey%14<>0 then 340+s_suppkey%30 end as delisted, case when s_suppkey%9<>0 then s_suppkey-(case when s_suppkey%20=1 then 1 else 0 end) end as stable_id, s_suppkey%8<>3 as ticker_seen from supplier),
  c as (select o.*, count(*) over (partition by stable_id) as n0, case when stable_id%15<>2 then first_seen end as first_seen, case when stable_id%15<>2 then last_seen end as last_seen from o left join h on h.instrument_id=o.stable_id),
- r as (select instrument_id, list_sort(list_filter([case when delisted is null then 'delisted_date_missing' end, case when delisted>357 then 'delisted_date_after_anchor' end,
+ r as (select instrument_id, list_sort(list_filter([case when delisted is null then 'delisted_date_missing' end, case when delisted>(select max(session_ix) from b) then 'delisted_date_after_anchor' end,
    case when stable_id is null then 'missing_stable_security_identifier' end, case when stable_id is not null and n0>1 then 'stable_identifier_collision' end,
    case when stable_id is not null and n0=1 and first_seen is null then 'stable_identifier_absent_from_canonical_history' end,
    case when first_seen is not null and not ticker_seen then 'source_ticker_absent_from_canonical_history' end, case when last_seen>delisted then 'canonical_instrument_seen_after_delisted_date' end], lambda x: x is not null)) as codes from c)
@@ -371,7 +371,7 @@ def _(t):
     k = F.col("instrument_id")
     hist = bars(t).groupBy(k.alias("stable_id")).agg(F.min("session_ix").alias("first_seen"), F.max("session_ix").alias("last_seen"))
     obs = t.supplier.select(F.col("s_suppkey").alias("instrument_id")).select(
-        "instrument_id", F.when(k % 14 != 0, 340 + k % 30).alias("delisted"), F.lit(357).alias("anchor"),
+        "instrument_id", F.when(k % 14 != 0, 340 + k % 30).alias("delisted"), F.lit(session_range(t)[1]).alias("anchor"),
         F.when(k % 9 != 0, k - F.when(k % 20 == 1, 1).otherwise(0)).alias("stable_id"), (k % 8 != 3).alias("ticker_seen"))
     claims = obs.where("stable_id is not null").groupBy("stable_id").agg(F.count(F.lit(1)).alias("n_claims"))
     df = obs.join(claims, "stable_id", "left").join(hist.where(F.col("stable_id") % 15 != 2), "stable_id", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sessionloom.catalog.aggregates import IC_SQL, _RK, ic_panel
@@ -18,7 +19,7 @@ from sessionloom.operators import windows as W
 from sessionloom.operators.topk import top_n
 from sessionloom.plans import filings as FP
 from sessionloom.plans import research as RS
-from sessionloom.sources.fixtures import bars, dividends, filings, master, splits, universe
+from sessionloom.sources.fixtures import bars, dividends, filings, master, session_range, splits, universe
 
 ID = ["instrument_id", "session_ix"]
 IDS = "instrument_id, session_ix"
@@ -76,16 +77,20 @@ def _(t):
     return d.select("k", F.when(F.col("n") == 0, "crossed").when(F.col("n") == 1, "dominant").otherwise("tie").alias("status"), F.when(F.col("n") == 1, F.col("pick")).alias("pick"))
 
 
-@query("win_34_channel_rank", f"""with {RISK_SQL}, x as (select *, cast(instrument_id%3 as int) as channel, case when confidence>=50 then 0 else 1 end as st from ri where score is not null) select {IDS}, channel, row_number() over (partition by session_ix, channel order by st, score desc, instrument_id) as rank from x""")
+@query("win_34_channel_rank", f"""with {RISK_SQL}, tk as (select s_suppkey as instrument_id, s_name as ticker from supplier), x as (select *, cast(instrument_id%3 as int) as channel, case when confidence>=50 then 0 else 1 end as st from ri join tk using (instrument_id) where score is not null) select {IDS}, channel, row_number() over (partition by session_ix, channel order by st, score desc, ticker, instrument_id) as rank from x""")
 def _(t):
     from sessionloom.functions.ranking import rank_table
 
-    x = risk_input(t).where("score is not null").withColumn("channel", (F.col("instrument_id") % 3).cast("int"))
-    x = x.withColumn("k", F.struct(F.when(F.col("confidence") >= 50, 0).otherwise(1).alias("s"), (-F.col("score")).alias("n"), "instrument_id"))
-    pos = F.col("k.s") * 1e12 + (F.col("k.n") + 100) * 1e9 + F.col("instrument_id")
-    x = x.withColumn("pos", pos)
-    r = rank_table(x, ["session_ix", "channel"], "pos").select("session_ix", "channel", "pos", (F.col("n_lower") + 1).cast("bigint").alias("rank"))
-    return x.join(r, ["session_ix", "channel", "pos"]).select(*ID, "channel", "rank")
+    x = risk_input(t).where("score is not null").join(master(t).select("instrument_id", "ticker"), "instrument_id")
+    x = x.withColumn("channel", (F.col("instrument_id") % 3).cast("int")).withColumn("status", F.when(F.col("confidence") >= 50, 0).otherwise(1)).withColumn("below", -F.col("score"))
+    # scores are ranked exactly within a status, statuses follow each other by their counts, equal scores are ordered among themselves
+    tied = ["session_ix", "channel", "status", "below"]
+    r = rank_table(x, tied[:3], "below").select(*tied, "n_lower")
+    first = x.groupBy("session_ix", "channel").agg(F.count_if(F.col("status") == 0).alias("n_first"))
+    among = F.row_number().over(Window.partitionBy(*tied).orderBy("ticker", "instrument_id"))
+    out = x.withColumn("among", among).join(r, tied).join(first, ["session_ix", "channel"])
+    rank = F.col("n_lower") + F.col("among") + F.when(F.col("status") == 1, F.col("n_first")).otherwise(0)
+    return out.select(*ID, "channel", rank.cast("bigint").alias("rank"))
 
 
 @query("job_14_candidate_facts", f"""with {B(grain='month')}, a as (select *, {ret(1)} as r1, {ret(5)} as r5, {ret(20)} as r20, {lr()} as lr, {full('avg(close)', 10)} as s10, {full('avg(close)', 20)} as s20, open/{lag('close', 1)}-1 as gap, case when count(volume) {sess(20, 1)}>=15 then median(volume) {sess(20, 1)} end as pm from b)
@@ -99,10 +104,10 @@ def _(t):
     return df.select(*ID, *[rnd(x).alias(x) for x in ("r1", "r5", "r20", "sma_spread", "volume_ratio", "rv10", "max_gap")], rnd(above).alias("above10"), review.alias("review"))
 
 
-@query("job_24_backfill_batches", f"""with {B()}, {UNIVERSE}, g as (select instrument_id, cast(unnest(range(1,358)) as int) as session_ix from u), m as (select g.* from g anti join b on b.instrument_id=g.instrument_id and b.session_ix=g.session_ix),
+@query("job_24_backfill_batches", f"""with {B()}, {UNIVERSE}, g as (select instrument_id, cast(unnest(range((select min(session_ix) from b),(select max(session_ix)+1 from b))) as int) as session_ix from u), m as (select g.* from g anti join b on b.instrument_id=g.instrument_id and b.session_ix=g.session_ix),
  r as (select *, (row_number() over (partition by instrument_id order by session_ix)-1)//3 as batch from m) select instrument_id, cast(batch as bigint) as batch, min(session_ix) as first_ix, max(session_ix) as last_ix, count(*) as n from r group by 1,2""")
 def _(t):
-    m = J.missing_sessions(bars(t), universe(t), 1, 357)
+    m = J.missing_sessions(bars(t), universe(t), *session_range(t))
     m = m.withColumn("batch", F.floor((F.row_number().over(W.BY) - 1) / 3))
     return m.groupBy("instrument_id", "batch").agg(F.min("session_ix").alias("first_ix"), F.max("session_ix").alias("last_ix"), F.count(F.lit(1)).alias("n"))
 
@@ -248,7 +253,7 @@ def _(t):
 
 @query("job_65_price_limit_check", f"""with {B()}, {MASTER}, {RULES_SQL}, p as (select b.*, m.exchange from (select *, round({lag('close', 1)},2) as pc from b) b join m using (instrument_id)),
  j as (select p.instrument_id, p.session_ix, any_value(close) as close, any_value(pc) as pc, count(ru.ratio) as n, max(ru.ratio) as ratio from p left join ru on ru.exchange=p.exchange and ru.effective_from<=p.session_date and (ru.effective_to is null or ru.effective_to>=p.session_date) group by 1,2)
- select session_ix, case when n=0 then 'rule_missing' when n>1 then 'rule_ambiguous' when pc is null then 'no_pre_close' when close>round(pc*(1+ratio),2) then 'above_limit' when close<round(pc*(1-ratio),2) then 'below_limit' else 'inside' end as verdict, count(*) as n_bars from j group by 1,2""")
+ select session_ix, case when n=0 then 'rule_missing' when n>1 then 'rule_ambiguous' when pc is null then 'no_pre_close' when close>round(pc::decimal(18,2)*(1+ratio::decimal(6,4)),2)::double then 'above_limit' when close<round(pc::decimal(18,2)*(1-ratio::decimal(6,4)),2)::double then 'below_limit' else 'inside' end as verdict, count(*) as n_bars from j group by 1,2""")
 def _(t):
     b = bars(t).withColumn("pc", F.round(W.lagged("close", 1), 2)).join(master(t).select("instrument_id", "exchange"), "instrument_id")
     r = J.resolve_rule(b, rule_table(t.spark), "exchange", F.col("session_date"))

@@ -11,7 +11,7 @@ from sessionloom.catalog.sqltext import FILINGS, I, MASTER, SPLITS, UNIVERSE, ba
 from sessionloom.functions.numeric import joined, rnd
 from sessionloom.operators import joins as J
 from sessionloom.operators import windows as W
-from sessionloom.sources.fixtures import bars, filings, master, session_index, splits, supplier_region, universe
+from sessionloom.sources.fixtures import bars, filings, master, session_index, session_range, splits, supplier_region, universe
 
 ID = ["instrument_id", "session_ix"]
 IDS = "instrument_id, session_ix"
@@ -96,26 +96,28 @@ def filing_states(t):
     return f.withColumn("session_ix", session_index(F.to_date(F.date_trunc("week", "available_at")), "week"))
 
 
-@query("joi_07_asof_backward", f"""with {FILINGS}, s as (select *, cast(floor(date_diff('day', date '1995-01-02', cast(available_at as date))/7.0)+1 as int) as session_ix from f),
- g as (select c_custkey as cik, unnest(range(4,358,4)) as session_ix from customer),
+@query("joi_07_asof_backward", f"""with {B()}, {FILINGS}, s as (select *, cast(floor(date_diff('day', date '1995-01-02', cast(available_at as date))/7.0)+1 as int) as session_ix from f),
+ g as (select c_custkey as cik, unnest(range((select min(session_ix) from b),(select max(session_ix)+1 from b))) as session_ix from customer),
  k as (select cik, session_ix, arg_max(accession, (available_at, accession)) as accession from s group by 1,2)
  select g.cik, cast(g.session_ix as bigint) as session_ix, k.accession, k.session_ix is null as absent from g asof left join k on k.cik=g.cik and k.session_ix<=g.session_ix""")
 def _(t):
-    grid = t.customer.select(F.col("c_custkey").alias("cik"), F.explode(F.sequence(F.lit(4), F.lit(356), F.lit(4))).alias("session_ix"))
+    first, last = session_range(t)
+    grid = t.customer.select(F.col("c_custkey").alias("cik"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("session_ix"))
     states = filing_states(t).withColumn("_at", F.struct("available_at", "accession"))
     out = J.asof_by_session(states, grid, "cik", "_at", ["accession"])
     return out.select("cik", F.col("session_ix").cast("bigint").alias("session_ix"), "accession", F.col("accession").isNull().alias("absent"))
 
 
 def calendar(t):
-    """Weekly sessions with open and close clocks, from the rule (bounded by the calendar)."""
-    s = t.spark.range(1, 400).select(F.col("id").cast("int").alias("session_ix"))
+    """Weekly sessions from the first to the last one of the data, with open and close clocks."""
+    first, last = session_range(t)
+    s = t.spark.range(first, last + 1).select(F.col("id").cast("int").alias("session_ix"))
     day = F.date_add(F.lit("1995-01-02").cast("date"), (F.col("session_ix") - 1) * 7)
     return s.select("session_ix", day.alias("session_date"), (day.cast("timestamp") + F.expr("INTERVAL 14 HOURS 30 MINUTES")).alias("open_utc"),
                     (day.cast("timestamp") + F.expr("INTERVAL 21 HOURS")).alias("close_utc"))
 
 
-@query("joi_08_asof_forward", f"""with {FILINGS}, c as (select range as session_ix, timestamp '1995-01-02 14:30:00' + (range-1)*interval 7 day as open_utc from range(1,400)),
+@query("joi_08_asof_forward", f"""with {B()}, {FILINGS}, c as (select distinct session_ix, timestamp '1995-01-02 14:30:00' + (session_ix-1)*interval 7 day as open_utc from (select unnest(range((select min(session_ix) from b),(select max(session_ix)+1 from b))) as session_ix)),
  x as (select accession, case when accession%7=0 then date_trunc('day', available_at)+interval 1 day else available_at end as bound from f)
  select x.accession, cast(c.session_ix as bigint) as eligible_ix from x asof left join c on c.open_utc > x.bound""")
 def _(t):
@@ -149,9 +151,9 @@ def _(t):
 
 @query("joi_10_split_factor", f"""with {B()}, {SPLITS} select b.instrument_id, b.session_ix, {R('coalesce(product(split_from)/product(split_to),1.0)')} as price_factor,
  {R('coalesce(product(split_to)/product(split_from),1.0)')} as volume_factor, {R('any_value(b.close)*coalesce(product(split_from)/product(split_to),1.0)', 8)} as adj_close
- from b left join sp on sp.instrument_id=b.instrument_id and sp.effective_ix>b.session_ix and sp.effective_ix<=357 group by 1,2""")
+ from b left join sp on sp.instrument_id=b.instrument_id and sp.effective_ix>b.session_ix and sp.effective_ix<=(select max(session_ix) from b) group by 1,2""")
 def _(t):
-    df = J.split_factor(bars(t), splits(t), F.lit(357))
+    df = J.split_factor(bars(t), splits(t), F.lit(session_range(t)[1]))
     return df.select(*ID, rnd("price_factor").alias("price_factor"), rnd("volume_factor").alias("volume_factor"), rnd(F.col("close") * F.col("price_factor"), 8).alias("adj_close"))
 
 
@@ -196,17 +198,17 @@ def _(t):
     return J.match_verdict(ev, tg, "action_id")
 
 
-@query("joi_15_members_without_bars", f"""with {B()}, {UNIVERSE}, g as (select instrument_id, cast(unnest(range(1,358)) as int) as session_ix from u)
+@query("joi_15_members_without_bars", f"""with {B()}, {UNIVERSE}, g as (select instrument_id, cast(unnest(range((select min(session_ix) from b),(select max(session_ix)+1 from b))) as int) as session_ix from u)
  select session_ix, count(*) as n_missing from g anti join b on b.instrument_id=g.instrument_id and b.session_ix=g.session_ix group by 1""")
 def _(t):
-    return J.missing_sessions(bars(t), universe(t), 1, 357).groupBy("session_ix").agg(F.count(F.lit(1)).alias("n_missing"))
+    return J.missing_sessions(bars(t), universe(t), *session_range(t)).groupBy("session_ix").agg(F.count(F.lit(1)).alias("n_missing"))
 
 
 @query("joi_16_completeness", f"""with {B()}, x as (select {IDS} from b union all select {IDS} from b where (instrument_id+session_ix)%40=0)
- select instrument_id, count(distinct session_ix) as n_present, 357-count(distinct session_ix) as n_missing, count(*)-count(distinct session_ix) as n_duplicated, 0::bigint as n_extra from x group by 1""")
+ select instrument_id, count(distinct session_ix) as n_present, (select max(session_ix)-min(session_ix)+1 from b)-count(distinct session_ix) as n_missing, count(*)-count(distinct session_ix) as n_duplicated, 0::bigint as n_extra from x group by 1""")
 def _(t):
     b = bars(t).select(*ID)
-    return J.completeness(b.unionAll(b.where("(instrument_id + session_ix) % 40 = 0")), 1, 357)
+    return J.completeness(b.unionAll(b.where("(instrument_id + session_ix) % 40 = 0")), *session_range(t))
 
 
 @query("joi_17_registry_pairs", f"""with {B(entity='type')} select l.instrument_id||'/'||r.instrument_id as pair_id, count(*) as n_shared, min(l.session_ix) as first_ix from b l join b r on l.session_ix=r.session_ix and l.instrument_id<r.instrument_id group by 1""")

@@ -105,9 +105,12 @@ def _(t):
 
 
 def daily_composite(t):
-    """Stand-in composite per user from the event stream: mean value rescaled to 0..100, gaps where a day is silent."""
-    e = t.events.groupBy(F.col("user_id").alias("universe_id"), F.dayofyear("ts").alias("session_ix")).agg(F.avg("value").alias("v"))
-    return e.select("universe_id", "session_ix", F.least(F.lit(100.0), F.round(F.col("v") * 2, 4)).alias("score"))
+    """Stand-in composite per user from the event stream: mean value rescaled to 0..100, gaps where a day is silent; with its first and last day."""
+    day = F.to_date("ts")
+    start, end = t.events.agg(F.min(day), F.max(day)).first()
+    last = 1 if start is None else (end - start).days + 1
+    e = t.events.groupBy(F.col("user_id").alias("universe_id"), (F.datediff(day, F.lit(start).cast("date")) + 1).alias("session_ix")).agg(F.avg("value").alias("v"))
+    return e.select("universe_id", "session_ix", F.least(F.lit(100.0), F.round(F.col("v") * 2, 4)).alias("score")), 1, last
 
 
 @query("job_09_state_explanation", f"""with {_composite_sql()} select session_ix, {R('regime_score-70', 4)} as to_risk_on, {R('regime_score-50', 4)} as to_balanced, {R('regime_score-30', 4)} as to_defensive,

@@ -19,7 +19,7 @@ from sessionloom.operators import windows as W
 from sessionloom.operators.topk import top_n
 from sessionloom.plans import filings as FP
 from sessionloom.plans import research as RS
-from sessionloom.sources.fixtures import bars, filings, master, session_index, splits
+from sessionloom.sources.fixtures import bars, filings, master, session_index, session_range, splits
 
 ID = ["instrument_id", "session_ix"]
 IDS = "instrument_id, session_ix"
@@ -128,12 +128,12 @@ def _(t):
     return g.groupBy("session_ix").agg(rnd(top - low).alias("spread"), F.count(F.lit(1)).alias("n_buckets"))
 
 
-@query("job_63_terminal_gaps", f"""with {B()}, g as (select {IDS}, session_ix-lag(session_ix) {I}-1 as gap from b) select instrument_id, min(session_ix) as first_ix, max(session_ix) as last_ix, 357-max(session_ix) as sessions_after_last, count(*) filter (gap>0) as n_gaps, cast(max(gap) as int) as longest_gap, case when max(session_ix)<352 then 'terminal' else 'open' end as boundary from g group by 1""")
+@query("job_63_terminal_gaps", f"""with {B()}, g as (select {IDS}, session_ix-lag(session_ix) {I}-1 as gap from b) select instrument_id, min(session_ix) as first_ix, max(session_ix) as last_ix, (select max(session_ix) from b)-max(session_ix) as sessions_after_last, count(*) filter (gap>0) as n_gaps, cast(max(gap) as int) as longest_gap, case when max(session_ix)<(select max(session_ix)-5 from b) then 'terminal' else 'open' end as boundary from g group by 1""")
 def _(t):
     g = bars(t).select(*ID, (F.col("session_ix") - F.lag("session_ix").over(W.BY) - 1).alias("gap"))
-    last = F.max("session_ix")
-    return g.groupBy("instrument_id").agg(F.min("session_ix").alias("first_ix"), last.alias("last_ix"), (357 - last).alias("sessions_after_last"), F.count_if(F.col("gap") > 0).alias("n_gaps"), F.max("gap").alias("longest_gap"),
-                                          F.when(last < 352, "terminal").otherwise("open").alias("boundary"))
+    last, end = F.max("session_ix"), session_range(t)[1]
+    return g.groupBy("instrument_id").agg(F.min("session_ix").alias("first_ix"), last.alias("last_ix"), (end - last).alias("sessions_after_last"), F.count_if(F.col("gap") > 0).alias("n_gaps"), F.max("gap").alias("longest_gap"),
+                                          F.when(last < end - 5, "terminal").otherwise("open").alias("boundary"))
 
 
 @query("job_66_reconciliation_report", f"with x as ({ORACLES['joi_20_action_adjustment_reconcile']}) select verdict, count(*) as n, count(distinct instrument_id) as n_instruments from x group by 1")
@@ -166,9 +166,9 @@ _STAGE = f"""{RISK_SQL}, sf as (select {IDS}, case when score is not null then 4
  sk as (select {IDS}, cf, case when s>=50 and cf>=0.4 and fl and not an then 'not_listed_to_watch' end as r0, case when bad then 'active_to_invalidated' when s>=65 and calm and rs>=55 and tr>=55 and not an then 'watch_to_prepare' end as r1,
    case when bad then 'active_to_invalidated' when br and s>=70 and calm and not an then 'prepare_to_enter_breakout' when s>=75 and fl and not an then 'prepare_to_enter' when s<58 or al<40 then 'prepare_to_watch' end as r2,
    case when bad then 'active_to_invalidated' when s<68 or tr<50 then 'enter_to_prepare' end as r3, case when s>=55 and fl and not an then 'invalidated_to_watch' end as r4 from sr),
- ky as (select distinct instrument_id from ri), gr as (select ky.instrument_id, cast(x.range as int) as session_ix, cf, r0, r1, r2, r3, r4 from ky cross join range(1,84) x left join sk on sk.instrument_id=ky.instrument_id and sk.session_ix=x.range),
+ ky as (select distinct instrument_id from ri), gr as (select ky.instrument_id, cast(x.range as int) as session_ix, cf, r0, r1, r2, r3, r4 from ky cross join (select unnest(range((select min(session_ix) from ri),(select max(session_ix)+1 from ri))) as range) x left join sk on sk.instrument_id=ky.instrument_id and sk.session_ix=x.range),
  rl(rule, tgt, n) as (values ('not_listed_to_watch','watch',1),('watch_to_prepare','prepare',2),('prepare_to_enter','enter',2),('prepare_to_enter_breakout','enter',1),('enter_to_prepare','prepare',2),('prepare_to_watch','watch',2),('active_to_invalidated','invalidated',1),('invalidated_to_watch','watch',3)),
- wk as (select instrument_id, 0 as session_ix, null::varchar as stage, null::varchar as pend, 0 as cnt, 0 as miss, 0 as held, null::varchar as status, null::double as conf from ky
+ wk as (select instrument_id, (select min(session_ix)-1 from ri) as session_ix, null::varchar as stage, null::varchar as pend, 0 as cnt, 0 as miss, 0 as held, null::varchar as status, null::double as conf from ky
   union all select instrument_id, session_ix, x.stage, x.pend, x.cnt, x.miss, x.held, x.status, conf from (
    select g.instrument_id, g.session_ix, g.cf+0.15::double*least(w.held/3,1.0) as conf, case
     when g.cf is null and w.miss=0 then {{'stage': w.stage, 'pend': w.pend, 'cnt': w.cnt, 'miss': 1, 'held': w.held, 'status': 'unavailable_stale'}}
@@ -183,14 +183,14 @@ _STAGE = f"""{RISK_SQL}, sf as (select {IDS}, case when score is not null then 4
 def _stages(t):
     from sessionloom.streaming.stages import stage_history
 
-    return stage_history(stage_facts(t), 1, 83, 500.0, 100000.0)
+    return stage_history(stage_facts(t), *session_range(t, "month"), 500.0, 100000.0)
 
 
-@query("str_03_candidate_stages", f"with recursive {_STAGE} select {IDS}, stage, pend as pending_rule, cnt as pending_count, status, held as stage_count, {R('conf')} as confidence from wk where session_ix>0")
+@query("str_03_candidate_stages", f"with recursive {_STAGE} select {IDS}, stage, pend as pending_rule, cnt as pending_count, status, held as stage_count, {R('conf')} as confidence from wk where session_ix>=(select min(session_ix) from ri)")
 def _(t):
     return _stages(t).select(*ID, "stage", "pending_rule", "pending_count", "status", "stage_count", rnd("confidence").alias("confidence"))
 
 
-@query("job_17_stage_summary", f"with recursive {_STAGE} select session_ix, coalesce(stage,'none') as stage, count(*) as n from wk where session_ix>0 group by 1,2")
+@query("job_17_stage_summary", f"with recursive {_STAGE} select session_ix, coalesce(stage,'none') as stage, count(*) as n from wk where session_ix>=(select min(session_ix) from ri) group by 1,2")
 def _(t):
     return _stages(t).groupBy("session_ix", F.coalesce("stage", F.lit("none")).alias("stage")).agg(F.count(F.lit(1)).alias("n"))

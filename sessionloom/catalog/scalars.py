@@ -14,7 +14,7 @@ from sessionloom.functions import scalars as S
 from sessionloom.functions.numeric import joined, rnd
 from sessionloom.operators import joins as J
 from sessionloom.operators import windows as W
-from sessionloom.sources.fixtures import bars, filings, master
+from sessionloom.sources.fixtures import bars, filings, master, session_range
 
 ID = ["instrument_id", "session_ix"]
 IDS = "instrument_id, session_ix"
@@ -78,7 +78,7 @@ def _(t):
 
 
 @query("sca_08_local_cost", f"""with o as (select l_returnflag as flag, l_extendedprice as amount, case when l_linestatus='O' then 'sell' else 'buy' end as side from lineitem),
- c as (select flag, side, greatest(round(amount*0.0003,2),5.0) as comm, round(amount*0.00002,2) as tr, round(amount*0.00005,2) as ha, case when side='sell' then round(amount*0.001,2) else 0 end as st from o)
+ c as (select flag, side, greatest(round(amount::decimal(18,2)*0.0003::decimal(10,8),2)::double,5.0::double) as comm, round(amount::decimal(18,2)*0.00002::decimal(10,8),2)::double as tr, round(amount::decimal(18,2)*0.00005::decimal(10,8),2)::double as ha, case when side='sell' then round(amount::decimal(18,2)*0.001::decimal(10,8),2)::double else 0::double end as st from o)
  select flag, side, count(*) as n, {R('avg(comm)', 4)} as commission, {R('avg(tr)', 4)} as transfer, {R('avg(ha)', 4)} as handling, {R('avg(st)', 4)} as stamp from c group by 1,2""")
 def _(t):
     fees = dict(commission=0.0003, minimum=5.0, transfer=0.00002, handling=0.00005, stamp=0.001)
@@ -87,7 +87,7 @@ def _(t):
     return c.groupBy("flag", "side").agg(F.count(F.lit(1)).alias("n"), *[rnd(F.avg(x), 4).alias(x) for x in ("commission", "transfer", "handling", "stamp")])
 
 
-@query("sca_09_price_limits", f"""with {B()}, p as (select {IDS}, close, round({lag('close', 1)},2) as pc from b), l as (select *, {R('pc*1.1', 2)} as limit_up, {R('pc*0.9', 2)} as limit_down from p where pc is not null)
+@query("sca_09_price_limits", f"""with {B()}, p as (select {IDS}, close, round({lag('close', 1)},2) as pc from b), l as (select *, round(pc::decimal(18,2)*1.1::decimal(6,4),2)::double as limit_up, round(pc::decimal(18,2)*0.9::decimal(6,4),2)::double as limit_down from p where pc is not null)
  select session_ix, count(*) filter (close<=limit_up and close>=limit_down) as n_inside, count(*) filter (close>limit_up) as n_above, count(*) filter (close<limit_down) as n_below from l group by 1""")
 def _(t):
     p = bars(t).select(*ID, "close", F.round(W.lagged("close", 1), 2).alias("pc")).where("pc is not null")
@@ -114,10 +114,11 @@ def _(t):
                            F.date_format(day.cast("timestamp_ntz") + F.expr("INTERVAL 14 HOURS 30 MINUTES"), "yyyy-MM-dd HH:mm:ss").alias("open_utc"))
 
 
-@query("sca_12_freshness", f"""with {B()}, l as (select instrument_id, max(session_ix) as last_ix from b group by 1) select instrument_id, 357-last_ix as lag_sessions, case when last_ix=357 then 'fresh' when last_ix>=355 then 'stale' else 'unavailable' end as freshness from l""")
+@query("sca_12_freshness", f"""with {B()}, l as (select instrument_id, max(session_ix) as last_ix from b group by 1) select instrument_id, (select max(session_ix) from b)-last_ix as lag_sessions, case when last_ix=(select max(session_ix) from b) then 'fresh' when last_ix>=(select max(session_ix)-2 from b) then 'stale' else 'unavailable' end as freshness from l""")
 def _(t):
     l = bars(t).groupBy("instrument_id").agg(F.max("session_ix").alias("l"))
-    return l.select("instrument_id", (357 - F.col("l")).alias("lag_sessions"), F.when(F.col("l") == 357, "fresh").when(F.col("l") >= 355, "stale").otherwise("unavailable").alias("freshness"))
+    latest = session_range(t)[1]
+    return l.select("instrument_id", (latest - F.col("l")).alias("lag_sessions"), F.when(F.col("l") == latest, "fresh").when(F.col("l") >= latest - 2, "stale").otherwise("unavailable").alias("freshness"))
 
 
 @query("sca_13_market_zone_date", """select cast(cast(timezone('America/New_York', timezone('UTC', date_trunc('millisecond', ts))) as date) as varchar) as session_date, count(*) as n from events group by 1""")
@@ -169,9 +170,9 @@ def _(t):
     return t.supplier.select("s_suppkey", *S.distribution_text(txt)).select("s_suppkey", *[rnd(c).alias(c) for c in ("cash", "bonus", "capitalisation")])
 
 
-@query("sca_19_text_markers", r"""select doc_id, len(regexp_extract_all(text,'(?i)\bmerger\b')) as merger, len(regexp_extract_all(text,'(?i)\bthe\b')) as the_word, len(regexp_extract_all(text,'[0-9]+')) as digits, len(regexp_extract_all(text,'\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b')) as iso_date from documents where lang='en'""")
+@query("sca_19_text_markers", r"""select doc_id, len(regexp_extract_all(text,'(?i)\bmerger\b')) as merger, len(regexp_extract_all(text,'(?i)\bthe\b')) as the_word, len(regexp_extract_all(text,'[0-9]+')) as digits, len(regexp_extract_all(text,'\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b')) as iso_date from documents""")
 def _(t):
-    return t.documents.where("lang = 'en'").select("doc_id", *S.marker_counts(F.col("text")))
+    return t.documents.select("doc_id", *S.marker_counts(F.col("text")))
 
 
 @query("sca_20_table_digest", """select l_returnflag as flag, count(*) as n_rows, cast(sum(cast(('0x'||substr(sha256(l_orderkey||'|'||l_partkey||'|'||l_suppkey||'|'||l_linenumber||'|'||cast(cast(round(l_extendedprice*100) as bigint) as varchar)),1,15)) as bigint)) as varchar) as fingerprint from lineitem group by 1""")

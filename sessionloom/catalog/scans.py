@@ -9,7 +9,7 @@ from sessionloom.catalog.sqltext import MASTER, SPLITS, DIVIDENDS, bars as B
 from sessionloom.functions.numeric import rnd
 from sessionloom.sources import ingest as G
 from sessionloom.sources import sinks
-from sessionloom.sources.fixtures import bars, dividends, master, splits
+from sessionloom.sources.fixtures import bars, bars_between, dividends, master, splits
 
 ID = ["instrument_id", "session_ix"]
 IDS = "instrument_id, session_ix"
@@ -17,13 +17,13 @@ IDS = "instrument_id, session_ix"
 
 @query("src_01_session_scan", f"with {B()}, {MASTER} select b.instrument_id, ticker, form, exchange, {R('close', 8)} as close, volume from b join m using (instrument_id) where session_ix=200")
 def _(t):
-    b = bars(t).where("session_ix = 200").join(master(t), "instrument_id")
+    b = bars_between(t, 200, 200).join(master(t), "instrument_id")
     return b.select("instrument_id", "ticker", "form", "exchange", rnd("close", 8).alias("close"), "volume")
 
 
 @query("src_02_session_set", f"with {B()} select session_ix, count(*) as n, sum(volume) as volume from b where session_ix in (10,20,30,40) group by 1")
 def _(t):
-    return bars(t).where(F.col("session_ix").isin(10, 20, 30, 40)).groupBy("session_ix").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
+    return bars_between(t, 10, 40).where(F.col("session_ix").isin(10, 20, 30, 40)).groupBy("session_ix").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
 
 
 @query("src_03_session_index", f"with {B()} select distinct session_ix, cast(session_date as varchar) as session_date from b")

@@ -9,7 +9,7 @@ from sessionloom.catalog.market import daily_composite
 from sessionloom.catalog.sqltext import FILINGS, I, bars as B, lag
 from sessionloom.functions.numeric import rnd
 from sessionloom.sources import sinks
-from sessionloom.sources.fixtures import bars, filings
+from sessionloom.sources.fixtures import bars, filings, session_range
 from sessionloom.streaming import folds, streams as S
 
 ID = ["instrument_id", "session_ix"]
@@ -18,8 +18,8 @@ IDS = "instrument_id, session_ix"
 
 # the fold in SQL: a recursive walk over the calendar, one row per key and session
 _BAND = "case when s>=70 then 'risk_on' when s>=50 then 'balanced' when s>=30 then 'defensive' else 'stress' end"
-_WALK = f"""d as (select user_id as universe_id, cast(dayofyear(ts) as int) as session_ix, least(100.0, round(avg(value)*2,4)) as score from events group by 1,2),
- k as (select distinct universe_id from d), g as (select universe_id, cast(x.range as int) as session_ix from k, range(1,31) x),
+_WALK = f"""d as (select user_id as universe_id, cast(date_diff('day', (select cast(min(ts) as date) from events), cast(ts as date))+1 as int) as session_ix, least(100.0, round(avg(value)*2,4)) as score from events group by 1,2),
+ k as (select distinct universe_id from d), g as (select universe_id, cast(x.range as int) as session_ix from k, (select unnest(range(1,(select max(session_ix)+1 from d))) as range) x),
  e as (select g.universe_id, g.session_ix, d.score as s, case when d.score is not null then {_BAND.replace('s>=', 'd.score>=')} end as cand from g left join d on d.universe_id=g.universe_id and d.session_ix=g.session_ix),
  w as (select universe_id, 0 as session_ix, null::varchar as conf, false as prov, null::varchar as pend, 0 as cnt, null::varchar as status from k
   union all select universe_id, session_ix, x.conf, x.prov, x.pend, x.cnt, x.status from (
@@ -39,13 +39,13 @@ _WALK = f"""d as (select user_id as universe_id, cast(dayofyear(ts) as int) as s
 
 @query("str_02_regime_state", f"with recursive {_WALK} select w.universe_id, w.session_ix, conf as confirmed, prov as provisional, pend as pending, w.cnt as pending_count, status, cand as candidate from w join e on e.universe_id=w.universe_id and e.session_ix=w.session_ix")
 def _(t):
-    h = folds.state_history(daily_composite(t), first=1, last=30)
+    h = folds.state_history(*daily_composite(t))
     return h.select("universe_id", "session_ix", "confirmed", "provisional", "pending", "pending_count", "status", "candidate")
 
 
 @query("job_08_market_state", f"with recursive {_WALK} select w.universe_id, w.session_ix, {R('e.s', 4)} as score, conf as confirmed, status from w join e on e.universe_id=w.universe_id and e.session_ix=w.session_ix")
 def _(t):
-    h = folds.state_history(daily_composite(t), first=1, last=30)
+    h = folds.state_history(*daily_composite(t))
     return h.select("universe_id", "session_ix", rnd("score", 4).alias("score"), "confirmed", "status")
 
 
@@ -68,9 +68,10 @@ def _(t):
     return S.outcomes(b, b, 3).select(*ID, rnd("outcome").alias("outcome"), "maturity")
 
 
-@query("str_10_freshness", f"with {B()} select max(session_ix) as last_ix, 358-max(session_ix) as lag_sessions, case when 358-max(session_ix)=0 then 'fresh' when 358-max(session_ix)<=2 then 'stale' else 'unavailable' end as status from b")
+@query("str_10_freshness", f"with {B()}, l as (select cast(floor(date_diff('day', date '1995-01-02', cast(max(l_shipdate) as date))/7.0)+2 as int) as ix from lineitem) select max(session_ix) as last_ix, (select max(ix) from l)-max(session_ix) as lag_sessions, case when (select max(ix) from l)-max(session_ix)=0 then 'fresh' when (select max(ix) from l)-max(session_ix)<=2 then 'stale' else 'unavailable' end as status from b")
 def _(t):
-    return S.freshness(bars(t), 358)
+    # the session that is due next after the last shipped day
+    return S.freshness(bars(t), session_range(t)[1] + 1)
 
 
 @query("str_11_event_windows", "select strftime(date_trunc('day', ts),'%Y-%m-%d') as window_start, event_type, count(*) as n from events group by 1,2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sessionloom.catalog.core import R, query
@@ -14,7 +15,7 @@ from sessionloom.operators import sets as S
 from sessionloom.operators import topk as K
 from sessionloom.operators import windows as W
 from sessionloom.operators.aggregates import multiset_fingerprint
-from sessionloom.sources.fixtures import bars, dividends, master, splits, universe
+from sessionloom.sources.fixtures import bars, dividends, master, session_range, splits, universe
 
 ID = ["instrument_id", "session_ix"]
 IDS = "instrument_id, session_ix"
@@ -46,7 +47,7 @@ def _(t):
 @query("top_03_benchmark_order", f"""with {B(entity='region')}, r as (select {IDS}, {ret(5)} as r5 from b) select {IDS}, {R('r5')} as r5, row_number() over (partition by session_ix order by r5 desc nulls last, instrument_id) as position from r""")
 def _(t):
     r = W.add_returns(bars(t, "region"), lags=(5,))
-    k = K.top_n(r, ["session_ix"], [F.desc_nulls_last("r5"), F.col("instrument_id")], 50, "position")
+    k = r.withColumn("position", F.row_number().over(Window.partitionBy("session_ix").orderBy(F.desc_nulls_last("r5"), "instrument_id")))
     return k.select(*ID, rnd("r5").alias("r5"), F.col("position").cast("bigint").alias("position"))
 
 
@@ -133,12 +134,16 @@ def _(t):
     return S.subset_report(universe(t), universe(t, "all"), "instrument_id")
 
 
-@query("set_03_symmetric_difference", f"""with {B()}, a as (select distinct session_ix from b where instrument_id%50=3), c as (select distinct session_ix from b where instrument_id%50=7)
- select case when a.session_ix is null then 'right_only' else 'left_only' end as side, coalesce(a.session_ix, c.session_ix) as session_ix from a full join c on a.session_ix=c.session_ix where a.session_ix is null or c.session_ix is null""")
+@query("set_03_symmetric_difference", f"""with {B()}, {MASTER}, a as (select distinct country, session_ix from b join m using (instrument_id)),
+ c as (select country, unnest(range((select min(session_ix) from b), (select max(session_ix)+1 from b))) as session_ix from (select distinct country from m))
+ select case when a.session_ix is null then 'library_only' else 'country_only' end as side, coalesce(a.country, c.country) as country, cast(coalesce(a.session_ix, c.session_ix) as int) as session_ix
+ from a full join c on a.country=c.country and a.session_ix=c.session_ix where a.session_ix is null or c.session_ix is null""")
 def _(t):
-    b = bars(t)
-    a, c = b.where("instrument_id % 50 = 3").select("session_ix"), b.where("instrument_id % 50 = 7").select("session_ix")
-    return a.distinct().exceptAll(c.distinct()).withColumn("side", F.lit("left_only")).unionByName(c.distinct().exceptAll(a.distinct()).withColumn("side", F.lit("right_only")))
+    first, last = session_range(t)
+    homes = master(t).select("instrument_id", "country")
+    a = bars(t).join(homes, "instrument_id").groupBy("country", "session_ix").agg(F.lit(1).alias("x")).drop("x")
+    c = homes.select("country").distinct().withColumn("session_ix", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    return c.exceptAll(a).withColumn("side", F.lit("library_only")).unionByName(a.exceptAll(c).withColumn("side", F.lit("country_only")))
 
 
 @query("set_04_three_way_partition", f"""with {B()}, d as (select session_ix, count(*) as n from b group by 1), p as (select session_ix, case when n>=85 then 'completed' when n>=75 then 'missing' else 'corrupt' end as part from d union all select session_ix, 'missing' from d where session_ix%50=0 and n>=85)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.staging import cut
 
-BUCKETS = 16
+BUCKETS, MOST_BUCKETS = 16, 512
 
 
 def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -34,7 +34,8 @@ def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 
 
 def _binned(counts: DataFrame, group: Sequence[str], buckets: int) -> DataFrame:
-    buckets = max(buckets, 2)
+    # as many buckets as the cluster has tasks, so a group that holds most rows still meets all of them
+    buckets = max(buckets, 2, min(MOST_BUCKETS, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     steps = [i / buckets for i in range(1, buckets)]
     stats = counts.groupBy(*group).agg(
         F.percentile_approx("_v", steps, 1000).alias("_edges"), F.sum("_n").alias("_total")

@@ -86,17 +86,20 @@ def impact_cost_bps(vol: Column, participation: Column, p: dict) -> Column:
 
 
 def local_cost(amount: Column, side: Column, r: dict) -> list[Column]:
-    """SCA-08: minimum commission, fees and stamp duty in cents, half-up."""
-    cents = lambda x: F.round(x, 2)
-    comm = cents(F.greatest(amount * r["commission"], F.lit(r["minimum"])))
-    transfer, handling = cents(amount * r["transfer"]), cents(amount * r["handling"])
-    stamp = cents(F.when(side == "sell", amount * r["stamp"]).otherwise(0.0))
+    """SCA-08: minimum commission, fees and stamp duty in cents, half-up; products are decimals, so ties are ties."""
+    exact = amount.cast("decimal(18,2)")
+    cents = lambda rate: F.round(exact * F.lit(str(rate)).cast("decimal(10,8)"), 2).cast("double")
+    comm = F.greatest(cents(f"{r['commission']:.8f}"), F.lit(float(r["minimum"])))
+    transfer, handling = cents(f"{r['transfer']:.8f}"), cents(f"{r['handling']:.8f}")
+    stamp = F.when(side == "sell", cents(f"{r['stamp']:.8f}")).otherwise(0.0)
     return [comm.alias("commission"), transfer.alias("transfer"), handling.alias("handling"), stamp.alias("stamp"), (comm + transfer + handling + stamp).alias("total")]
 
 
 def price_limits(pre_close: Column, ratio: Column) -> list[Column]:
-    """SCA-09: limit-up and limit-down price in cents."""
-    return [F.round(pre_close * (1 + ratio), 2).alias("limit_up"), F.round(pre_close * (1 - ratio), 2).alias("limit_down")]
+    """SCA-09: limit-up and limit-down price in cents, half-up on decimals."""
+    close, part = F.round(pre_close, 2).cast("decimal(18,2)"), F.round(ratio, 4).cast("decimal(6,4)")
+    one = F.lit("1.0000").cast("decimal(6,4)")
+    return [F.round(close * (one + part), 2).cast("double").alias("limit_up"), F.round(close * (one - part), 2).cast("double").alias("limit_down")]
 
 
 def ex_right_reference(close: Column, cash: Column, rights_price: Column, rights_ratio: Column, bonus: Column) -> Column:

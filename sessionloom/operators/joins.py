@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.numeric import first_failing
+from sessionloom.operators.aggregates import attach_one_row
 
 
 def key_diff(left: DataFrame, right: DataFrame, key: Sequence[str], economic: Sequence[str], provenance: Sequence[str] = ()) -> DataFrame:
@@ -70,8 +71,10 @@ def next_session_lookup(sessions: DataFrame, day: str, open_utc: str) -> DataFra
     s = sessions.select(
         F.to_date(day).alias("_d"), F.struct(F.col(open_utc).alias("open"), "session_ix").alias("first"))
     s = s.select("_d", "first", F.lead("first").over(by).alias("second"), F.lag("_d").over(by).alias("_prev"))
-    start = F.coalesce(F.date_add("_prev", 1), F.date_sub("_d", 400))
-    return s.select(F.explode(F.sequence(start, F.col("_d"))).alias("lookup_day"), "first", "second")
+    start = F.coalesce(F.date_add("_prev", 1), F.col("_d"))
+    days = s.select(F.explode(F.sequence(start, F.col("_d"))).alias("lookup_day"), "first", "second", F.lit(False).alias("before"))
+    # every stamp before the first session has that session ahead
+    return days.unionByName(s.where("_prev is null").select(F.lit(None).cast("date").alias("lookup_day"), "first", "second", F.lit(True).alias("before")))
 
 
 def first_open_after(df: DataFrame, ts: Column, lookup: DataFrame) -> DataFrame:
@@ -80,8 +83,11 @@ def first_open_after(df: DataFrame, ts: Column, lookup: DataFrame) -> DataFrame:
     bound = F.when(midnight, ts + F.expr("INTERVAL 1 DAY")).otherwise(ts)
     df = df.withColumn("_bound", bound)
     hit = F.when(F.col("first.open") > F.col("_bound"), F.col("first")).otherwise(F.col("second"))
-    return df.join(lookup, F.to_date("_bound") == F.col("lookup_day"), "left").select(
-        *[c for c in df.columns if c != "_bound"], hit["session_ix"].alias("eligible_ix"))
+    opening = lookup.where("before").select(F.to_date(F.col("first.open")).alias("_day0"))
+    day = F.to_date("_bound")
+    df = attach_one_row(df, opening).withColumn("_day", F.when(day >= F.col("_day0"), day).otherwise(F.col("_day0")))
+    return df.join(lookup.where("not before"), F.col("_day") == F.col("lookup_day"), "left").select(
+        *[c for c in df.columns if c not in ("_bound", "_day", "_day0")], hit["session_ix"].alias("eligible_ix"))
 
 
 def rule_arrays(rules: DataFrame, key: str) -> DataFrame:

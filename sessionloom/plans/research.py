@@ -113,26 +113,27 @@ def factor_catalog(bars: DataFrame, bench: DataFrame) -> DataFrame:
 def block_bootstrap(series: DataFrame, trial: str, value: str, replicates: int, block: int, seed: str) -> DataFrame:
     """INF-01: circular block bootstrap of the mean of a session series, draws from a hash.
 
-    A series has one value per session, so it travels as an array; replicates are spread over tasks.
+    A series has one value per session, so it travels as an array; replicates are spread over tasks. A block is never
+    longer than the series.
     """
     one = series.groupBy(trial).agg(F.transform(F.array_sort(F.collect_list(F.struct("session_ix", F.col(value).alias("v")))), lambda x: x["v"]).alias("a"))
-    one = one.withColumn("n", F.size("a")).withColumn("mean", F.aggregate("a", F.lit(0.0), lambda s, x: s + x) / F.col("n"))
+    one = one.withColumn("n", F.size("a")).withColumn("block", F.least(F.lit(block), F.col("n"))).withColumn("mean", F.aggregate("a", F.lit(0.0), lambda s, x: s + x) / F.col("n"))
 
     def sums(length):
         return F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda s: F.aggregate(
             F.sequence(s, s + length - 1), F.lit(0.0), lambda acc, j: acc + F.get(F.col("a"), j % F.col("n"))))
 
-    rest = F.col("n") % block
-    one = one.select(trial, "n", "mean", sums(F.lit(block)).alias("full"), F.when(rest > 0, sums(rest)).alias("tail"))
+    rest = F.col("n") % F.col("block")
+    one = one.select(trial, "n", "block", "mean", sums(F.col("block")).alias("full"), F.when(rest > 0, sums(rest)).alias("tail"))
     reps = one.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(trial, "rep")
 
     def start(k):
         key = F.concat_ws("|", F.lit(seed), F.col(trial), F.col("rep"), k)
         return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % F.col("n")).cast("int")
 
-    whole = F.floor(F.col("n") / block).cast("int")
+    whole = F.floor(F.col("n") / F.col("block")).cast("int")
     body = F.aggregate(F.sequence(F.lit(0), whole - 1), F.lit(0.0), lambda acc, k: acc + F.get("full", start(k)))
-    total = body + F.when(F.col("n") % block > 0, F.get("tail", start(whole))).otherwise(0.0)
+    total = body + F.when(F.col("n") % F.col("block") > 0, F.get("tail", start(whole))).otherwise(0.0)
     return reps.select(trial, "rep", "n", "mean", (total / F.col("n")).alias("boot"))
 
 
@@ -182,15 +183,15 @@ def slope_bootstrap(series: DataFrame, trial: str, x: str, y: str, replicates: i
     A slope needs five sums, and each is a sum over blocks, so a replicate adds precomputed block sums.
     """
     pair = F.struct("session_ix", F.col(x).alias("x"), F.col(y).alias("y"))
-    one = series.groupBy(trial).agg(F.array_sort(F.collect_list(pair)).alias("a"), F.regr_slope(y, x).alias("slope")).withColumn("n", F.size("a"))
+    one = series.groupBy(trial).agg(F.array_sort(F.collect_list(pair)).alias("a"), F.regr_slope(y, x).alias("slope")).withColumn("n", F.size("a")).withColumn("block", F.least(F.lit(block), F.col("n")))
     terms = {"sx": lambda p: p["x"], "sy": lambda p: p["y"], "sxx": lambda p: p["x"] * p["x"], "sxy": lambda p: p["x"] * p["y"]}
-    rest = F.col("n") % block
+    rest = F.col("n") % F.col("block")
 
     def sums(term, length):
         return F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda s: F.aggregate(
             F.sequence(s, s + length - 1), F.lit(0.0), lambda acc, j: acc + term(F.get(F.col("a"), j % F.col("n")))))
 
-    one = one.select(trial, "n", "slope", *[sums(f, F.lit(block)).alias(f"full_{k}") for k, f in terms.items()],
+    one = one.select(trial, "n", "block", "slope", *[sums(f, F.col("block")).alias(f"full_{k}") for k, f in terms.items()],
                      *[F.when(rest > 0, sums(f, rest)).alias(f"tail_{k}") for k, f in terms.items()])
     reps = one.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(trial, "rep")
 
@@ -198,7 +199,7 @@ def slope_bootstrap(series: DataFrame, trial: str, x: str, y: str, replicates: i
         key = F.concat_ws("|", F.lit(seed), F.col(trial), F.col("rep"), k)
         return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % F.col("n")).cast("int")
 
-    whole = F.floor(F.col("n") / block).cast("int")
+    whole = F.floor(F.col("n") / F.col("block")).cast("int")
     reps = reps.withColumn("_at", F.transform(F.sequence(F.lit(0), whole), start))
 
     def total(k):

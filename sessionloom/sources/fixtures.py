@@ -21,6 +21,13 @@ def session_index(day: Column, grain: str) -> Column:
     return (F.floor(F.datediff(day, F.lit(CALENDAR_START["week"]).cast("date")) / 7) + 1).cast("int")
 
 
+def session_range(t, grain: str = "week") -> tuple[int, int]:
+    """First and last session with a line item; every grid over the calendar starts and ends there. (1, 1) if there is none."""
+    days = t.lineitem.agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("z"))
+    a, z = days.select(*[session_index(session_start(c, grain), grain) for c in ("a", "z")]).first()
+    return (1, 1) if a is None else (a, z)
+
+
 def _bar_columns() -> list[Column]:
     px = (F.col("l_extendedprice") / F.col("l_quantity")).alias("px")
     trade = F.struct(*[F.col(c) for c in TRADE_ORDER], px)
@@ -69,6 +76,27 @@ def _stock_parts(t, grain: str) -> DataFrame:
     ).agg(*_bar_columns())
 
 
+class _Between:
+    """Tables whose line items are those of a range of weekly sessions, as a filter on the stored ship date."""
+
+    def __init__(self, t, first: int, last: int):
+        self._t, self._first, self._last = t, first, last
+
+    @property
+    def lineitem(self) -> DataFrame:
+        day = lambda k: F.date_add(F.lit(CALENDAR_START["week"]).cast("date"), 7 * k).cast("timestamp")
+        ship = F.col("l_shipdate")
+        return self._t.lineitem.where((ship >= day(self._first - 1)) & (ship < day(self._last)))
+
+    def __getattr__(self, name: str):
+        return getattr(self._t, name)
+
+
+def bars_between(t, first: int, last: int, entity: str = "supplier") -> DataFrame:
+    """Weekly bars of the sessions first to last; the range reaches the scan, so other days are not read."""
+    return bars(_Between(t, first, last), entity).where(F.col("session_ix").between(first, last))
+
+
 def bars(t, entity: str = "supplier", grain: str = "week") -> DataFrame:
     """Bars of one kind of instrument.
 
