@@ -1,13 +1,15 @@
-"""JOB-26, 29, 39, 40, 68, 69: decision ledgers and censuses."""
+"""JOB-26, 29, 36, 39, 40, 68, 69, 72, 73: decision ledgers and censuses."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sessionloom.catalog.core import query
-from sessionloom.catalog.filters import LADDER_SQL, ladder
+from sessionloom.catalog.core import ORACLES, query
+from sessionloom.catalog.filters import LADDER_SQL, ladder, lifecycle_input
 from sessionloom.catalog.joins import calendar
 from sessionloom.catalog.sqltext import FILINGS, MASTER, SPLITS, bars as B
+from sessionloom.functions.numeric import joined
+from sessionloom.operators import filters as P
 from sessionloom.operators.aggregates import attach_one_row
 from sessionloom.plans import censuses as C
 from sessionloom.sources.fixtures import bars, filings, master, session_index, splits
@@ -90,3 +92,44 @@ def _(t):
     fam = bars(t).select(F.lit("bars").alias("family"), "session_ix").unionByName(splits(t).select(F.lit("actions").alias("family"), F.col("effective_ix").alias("session_ix"))).unionByName(fil)
     year = F.year(F.date_add(F.lit("1995-01-02").cast("date"), (F.col("session_ix") - 1) * 7))
     return C.coverage_by_year(fam, year, calendar(t))
+
+
+@query("job_72_type_evidence", """with n as (select count(*) as n from supplier), r0 as (select c_custkey as k, c_custkey%n as i from customer, n),
+ r as (select case when k%23<>0 then i end as instrument_id, case when k%61=0 then 'ETF' when k%47=0 then 'ZZ' when i%5=0 then 'ADRC' else 'CS' end as type_code, 'row-'||cast(k//3 as varchar) as row_text from r0 union all select case when k%23<>0 then i end, case when k%61=0 then 'ETF' when k%47=0 then 'ZZ' when i%5=0 then 'ADRC' else 'CS' end, 'row-'||cast(k//3 as varchar) from r0 where k%10=0),
+ d as (select instrument_id, type_code, row_text, count(*) as n from r group by 1,2,3), t as (select count(*) as nd, count(instrument_id) as nl from d),
+ p as (select instrument_id, sum(n)::bigint as n_rows, count(*) as n_distinct_rows, count(distinct case when type_code<>'ZZ' then type_code end) as nt, min(case when type_code<>'ZZ' then type_code end) as only_, count(*) filter (type_code='ZZ') as nu from d where instrument_id is not null group by 1)
+ select instrument_id, n_rows, n_distinct_rows, case when nt=1 then only_ end as type_code, case when nt>1 then 'ambiguous' when nt=0 then 'quarantined' else 'classified' end as status,
+  array_to_string(list_sort(list_filter([case when nt>1 then 'conflicting_type_evidence' end, case when nt=0 then 'no_supported_type' end, case when nu>0 then 'unsupported_type_code' end], lambda x: x is not null)),'|') as reasons, round(nl/nd,6)+0.0 as linked_share, nl/nd>=0.9 as gate from p, t""")
+def _(t):
+    n = t.supplier.agg(F.count(F.lit(1)).alias("_n"))
+    k = F.col("c_custkey")
+    r = attach_one_row(t.customer.select("c_custkey"), n).withColumn("i", k % F.col("_n"))
+    code = F.when(k % 61 == 0, "ETF").when(k % 47 == 0, "ZZ").when(F.col("i") % 5 == 0, "ADRC").otherwise("CS")
+    r = r.select("c_custkey", F.when(k % 23 != 0, F.col("i")).alias("instrument_id"), code.alias("type_code"), F.concat(F.lit("row-"), F.floor(k / 3).cast("string")).alias("row_text"))
+    e = C.type_evidence(r.unionAll(r.where(k % 10 == 0)).drop("c_custkey"), 0.9)
+    return e.withColumn("linked_share", F.round("linked_share", 6) + 0.0)
+
+
+@query("job_73_package_equivalence", f"""with {B()}, s as (select session_ix, instrument_id, cast(cast(volume as bigint) as varchar) as v from b),
+ p as (select session_ix, 1 as candidate, instrument_id, case when (instrument_id+session_ix)%397=0 then v||'x' else v end as v from s where session_ix%33<>0 and not (session_ix%41=0 and instrument_id%10=0) union all select session_ix, 2, instrument_id, v from s where session_ix%20=0),
+ w as (select session_ix, count(*) as n, sum(('0x'||substr(md5(cast(instrument_id as varchar)),1,15))::bigint::hugeint) as ids, sum(('0x'||substr(md5(instrument_id||'|'||v),1,15))::bigint::hugeint) as vals from s group by 1),
+ g as (select session_ix, candidate, count(*) as n, sum(('0x'||substr(md5(cast(instrument_id as varchar)),1,15))::bigint::hugeint) as ids, sum(('0x'||substr(md5(instrument_id||'|'||v),1,15))::bigint::hugeint) as vals from p group by 1,2),
+ j as (select w.session_ix, candidate, w.n=g.n as cm, w.ids=g.ids as im, w.vals=g.vals as vm from w left join g on g.session_ix=w.session_ix),
+ a as (select session_ix, count(candidate) as n_candidates, count(*) filter (cm and im and vm) as n_exact, coalesce(bool_or(im),false) as identity_match, coalesce(bool_or(cm),false) as count_match, coalesce(bool_or(vm),false) as value_match from j group by 1)
+ select *, case when n_candidates=0 then 'missing_source' when n_exact>1 then 'several_candidates' when n_exact=1 then 'exact_equivalent' else 'identity_snapshot_mismatch' end as status from a""")
+def _(t):
+    s = bars(t).select("session_ix", "instrument_id", F.col("volume").cast("bigint").cast("string").alias("value_text"))
+    i, d = F.col("instrument_id"), F.col("session_ix")
+    one = s.where((d % 33 != 0) & ~((d % 41 == 0) & (i % 10 == 0))).withColumn("value_text", F.when((i + d) % 397 == 0, F.concat("value_text", F.lit("x"))).otherwise(F.col("value_text"))).withColumn("candidate", F.lit(1))
+    return C.package_equivalence(s, one.unionByName(s.where(d % 20 == 0).withColumn("candidate", F.lit(2))))
+
+
+@query("job_36_lifecycle_resolution", ORACLES["fil_20_lifecycle_reasons"].replace("min(session_ix) as first_seen, max(session_ix) as last_seen", "min(session_ix) as first_seen, max(session_ix) as last_seen, count(*) as n_seen").replace(
+    "end as last_seen from o left join", "end as last_seen, case when stable_id%15<>2 then n_seen end as n_seen from o left join").replace("r as (select instrument_id, list_sort", "r as (select instrument_id, stable_id, delisted, first_seen, last_seen, n_seen, list_sort").replace(
+    "select instrument_id, array_to_string", "select instrument_id, stable_id, delisted, first_seen, last_seen, n_seen, delisted-last_seen as sessions_to_delisting, (last_seen-first_seen+1)-n_seen as n_gaps, case when len(codes)>0 then 'unresolved' when delisted-last_seen>5 then 'stopped_early' else 'resolved_inactive' end as resolution, array_to_string"))
+def _(t):
+    c = F.col
+    df = P.lifecycle_reasons(lifecycle_input(t)).withColumn("n_codes", F.size("codes"))
+    gap = c("delisted") - c("last_seen")
+    return df.select("instrument_id", "stable_id", "delisted", "first_seen", "last_seen", "n_seen", gap.alias("sessions_to_delisting"), (c("last_seen") - c("first_seen") + 1 - c("n_seen")).alias("n_gaps"),
+                     F.when(c("n_codes") > 0, "unresolved").when(gap > 5, "stopped_early").otherwise("resolved_inactive").alias("resolution"), joined(c("codes")).alias("codes"), "disposition")

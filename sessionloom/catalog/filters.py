@@ -359,6 +359,17 @@ def _(t):
     return P.link_status(df).select("instrument_id", "n_ciks", "link_status")
 
 
+def lifecycle_input(t):
+    """Observed delistings with the claims on their stable identifier and the history scan of it."""
+    k = F.col("instrument_id")
+    hist = bars(t).groupBy(k.alias("stable_id")).agg(F.min("session_ix").alias("first_seen"), F.max("session_ix").alias("last_seen"), F.count(F.lit(1)).alias("n_seen"))
+    obs = t.supplier.select(F.col("s_suppkey").alias("instrument_id")).select(
+        "instrument_id", F.when(k % 14 != 0, 340 + k % 30).alias("delisted"), F.lit(session_range(t)[1]).alias("anchor"),
+        F.when(k % 9 != 0, k - F.when(k % 20 == 1, 1).otherwise(0)).alias("stable_id"), (k % 8 != 3).alias("ticker_seen"))
+    claims = obs.where("stable_id is not null").groupBy("stable_id").agg(F.count(F.lit(1)).alias("n_claims"))
+    return obs.join(claims, "stable_id", "left").join(hist.where(F.col("stable_id") % 15 != 2), "stable_id", "left")
+
+
 @query("fil_20_lifecycle_reasons", f"""with {B()}, h as (select instrument_id, min(session_ix) as first_seen, max(session_ix) as last_seen from b group by 1),
  o as (select s_suppkey as instrument_id, case when s_suppkey%14<>0 then 340+s_suppkey%30 end as delisted, case when s_suppkey%9<>0 then s_suppkey-(case when s_suppkey%20=1 then 1 else 0 end) end as stable_id, s_suppkey%8<>3 as ticker_seen from supplier),
  c as (select o.*, count(*) over (partition by stable_id) as n0, case when stable_id%15<>2 then first_seen end as first_seen, case when stable_id%15<>2 then last_seen end as last_seen from o left join h on h.instrument_id=o.stable_id),
@@ -368,13 +379,7 @@ def _(t):
    case when first_seen is not null and not ticker_seen then 'source_ticker_absent_from_canonical_history' end, case when last_seen>delisted then 'canonical_instrument_seen_after_delisted_date' end], lambda x: x is not null)) as codes from c)
  select instrument_id, array_to_string(codes,'|') as codes, case when len(codes)=0 then 'review_candidate' else 'quarantined' end as disposition from r""")
 def _(t):
-    k = F.col("instrument_id")
-    hist = bars(t).groupBy(k.alias("stable_id")).agg(F.min("session_ix").alias("first_seen"), F.max("session_ix").alias("last_seen"))
-    obs = t.supplier.select(F.col("s_suppkey").alias("instrument_id")).select(
-        "instrument_id", F.when(k % 14 != 0, 340 + k % 30).alias("delisted"), F.lit(session_range(t)[1]).alias("anchor"),
-        F.when(k % 9 != 0, k - F.when(k % 20 == 1, 1).otherwise(0)).alias("stable_id"), (k % 8 != 3).alias("ticker_seen"))
-    claims = obs.where("stable_id is not null").groupBy("stable_id").agg(F.count(F.lit(1)).alias("n_claims"))
-    df = obs.join(claims, "stable_id", "left").join(hist.where(F.col("stable_id") % 15 != 2), "stable_id", "left")
+    df = lifecycle_input(t)
     return P.lifecycle_reasons(df).select("instrument_id", joined(F.col("codes")).alias("codes"), "disposition")
 
 

@@ -91,3 +91,41 @@ def coverage_by_year(families: DataFrame, year: Column, expected: DataFrame) ->
     grid = attach_one_row(families.select("family").distinct(), years).select("family", F.explode("years").alias("year"))
     df = grid.join(want, "year").join(got, ["family", "year"], "left").na.fill(0, ["covered", "n_rows"])
     return df.withColumn("status", F.when(F.col("covered") >= F.col("expected"), "complete").when(F.col("covered") > 0, "partial").otherwise("missing"))
+
+
+KNOWN_TYPES = ("CS", "ADRC", "ETF")
+
+
+def type_evidence(rows: DataFrame, floor: float) -> DataFrame:
+    """JOB-72: security type of each instrument from reference rows (instrument_id, type_code, row_text), exact repeats dropped.
+
+    Several types make an instrument ambiguous. The gate compares the linked share of all distinct rows with ``floor``.
+    """
+    known = F.col("type_code").isin(*KNOWN_TYPES)
+    distinct = rows.groupBy("instrument_id", "type_code", "row_text").agg(F.count(F.lit(1)).alias("n"))
+    total = distinct.agg(F.count(F.lit(1)).alias("n_distinct"), F.count("instrument_id").alias("n_linked"))
+    per = distinct.where("instrument_id is not null").groupBy("instrument_id").agg(
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct_rows"), F.countDistinct(F.when(known, F.col("type_code"))).alias("n_types"), F.min(F.when(known, F.col("type_code"))).alias("only"), F.count_if(~known).alias("n_unknown"))
+    c = F.col
+    codes = reasons((c("n_types") > 1, "conflicting_type_evidence"), (c("n_types") == 0, "no_supported_type"), (c("n_unknown") > 0, "unsupported_type_code"))
+    status = first_failing((c("n_types") > 1, "ambiguous"), (c("n_types") == 0, "quarantined"), ok="classified")
+    share = c("n_linked") / c("n_distinct")
+    df = attach_one_row(per, total)
+    return df.select("instrument_id", "n_rows", "n_distinct_rows", F.when(c("n_types") == 1, c("only")).alias("type_code"), status.alias("status"), joined(codes).alias("reasons"), share.alias("linked_share"), (share >= floor).alias("gate"))
+
+
+def package_equivalence(snapshot: DataFrame, packages: DataFrame) -> DataFrame:
+    """JOB-73: for each session, whether one candidate package equals the snapshot: its ids, its count and its values.
+
+    Rows (session_ix, instrument_id, value_text; packages also candidate) are compared by order-free sums of row digests.
+    """
+    number = lambda text: F.sum(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)"))
+    sums = lambda df, by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), number(F.col("instrument_id").cast("string")).alias("ids"), number(F.concat_ws("|", F.col("instrument_id").cast("string"), "value_text")).alias("values"))
+    want = sums(snapshot, ["session_ix"])
+    got = sums(packages, ["session_ix", "candidate"]).withColumnsRenamed({"n": "pn", "ids": "pids", "values": "pvalues"})
+    c = F.col
+    j = want.join(got, "session_ix", "left").select("session_ix", "candidate", (c("n") == c("pn")).alias("count_match"), (c("ids") == c("pids")).alias("identity_match"), (c("values") == c("pvalues")).alias("value_match"))
+    exact = c("count_match") & c("identity_match") & c("value_match")
+    per = j.groupBy("session_ix").agg(F.count("candidate").alias("n_candidates"), F.count_if(exact).alias("n_exact"), *[F.coalesce(F.bool_or(x), F.lit(False)).alias(x) for x in ("identity_match", "count_match", "value_match")])
+    status = first_failing((c("n_candidates") == 0, "missing_source"), (c("n_exact") > 1, "several_candidates"), (c("n_exact") == 1, "exact_equivalent"), ok="identity_snapshot_mismatch")
+    return per.withColumn("status", status)

@@ -15,7 +15,8 @@ SAMPLE = [
     "agg_02_market_summary", "agg_09_median_mad", "agg_15_top_decile_share", "agg_32_two_level_availability", "fil_01_bar_validity", "fil_09_membership_ladder",
     "fil_13_risk_rejections", "fil_15_fact_eligibility", "joi_04_edition_diff", "joi_07_asof_backward", "joi_08_asof_forward", "joi_10_split_factor", "joi_14_match_verdict",
     "joi_28_identifier_cascade", "job_10_pair_relationships", "job_42_point_in_time", "job_51_forward_labels", "sca_15_uuid5", "set_07_multiset_difference", "src_12_company_facts",
-    "src_17_visible_text", "str_02_regime_state", "top_04_capped_selection", "win_01_lagged_returns", "win_07_robust_score", "win_28_ttm",
+    "job_19_continuation_facts", "job_26_policy_review", "job_29_actions_at_date", "job_36_lifecycle_resolution", "job_39_filer_links", "job_40_facts_census", "job_64_execution_costs", "job_68_calendar_evidence",
+    "job_69_foundation_census", "job_72_type_evidence", "job_73_package_equivalence", "set_03_symmetric_difference", "win_34_channel_rank", "src_17_visible_text", "str_02_regime_state", "top_04_capped_selection", "win_01_lagged_returns", "win_07_robust_score", "win_28_ttm",
 ]
 KEYS = sorted(SQL) if os.environ.get("SESSIONLOOM_ALL") else SAMPLE
 
