@@ -1,4 +1,4 @@
-"""JOB-18, 19, 23, 64: entry review, continuation facts, publication lanes, execution costs."""
+"""JOB-18 to 21, 23, 64: entry review, continuation facts, channels and their overlap, publication lanes, execution costs."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from sessionloom.functions.numeric import rnd
 from sessionloom.functions.staging import cut
 from sessionloom.params import entry as E
 from sessionloom.plans import entries as P
-from sessionloom.sources.fixtures import bars
+from sessionloom.sources.fixtures import bars, master
 
 ID = ["instrument_id", "session_ix"]
 IDS = "instrument_id, session_ix"
@@ -40,9 +40,12 @@ GEOMETRY_SQL = f"""{SCORE_SQL}, g1 as (select *, {_TR} as tr, coalesce((close>{l
 _OUT = {"to_sma10": "d10", "to_sma20": "d20", "move5": "mv", "gap": "ga", "range": "rg", "location": "lc", "breakout": "bd", "support": "support"}
 
 
+_PARTS = ["stock_relative_strength", "trend_quality", "volume_participation", "volatility_risk", "liquidity_suitability"]
+
+
 def reviewed(t):
     """Entry review of every scored bar."""
-    s = cut(_scored(t)).select(*ID, F.col("base_score").alias("score"), F.col("stock_relative_strength").alias("relative"), F.col("trend_quality").alias("trend"), "driver", "median_dv", "rv10", "max_gap", "confidence", F.lit(False).alias("blocked"))
+    s = cut(_scored(t)).select(*ID, F.col("base_score").alias("score"), F.col("stock_relative_strength").alias("relative"), F.col("trend_quality").alias("trend"), *_PARTS, "driver", "median_dv", "rv10", "max_gap", "confidence", F.lit(False).alias("blocked"))
     return P.entry_review(P.geometry_facts(bars(t, grain="month")).join(s, ID))
 
 
@@ -107,3 +110,33 @@ def _(t):
     u = r.select(*ID, F.round(p, 8).alias("participation"), F.explode(rows_).alias("x")).select(*ID, "participation", "x.scenario", (F.round("x.impact", 4) + F.col("x.fixed")).alias("total"))
     return u.select(*ID, "scenario", rnd("participation", 8).alias("participation"), rnd("total", 4).alias("total_bps"), rnd(F.col("total") * (ORDER / 1e4), 4).alias("total_cost"),
                     F.when(F.col("participation") <= 0.1, "within_participation_limit").otherwise("above_participation_limit").alias("capacity"))
+
+
+def _channel_sql(name):
+    setup = " ".join(f"when '{k}' then {v}" for k, v in E.SETUP_SCORES[name].items())
+    score = "0.0::double+" + "+".join(f"({k if k != 'setup' else f'(case setup {setup} end)'})*{w}::double" for k, w in E.CHANNEL_WEIGHTS[name].items())
+    status = {
+        "momentum_breakout": "case when setup='breakout_confirmed' then 'advance_to_research' when setup in ('breakout_watch','strong_but_extended') then 'watch_for_trigger' else 'deprioritized' end",
+        "strong_stock_pullback": "case when setup='pullback' then 'advance_to_research' when setup='strong_but_extended' then 'watch_for_trigger' else 'deprioritized' end",
+        "trend_continuation": "case when advanced and extension in ('low','moderate') and stock_relative_strength>=65 and trend_quality>=65 then 'advance_to_research' when score>=65 and stock_relative_strength>=55 and trend_quality>=55 then 'watch_for_trigger' else 'deprioritized' end",
+    }[name]
+    return f"select {IDS}, '{name}' as channel, case when available and ({score}) is not null then {status} else 'unavailable' end as status, case when available then round({score},6) end as cs from g8"
+
+
+CHANNEL_SQL = f"""{GEOMETRY_SQL}, tk as (select s_suppkey as instrument_id, s_name as ticker from supplier), g8 as (select *, coalesce(strong and {lag('strong', 1)}, false) as advanced from g7), ch as ({' union all '.join(map(_channel_sql, E.CHANNEL_WEIGHTS))})"""
+
+
+@query("job_20_strategy_channels", f"""with {CHANNEL_SQL}, rk as (select {IDS}, channel, row_number() over (partition by session_ix, channel order by status, cs desc, ticker, instrument_id) as rank from ch join tk using (instrument_id) where status in ('advance_to_research','watch_for_trigger'))
+ select ch.instrument_id, ch.session_ix, ch.channel, status, {R('cs', 6)} as channel_score, rank from ch left join rk on rk.instrument_id=ch.instrument_id and rk.session_ix=ch.session_ix and rk.channel=ch.channel""")
+def _(t):
+    r = reviewed(t).join(master(t).select("instrument_id", "ticker"), "instrument_id")
+    return P.channels(cut(r)).select(*ID, "channel", "status", rnd("channel_score", 6).alias("channel_score"), "rank")
+
+
+@query("job_21_channel_overlap", f"""with {CHANNEL_SQL}, s as (select session_ix, instrument_id, {', '.join(f"bool_or(channel='{n}' and status in ('advance_to_research','watch_for_trigger')) as {n}" for n in E.CHANNEL_WEIGHTS)} from ch group by 1,2),
+ p as ({' union all '.join(f"select session_ix, '{a}' as left_channel, '{b}' as right_channel, {a} as l, {b} as r from s" for i, a in enumerate(E.CHANNEL_WEIGHTS) for b in list(E.CHANNEL_WEIGHTS)[i + 1:])}),
+ g as (select session_ix, left_channel, right_channel, count(*) filter (l) as n_left, count(*) filter (r) as n_right, count(*) filter (l and r) as n_both, count(*) filter (l or r) as n_union, count(*) filter (l and not r) as left_only, count(*) filter (r and not l) as right_only from p group by 1,2,3)
+ select *, {R('case when n_union>0 then n_both/n_union else 0.0 end')} as jaccard, left_only=0 as left_in_right, right_only=0 as right_in_left from g""")
+def _(t):
+    r = reviewed(t).join(master(t).select("instrument_id", "ticker"), "instrument_id")
+    return P.channel_overlap(P.channels(cut(r))).withColumn("jaccard", rnd("jaccard"))

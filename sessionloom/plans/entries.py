@@ -97,3 +97,57 @@ def continuation_facts(bars: DataFrame) -> DataFrame:
         ((c("_lo") - c("_plo")) / unit).alias("low_vs_prior_5_atr"), ((c("_hi") - c("_phi")) / unit).alias("high_vs_prior_5_atr"), whole(c("_v5") / c("_v15")).alias("volume_5_to_prior_15"),
         ((c("_bhi") - c("_blo")) / before).alias("base_range_10_atr"), (c("_p5") / before).alias("prior_atr_5_to_14"), ((c("close") - c("_high20")) / before).alias("close_vs_high_20_atr"),
         ((c("close") - c("_pc")) / before).alias("close_move_atr"), ((c("close") - c("open")) / before).alias("intraday_move_atr"), whole(F.when(c("_path") > 0, F.abs("lr") / c("_path")).otherwise(0.0)).alias("current_share_10"))
+
+
+def _channel_status(channel: str) -> Column:
+    """advance / watch / deprioritized of an assessable candidate."""
+    setup, c = F.col("setup"), F.col
+    if channel == "momentum_breakout":
+        return first_failing((setup == "breakout_confirmed", "advance_to_research"), (setup.isin("breakout_watch", "strong_but_extended"), "watch_for_trigger"), ok="deprioritized")
+    if channel == "strong_stock_pullback":
+        return first_failing((setup == "pullback", "advance_to_research"), (setup == "strong_but_extended", "watch_for_trigger"), ok="deprioritized")
+    high = c("stock_relative_strength") >= E.TREND_ADVANCE
+    advance = c("advanced") & c("extension").isin("low", "moderate") & high & (c("trend_quality") >= E.TREND_ADVANCE)
+    watch = (c("score") >= E.TREND_WATCH_BASE) & (c("stock_relative_strength") >= E.TREND_WATCH) & (c("trend_quality") >= E.TREND_WATCH)
+    return first_failing((advance, "advance_to_research"), (watch, "watch_for_trigger"), ok="deprioritized")
+
+
+def channels(reviewed: DataFrame) -> DataFrame:
+    """JOB-20: status, score and rank of every candidate in each channel that prices and volumes can answer.
+
+    A candidate has advanced when it was strong in this session and the one before (two sessions confirm a step). Ranks count those that
+    advance or are watched, in that order, by score and ticker; a session's ranks are distributed, not one window.
+    """
+    from sessionloom.functions.ranking import rank_table
+
+    df = reviewed.withColumn("advanced", F.coalesce(F.col("strong") & W.lagged("strong", 1), F.lit(False)))
+    made = []
+    for name, weights in E.CHANNEL_WEIGHTS.items():
+        setup = F.element_at(F.create_map(*[F.lit(x) for kv in E.SETUP_SCORES[name].items() for x in kv]), F.col("setup"))
+        score = sum((F.col(k) * w if k != "setup" else setup * w for k, w in weights.items()), F.lit(0.0))
+        ok = F.col("available") & score.isNotNull()
+        made.append(F.struct(F.lit(name).alias("channel"), F.when(ok, _channel_status(name)).otherwise("unavailable").alias("status"), F.when(ok, F.round(score, 6)).alias("channel_score")))
+    df = df.withColumn("_c", F.explode(F.array(*made))).select("session_ix", "instrument_id", "ticker", "_c.*")
+    listed = df.where(F.col("status").isin("advance_to_research", "watch_for_trigger")).withColumn("below", -F.col("channel_score"))
+    tied = ["session_ix", "channel", "status", "below"]
+    r = rank_table(listed, tied[:3], "below").select(*tied, "n_lower")
+    first = listed.groupBy("session_ix", "channel").agg(F.count_if(F.col("status") == "advance_to_research").alias("n_first"))
+    among = F.row_number().over(Window.partitionBy(*tied).orderBy("ticker", "instrument_id"))
+    ranked = listed.withColumn("_among", among).join(r, tied).join(first, ["session_ix", "channel"])
+    rank = F.col("n_lower") + F.col("_among") + F.when(F.col("status") == "watch_for_trigger", F.col("n_first")).otherwise(0)
+    ranked = ranked.select("session_ix", "channel", "instrument_id", rank.cast("bigint").alias("rank"))
+    return df.join(ranked, ["session_ix", "channel", "instrument_id"], "left")
+
+
+def channel_overlap(assessed: DataFrame) -> DataFrame:
+    """JOB-21: per session and pair of channels, how far their members coincide; counts per instrument come first."""
+    names = list(E.CHANNEL_WEIGHTS)
+    listed = F.col("status").isin("advance_to_research", "watch_for_trigger")
+    sets = assessed.groupBy("session_ix", "instrument_id").agg(*[F.bool_or(listed & (F.col("channel") == n)).alias(n) for n in names])
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    rows = F.array(*[F.struct(F.lit(a).alias("left_channel"), F.lit(b).alias("right_channel"), F.col(a).alias("l"), F.col(b).alias("r")) for a, b in pairs])
+    per = sets.select("session_ix", F.explode(rows).alias("p")).select("session_ix", "p.*")
+    c, n = F.col, F.count_if
+    g = per.groupBy("session_ix", "left_channel", "right_channel").agg(
+        n(c("l")).alias("n_left"), n(c("r")).alias("n_right"), n(c("l") & c("r")).alias("n_both"), n(c("l") | c("r")).alias("n_union"), n(c("l") & ~c("r")).alias("left_only"), n(c("r") & ~c("l")).alias("right_only"))
+    return g.withColumn("jaccard", F.when(c("n_union") > 0, c("n_both") / c("n_union")).otherwise(0.0)).withColumn("left_in_right", c("left_only") == 0).withColumn("right_in_left", c("right_only") == 0)
