@@ -66,7 +66,7 @@ def choose_source(packages: DataFrame, session: str, priority: str) -> DataFrame
     """SRC-20: the single valid package of the best priority; several at that priority are ambiguous."""
     valid = F.col("valid")
     g = packages.groupBy(session).agg(
-        F.min(F.when(valid, F.col(priority))).alias("_best"), F.collect_set(F.when(valid, F.col(priority))).alias("_p"))
+        F.min(F.when(valid, F.col(priority))).alias("_best"))
     best = packages.join(g.select(session, "_best"), session).groupBy(session).agg(
         F.count_if(valid & (F.col(priority) == F.col("_best"))).alias("n_best"), F.min(F.when(valid & (F.col(priority) == F.col("_best")), F.col("package"))).alias("_pick"))
     return best.select(session, F.when(F.col("n_best") == 0, "missing").when(F.col("n_best") == 1, "selected").otherwise("ambiguous").alias("status"), F.when(F.col("n_best") == 1, F.col("_pick")).alias("package"))

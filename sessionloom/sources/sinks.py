@@ -35,7 +35,10 @@ def publish_sessions(new: DataFrame, root: str, schema: str, fields: list[str])
     spark = new.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    stored = read_sessions(spark, root, schema) if exists else spark.createDataFrame([], schema)
+    # the batch's own range of sessions prunes the partitions that are read back
+    first, last = new.agg(F.min("session_ix"), F.max("session_ix")).first()
+    known = F.lit(False) if first is None else F.col("session_ix").between(first, last)
+    stored = (read_sessions(spark, root, schema) if exists else spark.createDataFrame([], schema)).where(known)
     # stored before the append: a cached plan over the same folder would be refreshed by the write
     plan = cut(publish_plan(new, stored, fields))
     fresh = new.join(plan.where("action = 'write'").select("session_ix"), "session_ix", "left_semi")

@@ -31,13 +31,16 @@ def _processor():
 
     class RegimeState(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("regime", STATE_SCHEMA)
+            self.state = handle.getValueState("regime", f"{STATE_SCHEMA}, last int")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             batch = pd.concat(list(rows)).sort_values("session_ix")
-            current = tuple(self.state.get()) if self.state.exists() else EMPTY
-            out, current = fold(zip(batch.session_ix, batch.score), current)
-            self.state.update(current)
+            *current, last = tuple(self.state.get()) if self.state.exists() else (*EMPTY, None)
+            scores = dict(zip(batch.session_ix.astype(int), batch.score))
+            # a session without a row is a missing score, which pauses the counter as in the batch form
+            start = min(scores) if last is None else last + 1
+            out, current = fold(((ix, scores.get(ix)) for ix in range(start, max(scores) + 1)), tuple(current))
+            self.state.update((*current, max(last or 0, max(scores))))
             frame = pd.DataFrame(out, columns=COLUMNS)
             frame.insert(0, "universe_id", key[0])
             yield frame
@@ -51,7 +54,8 @@ def _processor():
 def regime_stream(scores: DataFrame) -> DataFrame:
     """STR-02 as a stream: one value state per universe, advanced by the sessions of each batch.
 
-    Sessions of a key must arrive in order, one or more per batch; a silent session is a null score.
+    Sessions of a key must arrive in order, one or more per batch; a session that is skipped counts as a null score as soon as a
+    later one arrives.
     """
     return scores.groupBy("universe_id").transformWithStateInPandas(
         statefulProcessor=_processor(), outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode="None")

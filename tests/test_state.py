@@ -64,6 +64,22 @@ def test_stream_equals_batch(spark):
     assert got.select(cols).exceptAll(want.select(cols)).count() == 0
 
 
+def test_stream_notices_skipped_sessions(spark):
+    random.seed(6)
+    rows = [(u, i, random.uniform(0, 100)) for u in range(3) for i in range(1, 25) if i in (1, 24) or random.random() < 0.7]
+    df = spark.createDataFrame(rows, streams.SCORE_SCHEMA)
+    source, out, check = (tempfile.mkdtemp(prefix="run-") for _ in range(3))
+    for lo, hi in ((1, 8), (9, 16), (17, 24)):
+        df.where(F.col("session_ix").between(lo, hi)).coalesce(1).write.mode("append").parquet(source)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(streams.SCORE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    q = streams.regime_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    cols = ["universe_id", "session_ix", "confirmed", "status", "pending_count"]
+    got, want = spark.read.parquet(out).select(cols), folds.state_history(df, 1, 24).select(cols)
+    assert got.count() == 72 and got.exceptAll(want).count() == 0
+
+
 def test_publish_is_idempotent(spark):
     root = tempfile.mkdtemp(prefix="run-") + "/store"
     rows = [(i, float(i * s), 10.0, s) for i in range(5) for s in (1, 2, 3)]
