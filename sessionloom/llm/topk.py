@@ -116,8 +116,8 @@ def _search(k: int):
     def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(vectors):
-            width = max(max(map(len, queries["v"])), max(map(len, vectors["v"])))
-            tree = Tree(_matrix(vectors["v"], width), vectors["vec_id"].to_numpy(np.int64))
+            width = max(max(map(len, queries["v"])), max(map(len, vectors["c"])))
+            tree = Tree(_matrix(vectors["c"], width), vectors["vec_id"].to_numpy(np.int64))
             own = queries["query_id"].to_numpy(np.int64)
             for i, found in tree.search(_matrix(queries["v"], width), own, k, queries["floor_score"].to_numpy(np.int64), queries["floor_id"].to_numpy(np.int64)):
                 out += [(own[i], queries["tie"].iat[i], -v, s) for s, v in found]
@@ -140,7 +140,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     def searched(asking: DataFrame, first: bool) -> DataFrame:
         meet = (lambda b, s: b % shards == s) if first else (lambda b, s: b % shards != s)
         left = asking.withColumn("shard", F.explode(F.filter(all_shards, lambda s: meet(F.col("block"), s))))
-        right = place.select("vec_id", "v", "shard", F.explode(F.filter(all_blocks, lambda b: meet(b, F.col("shard")))).alias("block"))
+        right = place.select("vec_id", F.col("v").alias("c"), "shard", F.explode(F.filter(all_blocks, lambda b: meet(b, F.col("shard")))).alias("block"))
         return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_search(k), "query_id long, tie long, vec_id long, score long")
 
     none = queries.withColumn("floor_score", F.lit(0).cast("long")).withColumn("floor_id", F.lit(-1).cast("long"))
