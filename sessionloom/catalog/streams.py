@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionloom.catalog.core import R, query
-from sessionloom.catalog.market import daily_composite
+from sessionloom.catalog.market import _composite_sql, daily_composite, regime_metrics
 from sessionloom.catalog.sqltext import FILINGS, I, bars as B, lag
 from sessionloom.functions.numeric import rnd
+from sessionloom.plans import market as M
 from sessionloom.sources import sinks
 from sessionloom.sources.fixtures import bars, filings, session_range
 from sessionloom.streaming import folds, streams as S
@@ -18,10 +19,10 @@ IDS = "instrument_id, session_ix"
 
 # the fold in SQL: a recursive walk over the calendar, one row per key and session
 _BAND = "case when s>=70 then 'risk_on' when s>=50 then 'balanced' when s>=30 then 'defensive' else 'stress' end"
-_WALK = f"""d as (select user_id as universe_id, cast(date_diff('day', (select cast(min(ts) as date) from events), cast(ts as date))+1 as int) as session_ix, least(100.0, round(avg(value)*2,4)) as score from events group by 1,2),
- k as (select distinct universe_id from d), g as (select universe_id, cast(x.range as int) as session_ix from k, (select unnest(range(1,(select max(session_ix)+1 from d))) as range) x),
+_DAYS = """d as (select user_id as universe_id, cast(date_diff('day', (select cast(min(ts) as date) from events), cast(ts as date))+1 as int) as session_ix, least(100.0, round(avg(value)*2,4)) as score from events group by 1,2)"""
+_FOLD = f"""k as (select distinct universe_id from d), g as (select universe_id, cast(x.range as int) as session_ix from k, (select unnest(range((select min(session_ix) from d),(select max(session_ix)+1 from d))) as range) x),
  e as (select g.universe_id, g.session_ix, d.score as s, case when d.score is not null then {_BAND.replace('s>=', 'd.score>=')} end as cand from g left join d on d.universe_id=g.universe_id and d.session_ix=g.session_ix),
- w as (select universe_id, 0 as session_ix, null::varchar as conf, false as prov, null::varchar as pend, 0 as cnt, null::varchar as status from k
+ w as (select universe_id, (select cast(min(session_ix)-1 as int) from d) as session_ix, null::varchar as conf, false as prov, null::varchar as pend, 0 as cnt, null::varchar as status from k
   union all select universe_id, session_ix, x.conf, x.prov, x.pend, x.cnt, x.status from (
    select e.universe_id, e.session_ix, case
      when e.s is null then {{'conf': w.conf, 'prov': w.prov, 'pend': w.pend, 'cnt': w.cnt, 'status': case when w.conf is not null then 'unavailable_stale' else 'unavailable_uninitialized' end}}
@@ -37,16 +38,17 @@ _WALK = f"""d as (select user_id as universe_id, cast(date_diff('day', (select c
    left join (values ('risk_on','balanced',-1e9,65.0,2),('balanced','risk_on',70.0,1e9,2),('balanced','defensive',-1e9,45.0,2),('defensive','balanced',55.0,1e9,2),('defensive','stress',-1e9,30.0,2),('stress','defensive',35.0,1e9,3)) r(src,tgt,lo,hi,n) on r.src=w.conf and e.s>=r.lo and e.s<r.hi))"""
 
 
-@query("str_02_regime_state", f"with recursive {_WALK} select w.universe_id, w.session_ix, conf as confirmed, prov as provisional, pend as pending, w.cnt as pending_count, status, cand as candidate from w join e on e.universe_id=w.universe_id and e.session_ix=w.session_ix")
+@query("str_02_regime_state", f"with recursive {_DAYS}, {_FOLD} select w.universe_id, w.session_ix, conf as confirmed, prov as provisional, pend as pending, w.cnt as pending_count, status, cand as candidate from w join e on e.universe_id=w.universe_id and e.session_ix=w.session_ix")
 def _(t):
     h = folds.state_history(*daily_composite(t))
     return h.select("universe_id", "session_ix", "confirmed", "provisional", "pending", "pending_count", "status", "candidate")
 
 
-@query("job_08_market_state", f"with recursive {_WALK} select w.universe_id, w.session_ix, {R('e.s', 4)} as score, conf as confirmed, status from w join e on e.universe_id=w.universe_id and e.session_ix=w.session_ix")
+@query("job_08_market_state", f"with recursive {_composite_sql()}, d as (select 1::bigint as universe_id, cast(session_ix as int) as session_ix, regime_score as score from cp), {_FOLD} select w.session_ix, {R('e.s', 4)} as score, cand as candidate, conf as confirmed, prov as provisional, pend as pending, w.cnt as pending_count, status from w join e on e.universe_id=w.universe_id and e.session_ix=w.session_ix")
 def _(t):
-    h = folds.state_history(*daily_composite(t))
-    return h.select("universe_id", "session_ix", rnd("score", 4).alias("score"), "confirmed", "status")
+    c = M.composite(regime_metrics(t)).select(F.lit(1).cast("bigint").alias("universe_id"), "session_ix", F.col("regime_score").alias("score"))
+    h = folds.state_history(c, *session_range(t, "month"))
+    return h.select("session_ix", rnd("score", 4).alias("score"), "candidate", "confirmed", "provisional", "pending", "pending_count", "status")
 
 
 @query("str_07_late_rows", f"with {B()} select session_ix, case when session_ix>300 then 'new' when (instrument_id+session_ix)%30=0 then 'quarantined_changed' else 'accepted_equal' end as verdict, count(*) as n from b group by 1,2")
