@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isEmpty():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="sessionloom-"))
             current = sc._jsc.sc().getCheckpointDir()
         folder = current.get()
@@ -34,6 +36,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in pieces of at most ``rows`` rows, so that only few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -73,3 +82,22 @@ def numbered(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
     before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     local = parts.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     return local.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__row") - 1).drop("__part", "__row", "__before")
+
+
+def join_counted(big: DataFrame, counted: DataFrame, keys: list[str], spread: list[str], n: str = "n") -> DataFrame:
+    """Inner join of ``big`` with ``counted``, which has one row per key and in column ``n`` the rows of ``big`` that have it.
+
+    Keys with more rows than a quarter of an even share of a task are split: ``counted`` is copied once per part and the rows of
+    ``big`` are dealt to the parts by a hash of ``spread``. Fewer than four keys per task can be that heavy, so their list is
+    broadcast and the copies stay within four per task. Apart from that list nothing is broadcast: the join is dealt in the same way at
+    every size. ``counted`` should be stored; it is read three times.
+    """
+    tasks = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    share = max(1, -(-total // (4 * tasks)))
+    parts = F.ceil(F.col(n) / share).cast("int")
+    heavy = counted.filter(F.col(n) > share).select(*keys, parts.alias("__parts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(F.lit(29), *spread), F.col("__parts")), F.lit(0)).cast("int")
+    salted = big.join(F.broadcast(heavy), keys, "left").withColumn("__salt", salt).drop("__parts")
+    copies = counted.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0)))))
+    return salted.join(copies.hint("merge"), [*keys, "__salt"]).drop("__salt")

@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Model file of the production query; a public vocabulary with byte fallback.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Entries of each lookup table, characters of the longest entry.
-TABLE, LONG = 1 << 19, 48
+#: Spans in each half of their lookup table, pairs in theirs, characters of the longest span: some 100 MB in all.
+TABLE, PAIRS, LONG = 1 << 17, 1 << 18, 48
 
 
 class Pieces:
@@ -58,6 +60,7 @@ class Pieces:
         # spans between boundaries that no piece crosses
         self.split = re.compile(f"{loose}*[^{loose}{breaks}]+|{loose}+|\n" if loose and breaks else f"{loose}*[^{loose}]+|{loose}+" if loose else "(?s:.+)").findall
         self.found: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.text_of = {i: p for p, i in self.id_of.items()}
         self.ending = self._ending()
@@ -79,7 +82,7 @@ class Pieces:
         """Whether two pieces (ids, or -1 - code point for a character without a piece) are still two after merging."""
         key = (a, b)
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= TABLE:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             pair = [self.text_of[x] if x >= 0 else chr(-1 - x) for x in key]
             known = self.pairs[key] = self.merged(pair[0] + pair[1]) == pair
@@ -96,30 +99,26 @@ class Pieces:
                 node[0] = i
         return root
 
-    def search(self, text: Iterable[str]) -> Iterator[list[str]]:
+    def search(self, text: Iterable[str]) -> Iterator[list[int]]:
         """Pieces of a stream of characters, in lists, each as soon as it is certain."""
         window = ""  # characters since the last committed boundary, and for each boundary between them:
         back, last, score = [0], [None], [0.0]  # where its last piece begins, that piece, and the sum of scores
-        limit, bpe, pairs = 4 * self.longest, self.kind == "bpe", self.pairs
+        limit, bpe, pairs, root, n = 4 * self.longest, self.kind == "bpe", self.pairs.get, self.ending, 0
         for char in text:
             window += char
-            n = j = len(window)
-            node, ends = self.ending, []
-            while j:
-                node = node.get(window[j - 1])
-                if node is None:
-                    break
+            j, n = n, n + 1
+            node = root.get(char)
+            ends = [(j, node[0])] if node is not None and 0 in node else [(j, -1 - ord(char))]
+            while node is not None and j:
                 j -= 1
-                if 0 in node:
+                node = node.get(window[j])
+                if node is not None and 0 in node:
                     ends.append((j, node[0]))
-            if not ends or ends[0][0] != n - 1:
-                ends.insert(0, (n - 1, -1 - ord(char)))
-            ends.reverse()
             best = None
-            for j, piece in ends:
+            for j, piece in reversed(ends):
                 if bpe:
                     before = last[j]
-                    if before is None or pairs.get((before, piece)) or self._stays(before, piece):
+                    if before is None or (known := pairs((before, piece))) or known is None and self._stays(before, piece):
                         choice, kept = j, piece
                         break
                 else:
@@ -131,14 +130,15 @@ class Pieces:
             score.append(best or 0.0)
             if n >= limit:
                 if meet := self._meeting(back, n):
-                    yield self._path(window, back, meet)
+                    yield self._path(last, back, meet)
                     window = window[meet:]
+                    n -= meet
                     back = [0] + [b - meet for b in back[meet + 1 :]]
                     last = last[meet:]  # the piece before the window still decides what may follow it
                     score = [s - score[meet] for s in score[meet:]]
-                limit = len(window) + 2 * self.longest
-        if window:
-            yield self._path(window, back, len(window))
+                limit = n + 2 * self.longest
+        if n:
+            yield self._path(last, back, n)
 
     def _meeting(self, back: list[int], n: int) -> int:
         """The last boundary that the paths of all boundaries which can be continued have in common."""
@@ -152,22 +152,26 @@ class Pieces:
         return max(paths)
 
     @staticmethod
-    def _path(window: str, back: list[int], end: int) -> list[str]:
+    def _path(last: list, back: list[int], end: int) -> list[int]:
+        """Pieces on the path to a boundary: ids, and -1 - code point for characters without a piece."""
         out = []
         while end:
-            out.append(window[back[end] : end])
+            out.append(last[end])
             end = back[end]
         return out[::-1]
 
-    def _ids(self, piece: str) -> list[int]:
-        i = self.id_of.get(piece)
-        return [i] if i is not None else [self.byte_ids.get(b, self.unknown) for b in piece.encode("utf-8", "surrogatepass")]
+    def _ids(self, piece: int) -> list[int]:
+        return [piece] if piece >= 0 else [self.byte_ids.get(b, self.unknown) for b in chr(-1 - piece).encode("utf-8", "surrogatepass")]
 
     def _span(self, span: str) -> bytes:
-        ids = array("i", [i for pieces in self.search(span) for p in pieces for i in self._ids(p)]).tobytes()
+        """Ids of a span that is not among those found lately: from the older half of the table, or searched for."""
+        ids = self.older.pop(span, None)
+        if ids is None:
+            found = [p for part in self.search(span) for p in part]
+            ids = array("i", found if min(found) >= 0 else [i for p in found for i in self._ids(p)]).tobytes()
         if len(span) <= LONG:
             if len(self.found) >= TABLE:
-                self.found.clear()
+                self.older, self.found = self.found, {}
             self.found[span] = ids
         return ids
 
@@ -180,9 +184,8 @@ class Pieces:
             part = part.replace(" ", SPACE)
             if not n and text:
                 part = SPACE + part
-            get = self.found.get
             for span in self.split(part):
-                out += get(span) or self._span(span)
+                out += self.found.get(span) or self._span(span)
         return bytes(out)
 
     def _ids_of_mark(self) -> list[int]:
@@ -214,20 +217,18 @@ def encode_documents(docs: DataFrame, model: str = MODEL, kind: str = "bpe", che
 
     def run(batches):
         pieces = loaded(sent.value, kind)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                flat, ends, same = bytearray(), [0], []
-                texts = batch.column("text").to_pylist()
-                for text in texts:
-                    ids = pieces.encode(text or "")
-                    same.append(None if text is None else pieces.decode(np.frombuffer(ids, np.int32).tolist()) == text if check else None)
-                    flat += ids
-                    ends.append(len(flat) // 4)
-                none = np.array([t is None for t in texts], bool)
-                lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)), mask=pa.array(none))
-                sizes = pa.array(np.diff(ends).astype(np.int64), mask=none)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
+        for batch in slices(batches):
+            flat, ends, same = bytearray(), [0], []
+            texts = batch.column("text").to_pylist()
+            for text in texts:
+                ids = pieces.encode(text or "")
+                same.append(None if text is None else pieces.decode(np.frombuffer(ids, np.int32).tolist()) == text if check else None)
+                flat += ids
+                ends.append(len(flat) // 4)
+            none = np.array([t is None for t in texts], bool)
+            lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)), mask=pa.array(none))
+            sizes = pa.array(np.diff(ends).astype(np.int64), mask=none)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
@@ -239,7 +240,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches):
         pieces = loaded(sent.value, "bpe")
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if ids is None else pieces.decode(ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
