@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small, stored
+from .common import join_small, slices, stored
 
 #: Languages of the production query; trigram classes; smoothing; the weight that text evidence tends to; least posterior.
 LANGUAGES = ("de", "en", "es", "fr")
@@ -47,7 +47,7 @@ def trigram_counts(rows: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
 
     def run(batches):
         counts = np.zeros((len(languages), CLASSES), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text, declared in zip(batch.column("text").to_pylist(), batch.column("declared").to_pylist()):
                 if (at := place.get(declared)) is not None and len(grams := trigrams(text)):
                     counts[at] += np.bincount(grams, minlength=CLASSES)
@@ -77,7 +77,7 @@ def _text_only(model, languages):
     """declared, host and the place of the language that is most probable by text alone (null without letters)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             best = [None if (e := text_evidence(t, model.value)) is None else int(np.argmax(e)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("declared"), batch.column("host"), pa.array(best, pa.int32())], ["declared", "host", "best"])
 
@@ -139,7 +139,7 @@ def identified(rows: DataFrame, text: Column, declared: Column, host: Column, la
     schema = T.StructType([*joined.select(*carry).schema.fields, T.StructField("language", T.StringType()), T.StructField("posterior", T.DoubleType()), T.StructField("keep", T.BooleanType())])
 
     def fuse(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names, sure, keep = [], [], []
             for t, d, p, s in zip(*(batch.column(c).to_pylist() for c in ("__text", "__declared", "__prior", "__suffix"))):
                 evidence = text_evidence(t, model.value)

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: Labelled rows to fit on, feature classes, grades, steps of the fit, pull of weights to zero, texts
 #: of the sample that a feature must be in, least tail probability.
 SAMPLE, DIMENSIONS, GRADES, STEPS, PULL, COMMON, LEAST = 8192, 1 << 18, 3, 150, 5e-4, 5, 0.5
@@ -39,7 +41,7 @@ class Classes(dict):
     """Feature class of a word; starts anew when full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 17:
             self.clear()
         c = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % DIMENSIONS
         return c
@@ -122,7 +124,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
 
     def run(batches):
         classes = Classes()
-        for batch in batches:
+        for batch in slices(batches):
             found = [features(t, classes) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "grade", "found"])
 
@@ -142,7 +144,7 @@ def scored(docs: DataFrame, model: Model, least: float = LEAST, carry: tuple[str
 
     def run(batches):
         classes = Classes()
-        for batch in batches:
+        for batch in slices(batches):
             chances, some = [], []
             for text in batch.column("__text").to_pylist():
                 found = features(text, classes)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Vocabulary of the production query: byte-level pieces, base64 and rank in each line.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary splits a text before it merges bytes.
@@ -97,21 +99,19 @@ def section_tokens(docs: DataFrame, starts: str | None = None, rule: str = "star
         if "it" not in made:
             made["it"] = Tokenizer(sent.value)
         tokenizer = made["it"]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                out = []
-                rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("starts").to_pylist())
-                for doc_id, text, given in rows:
-                    if not text:
-                        continue
-                    begin = line_starts(text) if starts is None else np.unique([0, *(x for x in given or () if x is not None and 0 < x < len(text))])
-                    counts, cross = attributed(*tokenizer.spans(text), begin, len(text), rule)
-                    size = len(begin)
-                    out.append((np.full(size, doc_id if doc_id is not None else 0, np.int64), np.full(size, doc_id is None), np.arange(size, dtype=np.int32), begin.astype(np.int64), np.diff(np.append(begin, len(text))).astype(np.int64), counts, cross.astype(np.int64)))
-                if out:
-                    ids, none, *rest = (np.concatenate(x) for x in zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=none), *map(pa.array, rest)], ["doc_id", "section", "first_char", "chars", "tokens", "crossing"])
+        for batch in slices(batches):
+            out = []
+            rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("starts").to_pylist())
+            for doc_id, text, given in rows:
+                if not text:
+                    continue
+                begin = line_starts(text) if starts is None else np.unique([0, *(x for x in given or () if x is not None and 0 < x < len(text))])
+                counts, cross = attributed(*tokenizer.spans(text), begin, len(text), rule)
+                size = len(begin)
+                out.append((np.full(size, doc_id if doc_id is not None else 0, np.int64), np.full(size, doc_id is None), np.arange(size, dtype=np.int32), begin.astype(np.int64), np.diff(np.append(begin, len(text))).astype(np.int64), counts, cross.astype(np.int64)))
+            if out:
+                ids, none, *rest = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=none), *map(pa.array, rest)], ["doc_id", "section", "first_char", "chars", "tokens", "crossing"])
 
     given = F.col(starts).cast("array<int>") if starts else F.lit(None).cast("array<int>")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), given.alias("starts"))
