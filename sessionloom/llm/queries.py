@@ -45,6 +45,11 @@ from documents d join z using (doc_id)
 """
 
 
+def op2_whole_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with every repeated run deleted up to its last line."""
+    return lines.without_repeats(table(spark, sf_dir, "documents"), whole=True)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.document_languages(table(spark, sf_dir, "documents"))
 
@@ -113,5 +118,5 @@ def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op2_line_dedup": op2_line_dedup, "op3_language_id": op3_language_id, "page_language_id": page_language_id, "op4_exact_top_k": op4_exact_top_k, "op5_sentencepiece": op5_sentencepiece, "op6_quality_grade": op6_quality_grade, "op7_piecewise_hash": op7_piecewise_hash, "op8_source_mix": op8_source_mix, "op9_minhash_dedup": op9_minhash_dedup, "op10_section_tokens": op10_section_tokens}
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_line_dedup": op2_line_dedup, "op2_whole_runs": op2_whole_runs, "op3_language_id": op3_language_id, "page_language_id": page_language_id, "op4_exact_top_k": op4_exact_top_k, "op5_sentencepiece": op5_sentencepiece, "op6_quality_grade": op6_quality_grade, "op7_piecewise_hash": op7_piecewise_hash, "op8_source_mix": op8_source_mix, "op9_minhash_dedup": op9_minhash_dedup, "op10_section_tokens": op10_section_tokens}
 ORACLES = {"op1_url_filters": OP1, "op2_line_dedup": OP2, "op4_exact_top_k": OP4, "op8_source_mix": OP8}

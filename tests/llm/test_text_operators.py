@@ -125,6 +125,42 @@ def test_line_runs(spark):
     assert sum(len(x) for x in gone.values()) > 50
 
 
+def lines_of_runs(docs, words):
+    """Brute force: lines of maximal runs of ``words`` words or more that two places have in common, at the later place."""
+    texts = [(d, t, [(i, x.strip(" \t\n\r\x0b\x0c")) for i, x in enumerate(t.split("\n")) if WORD.search(x)]) for d, t in set(docs) if t]
+    gone = collections.defaultdict(set)
+    for d, t, mine in texts:
+        for e, u, other in texts:
+            for p in range(len(mine)):
+                for q in range(len(other)):
+                    if ((e is None, e or 0), other[q][0]) >= ((d is None, d or 0), mine[p][0]) or (p and q and mine[p - 1][1] == other[q - 1][1]):
+                        continue
+                    n = 0
+                    while p + n < len(mine) and q + n < len(other) and mine[p + n][1] == other[q + n][1]:
+                        n += 1
+                    if sum(len(WORD.findall(x)) for _, x in mine[p : p + n]) >= words:
+                        gone[(d, t)].update(range(mine[p][0], mine[p + n - 1][0] + 1))
+    return gone
+
+
+def test_whole_runs(spark):
+    """A run goes up to its last line, whatever the sizes of its lines."""
+    rnd = random.Random(15)
+    pool = [prose(i, rnd.choice([1, 3, 9, 14, 22])) for i in range(12)] + ["", "  "]
+    docs = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 25)))) for i in range(40)]
+    docs += [(100, docs[3][1]), (100, docs[3][1]), (None, docs[5][1]), (101, None), (102, ""), (103, "\n".join([pool[0]] * 40))]
+    for n, sizes in enumerate(([60, 40], [45, 10, 10], [20, 60, 45], [15, 10])):
+        run = "\n".join(prose(500 + 10 * n + i, size) for i, size in enumerate(sizes))
+        docs += [(200 + 2 * n + i, "\n".join([prose(600 + 2 * n + i, 30), run, prose(700 + 2 * n + i, 30)])) for i in range(2)]
+    gone = lines_of_runs(docs, 20)
+    got = collections.Counter((r.doc_id, r.text, r.deleted) for r in lines.without_repeats(frame(spark, [(*d, "en", "s") for d in docs]), 20, whole=True).collect())
+    assert got == collections.Counter((d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[(d, t)]) if t else t, len(gone[(d, t)])) for d, t in docs)
+    kept = {r.doc_id: r.text for r in lines.deduplicated(frame(spark, [(*d, "en", "s") for d in docs[-8:]])).collect()}
+    for n in range(3):  # 50 words: the first three runs go as a whole, the last one stays
+        assert kept[201 + 2 * n] == prose(601 + 2 * n, 30) + "\n" + prose(701 + 2 * n, 30)
+    assert kept[207] == docs[-1][1]
+
+
 def test_winnowing_guarantee():
     """Equal windows choose the same line."""
     rnd = random.Random(2)
