@@ -486,6 +486,21 @@ def test_large_bucket_of_near_copies(spark):
     assert got == {0}
 
 
+def test_near_classes_repeated_passages(spark):
+    """A passage that one text repeats doesn't hide a pair whose sets are alike."""
+    rnd = random.Random(21)
+    docs = []
+    for i in range(0, 80, 2):
+        size, extra, times = ((124, 16, 200), (104, 20, 500))[i // 2 % 2]
+        base = " ".join(f"w{rnd.randrange(90000)}" for _ in range(size))
+        line = " ".join(f"v{rnd.randrange(90000)}" for _ in range(extra))
+        docs += [(i, base), (i + 1, base + (" " + line) * (1 + times))]
+    want = true_classes(docs)
+    assert want == [i - i % 2 for i in range(80)]
+    got = {r.doc_id: r["class"] for r in probminhash.near_classes(frame(spark, [(*d, "en", "s") for d in docs])).collect()}
+    assert [got[i] for i in range(80)] == want
+
+
 # token counts
 
 
