@@ -501,6 +501,31 @@ def test_near_classes_repeated_passages(spark):
     assert [got[i] for i in range(80)] == want
 
 
+def test_links_of_members_that_fail_all_leaders(spark):
+    """Members of two classes are linked though neither is like the other's leader, and chains of edits are followed in a bucket of 200."""
+    base, rnd = [f"c{i}" for i in range(400)], random.Random(23)
+    kinds = {}
+    for i in range(230):  # each content differs from the one before by a few words of its own
+        words = kinds[i - 1][:] if i else base[:]
+        for j in range(3):
+            words[(i * 3 + j) * 5 % 400] = f"e{i}x{j}"
+        kinds[i] = words
+    docs = [(i, " ".join(words)) for i, words in kinds.items()]
+    rnd.shuffle(docs)
+    sets = {i: set(probminhash.shingles(probminhash.word_hashes(t, probminhash.Words())).tolist()) for i, t in docs}
+    members = spark.createDataFrame([(1, i, len(s), 0) for i, s in sets.items()], "h long, key long, n long, own long")
+    classes = spark.createDataFrame([(i, i - i % 2) for i in sets], "key long, `class` long")
+    signed = lambda x: int(np.uint64(x).astype(np.int64))
+    held = spark.createDataFrame([(i, sorted(map(signed, s))) for i, s in sets.items()], "key long, set array<long>")
+    signs = spark.createDataFrame([(i, [0] * 80) for i in sets], "key long, signs array<tinyint>")
+    found = {tuple(r) for r in probminhash._across(members, classes, held, signs).collect()}
+    alike = {(i, j) for i in sets for j in sets if i < j and i // 2 != j // 2 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert len(alike) > 200 and alike <= found
+    got = {r.doc_id: r["class"] for r in probminhash.near_classes(frame(spark, [(*d, "en", "s") for d in docs])).collect()}
+    want = true_classes(docs)
+    assert [got[d] for d, _ in docs] == [min(docs[j][0] for j in range(len(docs)) if want[j] == c) for c in want]
+
+
 # token counts
 
 
