@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctph, language, lines, mixing, pieces, probminhash, quality, tokens, topk, urls
+from . import ctph, divergence, exact, language, lines, mixing, pieces, probminhash, quality, ranked, tokens, topk, urls
 from .common import table
 
 
@@ -118,5 +118,54 @@ def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op2_line_dedup": op2_line_dedup, "op2_whole_runs": op2_whole_runs, "op3_language_id": op3_language_id, "page_language_id": page_language_id, "op4_exact_top_k": op4_exact_top_k, "op5_sentencepiece": op5_sentencepiece, "op6_quality_grade": op6_quality_grade, "op7_piecewise_hash": op7_piecewise_hash, "op8_source_mix": op8_source_mix, "op9_minhash_dedup": op9_minhash_dedup, "op10_section_tokens": op10_section_tokens}
-ORACLES = {"op1_url_filters": OP1, "op2_line_dedup": OP2, "op4_exact_top_k": OP4, "op8_source_mix": OP8}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11 = r"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as k,
+                  list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as ts from documents),
+w as (select lang, source, k, unnest(ts) as term from d),
+vocab as (select lang, term, count(*) as c from w group by lang, term having count(distinct k) >= 3),
+size as (select lang, count(*) as v, sum(c) as n from vocab group by lang),
+c as (select w.lang, w.source, w.term, count(*) as c from w join vocab using (lang, term) group by all),
+g as (select lang, source, coalesce(max(v), 0) as v, coalesce((select sum(c) from c where c.lang = d.lang and c.source = d.source), 0) as n from d left join size using (lang) group by lang, source),
+p as (select g.lang, g.source, vocab.term, coalesce(c.c, 0) as c, 1 + (1000000000::hugeint * (coalesce(c.c, 0) + 1)) // (g.n + g.v) as p, 1 + (1000000000::hugeint * (vocab.c + 1)) // (size.n + size.v) as q
+      from g join vocab using (lang) join size using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = vocab.term),
+pairs as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+allpairs as (select a.lang, a.source, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+             left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source),
+t as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q)) // q as value from p where c > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select lang, source, 'pair' as part, item, value from allpairs union all select * from t))
+select lang, source, part, item, value::bigint as value, rank::int as rank from r where part = 'pair' or rank <= 200
+"""
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_classes(table(spark, sf_dir, "documents")).drop("hash")
+
+
+OP12 = r"""
+with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
+select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, row_number() over (partition by t order by doc_id nulls last) = 1 as kept, sha256(t) as text_sha256 from d
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13 = r"""
+with d as (select doc_id, row_number() over () as k, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as ts from documents),
+q as (select distinct item_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from benchmark),
+s as (select count(*) as n, sum(len(ts))::bigint as l from d where len(ts) > 0),
+f as (select k, term, count(*) as tf from (select k, unnest(ts) as term from d) where term in (select term from q) group by all),
+w as (select term, floor(1000 * ln((2 * (select n from s) + 2) / (2 * count(*) + 1)))::bigint as w from f group by term),
+m as (select k, doc_id, 100 - 50 + (50 * len(ts) * (select n from s)) // (select l from s) as m from d where len(ts) > 0),
+r as (select q.item_id, m.k, m.doc_id, sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * m.m))) as score from q join f using (term) join w using (term) join m using (k) group by all having sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * m.m))) > 0),
+o as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from r)
+select item_id, rank::int as rank, doc_id, score::bigint as score from o where rank <= 50
+"""
+
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_line_dedup": op2_line_dedup, "op2_whole_runs": op2_whole_runs, "op3_language_id": op3_language_id, "page_language_id": page_language_id, "op4_exact_top_k": op4_exact_top_k, "op5_sentencepiece": op5_sentencepiece, "op6_quality_grade": op6_quality_grade, "op7_piecewise_hash": op7_piecewise_hash, "op8_source_mix": op8_source_mix, "op9_minhash_dedup": op9_minhash_dedup, "op10_section_tokens": op10_section_tokens, "op11_source_divergence": op11_source_divergence, "op12_exact_dedup": op12_exact_dedup, "op13_ranked_search": op13_ranked_search}
+ORACLES = {"op1_url_filters": OP1, "op2_line_dedup": OP2, "op4_exact_top_k": OP4, "op8_source_mix": OP8, "op11_source_divergence": OP11, "op12_exact_dedup": OP12, "op13_ranked_search": OP13}

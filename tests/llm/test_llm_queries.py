@@ -32,7 +32,7 @@ def test_matches_sql(spark, key):
 def test_registered():
     names = set(entry.queries())
     assert {"pipeline", *queries.QUERIES} <= names
-    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
+    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14))
 
 
 def test_pipeline(spark):
