@@ -145,12 +145,14 @@ def _(t):
                                         first_failing((c("cash") >= c("prior_close"), "cash_not_below_close"), (c("cash") / c("prior_close") >= 0.25, "large_dividend_review"), ok="clear").alias("flag"))
 
 
-@query("job_38_filing_clock_ledger", f"""with {FILINGS}, g as (select cik, accession//4 as package, max(available_at) as accepted, count(*) as n_forms, count(distinct cast(available_at as date)) as n_dates from f group by 1,2), c as (select range as session_ix, timestamp '1995-01-02 14:30:00' + (range-1)*interval 7 day as open_utc from range(1,400))
- select g.cik, cast(g.package as bigint) as package, n_forms, n_dates=1 as dates_agree, cast(c.session_ix as bigint) as eligible_ix from g asof left join c on c.open_utc > g.accepted""")
+@query("job_38_filing_clock_ledger", f"""with {FILINGS}, g as (select cik, accession//4 as package, max(case when accession%5<>0 and (accession//4)%9<>0 then available_at end) as accepted, count(*) as n_forms, count(distinct cast(available_at as date)) as n_dates from f group by 1,2), c as (select range as session_ix, timestamp '1995-01-02 14:30:00' + (range-1)*interval 7 day as open_utc from range(1,400))
+ select g.cik, cast(g.package as bigint) as package, n_forms, n_dates=1 as dates_agree, case when accepted is null then 'quarantined' else 'admitted' end as admission, cast(c.session_ix as bigint) as eligible_ix from g asof left join c on c.open_utc > g.accepted""")
 def _(t):
-    g = filings(t).groupBy("cik", F.floor(F.col("accession") / 4).alias("package")).agg(F.max("available_at").alias("accepted"), F.count(F.lit(1)).alias("n_forms"), F.countDistinct(F.to_date("available_at")).alias("n_dates"))
+    # rows without an acceptance clock, and packages that have none at all
+    clock = F.when((F.col("accession") % 5 != 0) & (F.floor(F.col("accession") / 4) % 9 != 0), F.col("available_at"))
+    g = filings(t).groupBy("cik", F.floor(F.col("accession") / 4).alias("package")).agg(F.max(clock).alias("accepted"), F.count(F.lit(1)).alias("n_forms"), F.countDistinct(F.to_date("available_at")).alias("n_dates"))
     out = J.first_open_after(g, F.col("accepted"), J.next_session_lookup(calendar(t), "session_date", "open_utc"))
-    return out.select("cik", "package", "n_forms", (F.col("n_dates") == 1).alias("dates_agree"), F.col("eligible_ix").cast("bigint").alias("eligible_ix"))
+    return out.select("cik", "package", "n_forms", (F.col("n_dates") == 1).alias("dates_agree"), F.when(F.col("accepted").isNull(), "quarantined").otherwise("admitted").alias("admission"), F.col("eligible_ix").cast("bigint").alias("eligible_ix"))
 
 
 @query("job_42_point_in_time", f"""with {FILINGS}, x as (select cik, concept, period_end, date_trunc('month', available_at) as av, round(value/100000) as v from f where date_trunc('month', available_at)<=timestamp '1999-06-30'),

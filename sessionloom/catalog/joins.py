@@ -118,11 +118,12 @@ def calendar(t):
 
 
 @query("joi_08_asof_forward", f"""with {B()}, {FILINGS}, c as (select distinct session_ix, timestamp '1995-01-02 14:30:00' + (session_ix-1)*interval 7 day as open_utc from (select unnest(range((select min(session_ix) from b),(select max(session_ix)+1 from b))) as session_ix)),
- x as (select accession, case when accession%7=0 then date_trunc('day', available_at)+interval 1 day else available_at end as bound from f)
+ x as (select accession, case when accession%11=0 then null when accession%7=0 then date_trunc('day', available_at)+interval 1 day else available_at end as bound from f)
  select x.accession, cast(c.session_ix as bigint) as eligible_ix from x asof left join c on c.open_utc > x.bound""")
 def _(t):
     f = filings(t)
     at = F.when(F.col("accession") % 7 == 0, F.date_trunc("day", "available_at")).otherwise(F.col("available_at"))
+    at = F.when(F.col("accession") % 11 != 0, at)  # some filings have no clock
     out = J.first_open_after(f.select("accession", at.alias("at")), F.col("at"), J.next_session_lookup(calendar(t), "session_date", "open_utc"))
     return out.select("accession", F.col("eligible_ix").cast("bigint").alias("eligible_ix"))
 

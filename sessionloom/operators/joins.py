@@ -78,14 +78,17 @@ def next_session_lookup(sessions: DataFrame, day: str, open_utc: str) -> DataFra
 
 
 def first_open_after(df: DataFrame, ts: Column, lookup: DataFrame) -> DataFrame:
-    """JOI-08: first session whose open is strictly after the timestamp; a midnight stamp rolls to the next day."""
+    """JOI-08: first session whose open is strictly after the timestamp; a midnight stamp rolls to the next day.
+
+    Without a timestamp, or after the last open, there is no session.
+    """
     midnight = F.date_trunc("day", ts) == ts
     bound = F.when(midnight, ts + F.expr("INTERVAL 1 DAY")).otherwise(ts)
     df = df.withColumn("_bound", bound)
     hit = F.when(F.col("first.open") > F.col("_bound"), F.col("first")).otherwise(F.col("second"))
     opening = lookup.where("before").select(F.to_date(F.col("first.open")).alias("_day0"))
     day = F.to_date("_bound")
-    df = attach_one_row(df, opening).withColumn("_day", F.when(day >= F.col("_day0"), day).otherwise(F.col("_day0")))
+    df = attach_one_row(df, opening).withColumn("_day", F.when(day < F.col("_day0"), F.col("_day0")).otherwise(day))
     return df.join(lookup.where("not before"), F.col("_day") == F.col("lookup_day"), "left").select(
         *[c for c in df.columns if c not in ("_bound", "_day", "_day0")], hit["session_ix"].alias("eligible_ix"))
 

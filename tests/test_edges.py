@@ -81,3 +81,14 @@ def test_bars_between_filters_the_scan(spark):
     df = fixtures.bars_between(Stored(spark, "/root/testdata/sf0.001"), 200, 200)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in plan
+
+
+def test_first_open_after_without_a_stamp_and_at_the_edges(spark):
+    from sessionloom.operators import joins as J
+
+    days = spark.createDataFrame([(1, "2020-01-06"), (2, "2020-01-08"), (3, "2020-01-09")], "session_ix int, d string").select("session_ix", F.to_date("d").alias("day"))
+    sessions = days.withColumn("open", F.col("day").cast("timestamp") + F.expr("INTERVAL 14 HOURS"))
+    stamps = [(0, None, None), (1, "2019-12-01 10:00:00", 1), (2, "2020-01-06 13:59:59", 1), (3, "2020-01-06 14:00:00", 2), (4, "2020-01-08 00:00:00", 3), (5, "2020-01-09 14:00:00", None), (6, "2020-02-01 09:00:00", None)]
+    df = spark.createDataFrame([(i, s) for i, s, _ in stamps], "id int, s string").withColumn("at", F.col("s").cast("timestamp"))
+    got = {r.id: r.eligible_ix for r in J.first_open_after(df, F.col("at"), J.next_session_lookup(sessions, "day", "open")).collect()}
+    assert got == {i: want for i, _, want in stamps}
