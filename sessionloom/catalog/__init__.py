@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("scans", "filters", "joins", "aggregates", "windows", "tops_sets", "scalars", "market", "jobs", "streams", "candidates", "reports", "overview", "entries", "censuses", "screening")
+AREAS = ("scans", "filters", "joins", "aggregates", "windows", "tops_sets", "scalars", "market", "jobs", "streams", "candidates", "reports", "overview", "entries", "censuses", "screening", "stores")
 
 
 def load():

@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see, under the cluster's ``spark.checkpoint.dir``."""
+    _checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,10 +20,14 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the cluster's ``spark.checkpoint.dir``; a private one is set only where none is
     configured (tests on one machine).
     """
-    sc = df.sparkSession.sparkContext
+    _checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _checkpoint_dir(spark: SparkSession) -> None:
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         configured = sc.getConf().get("spark.checkpoint.dir")
         if not configured and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="sessionloom-"))
-    return df.checkpoint(eager=True)

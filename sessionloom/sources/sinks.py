@@ -42,5 +42,6 @@ def publish_sessions(new: DataFrame, root: str, schema: str, fields: list[str])
     # stored before the append: a cached plan over the same folder would be refreshed by the write
     plan = cut(publish_plan(new, stored, fields))
     fresh = new.join(plan.where("action = 'write'").select("session_ix"), "session_ix", "left_semi")
-    fresh.repartition("session_ix").write.mode("append").partitionBy("session_ix").parquet(root)
+    # large sessions are split over tasks, small ones share a task
+    fresh.hint("rebalance", F.col("session_ix")).write.mode("append").partitionBy("session_ix").parquet(root)
     return plan
