@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.catalog.core import R, query
 from sessionloom.catalog.market import _composite_sql, daily_composite, regime_metrics
 from sessionloom.catalog.sqltext import FILINGS, I, bars as B, lag
 from sessionloom.functions.numeric import rnd
+from sessionloom.functions.staging import cut, shared_folder
+from sessionloom.operators.filters import members
+from sessionloom.params.regime import DIMENSIONS
 from sessionloom.plans import market as M
-from sessionloom.sources import sinks
-from sessionloom.sources.fixtures import bars, filings, session_range
-from sessionloom.streaming import folds, streams as S
+from sessionloom.sources import families as FT
+from sessionloom.sources.fixtures import bars, filings, session_range, universe
+from sessionloom.streaming import composite as C, folds, streams as S
+from sessionloom.streaming.state import rocksdb
 
 ID = ["instrument_id", "session_ix"]
 IDS = "instrument_id, session_ix"
@@ -80,3 +87,39 @@ def _(t):
 def _(t):
     w = S.event_windows(t.events)
     return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "event_type", "n")
+
+
+def composite_panel(t):
+    """Bars of members, broad benchmarks and the market, as the composite's stream reads them, and its settings."""
+    u = universe(t)
+    kinds = [("member", members(bars(t, grain="month"), u)), ("broad", bars(t, "region", "month")), ("market", bars(t, "market", "month"))]
+    rows = [b.select(F.lit(k).alias("kind"), F.col("instrument_id").cast("string").alias("instrument_id"), "session_ix", "open", "high", "low", "close", "volume") for k, b in kinds]
+    return cut(reduce(DataFrame.unionByName, rows)), C.Panel("primary", u.count(), 10, 4, 5, 3)
+
+
+def streamed_composite(panel, settings, parts: int = 4) -> tuple[str, str]:
+    """Feed a panel session by session in ``parts`` files, stopping half-way, with rows that come too late; returns the store and the quarantine."""
+    spark, folder = panel.sparkSession, shared_folder(panel.sparkSession, "composite")
+    first, last = panel.agg(F.min("session_ix"), F.max("session_ix")).first()
+    step = -(-(last - first + 1) // parts)
+    with rocksdb(spark):
+        for k in range(parts):
+            lo = first + k * step
+            part = panel.where(F.col("session_ix").between(lo, lo + step - 1))
+            if k == parts - 1:  # a price of the second session, corrected much later
+                part = part.unionByName(panel.where(F.col("session_ix") == first + 1).withColumn("close", F.col("close") * 2))
+            part.coalesce(1).write.mode("append").parquet(f"{folder}/source")
+            if k in (parts // 2 - 1, parts - 1):  # the second run starts from the checkpoint of the first
+                C.accept_sessions(spark, f"{folder}/source", f"{folder}/accepted", f"{folder}/late", f"{folder}/check-a").awaitTermination()
+                C.run_composite(spark, f"{folder}/accepted", f"{folder}/store", settings, f"{folder}/check-b").awaitTermination()
+    return f"{folder}/store", f"{folder}/late"
+
+
+@query("str_06_rolling_composite", f"with {_composite_sql()} select session_ix, cast(weight_available as int) as weight_available, " + ", ".join(f"{R(d + '_score', 4)} as {d}_score" for d in DIMENSIONS)
+       + f", {R('regime_score', 4)} as regime_score, (select count(*) from b where session_ix=(select min(session_ix)+1 from b))+(select count(*) from rg where session_ix=(select min(session_ix)+1 from b))+1 as n_quarantined from cp where session_ix>=(select min(session_ix) from b)+20")
+def _(t):
+    panel, settings = composite_panel(t)
+    store, late = streamed_composite(panel, settings)
+    n_late = t.spark.read.schema(C.BARS).parquet(late).count()
+    s = FT.read(t.spark, store, C.SCORES)
+    return s.select("session_ix", "weight_available", *[rnd(f"{d}_score", 4).alias(f"{d}_score") for d in DIMENSIONS], rnd("regime_score", 4).alias("regime_score"), F.lit(n_late).cast("bigint").alias("n_quarantined"))

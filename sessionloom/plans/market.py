@@ -38,11 +38,15 @@ def benchmark_metrics(broad: DataFrame, market: DataFrame, required: int, minimu
     ).join(vol, S, "left")
 
 
-def member_metrics(members: DataFrame, n_members: int | Column, min_obs: int, min_positive: int) -> DataFrame:
-    """JOB-03..06: breadth, volatility, participation and leadership metrics per session."""
+def member_features(members: DataFrame) -> DataFrame:
+    """What a session needs of each member: returns, trailing extremes and means, volatility, dollar volume. No frame is longer than 26 sessions."""
     b = W.volume_ratio(W.realised_volatility(W.trailing_means(W.add_returns(members, lags=(1, 5))), windows=(10,)))
-    b = b.select("*", W.full(F.max("close"), 20).alias("hi20"), W.full(F.min("close"), 20).alias("lo20"), (F.col("close") * F.col("volume")).alias("dv"))
-    c, total = F.col, F.lit(n_members) if isinstance(n_members, int) else n_members
+    return b.select("*", W.full(F.max("close"), 20).alias("hi20"), W.full(F.min("close"), 20).alias("lo20"), (F.col("close") * F.col("volume")).alias("dv"))
+
+
+def cross_sections(b: DataFrame, min_positive: int) -> DataFrame:
+    """One row per session of member features: counts, shares, sums and robust spreads."""
+    c = F.col
     share = lambda cond, known: F.avg(F.when(known, cond.cast("double")))
     has1 = c("r1").isNotNull()
     g = b.groupBy(S).agg(
@@ -52,20 +56,25 @@ def member_metrics(members: DataFrame, n_members: int | Column, min_obs: int, mi
         F.count_if(c("r1") <= -0.04).alias("n_tail"), F.sum("dv").alias("dv_all"), F.sum(F.when(has1, c("dv"))).alias("dv1"),
         F.sum(F.when(has1 & (c("r1") > 0), c("dv")).otherwise(0.0)).alias("dv_up"),
         F.count("prior_median_volume").alias("n_own"), F.avg((c("volume") > c("prior_median_volume")).cast("double")).alias("own"))
-    cal = Window.orderBy(S)
-    last5, prior20 = cal.rangeBetween(-4, 0), cal.rangeBetween(-20, -1)
-    covered = F.when(c("n_bars") / total >= 0.80, c("dv_all"))
-    g = g.withColumn("_dvc", covered)
-    ref = sorted_middle(F.collect_list("_dvc").over(prior20))
     tall = b.select(S, F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), c(k).alias("x")) for k in ("r1", "r5", "rv10")])).alias("_e")).select(S, "_e.*")
     mm = median_mad(tall, [S, "metric"], "x").groupBy(S).agg(
         F.max(F.when(c("metric") == "r1", c("mad"))).alias("mad1"), F.max(F.when(c("metric") == "r5", c("mad"))).alias("mad5"), F.max(F.when(c("metric") == "rv10", c("med"))).alias("med_rv"))
     top = top_decile_share(b, [S], "r5", min_positive).select(S, c("concentration"))
+    return g.join(mm, S, "left").join(top, S, "left")
+
+
+def metrics_of_sessions(g: DataFrame, n_members: int | Column, min_obs: int) -> DataFrame:
+    """JOB-03..06 from one row per session; the windows run over the calendar, the longest over 21 sessions."""
+    c, total = F.col, F.lit(n_members) if isinstance(n_members, int) else n_members
+    cal = Window.orderBy(S)
+    last5, prior20 = cal.rangeBetween(-4, 0), cal.rangeBetween(-20, -1)
+    g = g.withColumn("_dvc", F.when(c("n_bars") / total >= 0.80, c("dv_all")))
+    ref = sorted_middle(F.collect_list("_dvc").over(prior20))
     cov = lambda n, floor: c(n) / total >= floor
     g = g.select(
         "*", F.sum("n1").over(last5).alias("n_possible"), F.sum("n_tail").over(last5).alias("n_tail5"),
         F.count("_dvc").over(prior20).alias("n_ref"), ref.alias("ref"))
-    return g.join(mm, S, "left").join(top, S, "left").select(
+    return g.select(
         S,
         F.when(cov("n1", 0.80) & (c("n1") >= min_obs), c("adv")).alias("advancer_share_1"),
         F.when(cov("n5", 0.80), c("pos5")).alias("positive_return_share_5"),
@@ -82,6 +91,11 @@ def member_metrics(members: DataFrame, n_members: int | Column, min_obs: int, mi
     )
 
 
+def member_metrics(members: DataFrame, n_members: int | Column, min_obs: int, min_positive: int) -> DataFrame:
+    """JOB-03..06: breadth, volatility, participation and leadership metrics per session."""
+    return metrics_of_sessions(cross_sections(member_features(members), min_positive), n_members, min_obs)
+
+
 def _weighted(score: Column, weight: Column) -> Column:
     """score * weight / 100 to four digits, half-even on exact decimals (a binary product can miss a tie)."""
     exact = score.cast("decimal(14,10)") * weight.cast("decimal(7,4)") * F.lit("0.01").cast("decimal(3,2)")
