@@ -150,47 +150,3 @@ def _(t):
     p = factor_panel(t)
     u = A.unpivot(p, ID, FACTORS).where("value is not null").join(A.chronological_halves(p), "session_ix")
     return u.groupBy("factor_id", "half").agg(F.count(F.lit(1)).alias("n_available"), F.countDistinct("session_ix").alias("n_sessions"))
-
-
-def stage_facts(t):
-    k, d = F.col("instrument_id"), F.col("session_ix")
-    r = risk_input(t)
-    return r.select(*ID, F.when(F.col("score").isNotNull(), 40 + ((k * 7 + F.floor(d / 4) * 13) % 60).cast("double")).alias("score"), (F.col("confidence") / 100).alias("confidence"), "price", "median_dv",
-                    ((k * 11 + F.floor(d / 6) * 3) % 100).cast("double").alias("rs"), ((k * 13 + F.floor(d / 5) * 17) % 100).cast("double").alias("trend"), ((k + d) % 100).cast("double").alias("alignment"),
-                    ((k * 5 + d) % 41 == 0).alias("anomaly"), F.when(d % 13 == 0, "stress").otherwise("balanced").alias("regime"), ((k + d) % 9 == 0).alias("breakout"))
-
-
-_STAGE = f"""{RISK_SQL}, sf as (select {IDS}, case when score is not null then 40+cast((instrument_id*7+(session_ix//4)*13)%60 as double) end as s, confidence/100 as cf, price>=500 and median_dv>=100000 as fl, median_dv, cast((instrument_id*11+(session_ix//6)*3)%100 as double) as rs, cast((instrument_id*13+(session_ix//5)*17)%100 as double) as tr,
-   cast((instrument_id+session_ix)%100 as double) as al, (instrument_id*5+session_ix)%41=0 as an, session_ix%13<>0 as calm, (instrument_id+session_ix)%9=0 as br from ri),
- sr as (select *, s<45 or not fl or an as bad from sf where s is not null and median_dv is not null),
- sk as (select {IDS}, cf, case when s>=50 and cf>=0.4 and fl and not an then 'not_listed_to_watch' end as r0, case when bad then 'active_to_invalidated' when s>=65 and calm and rs>=55 and tr>=55 and not an then 'watch_to_prepare' end as r1,
-   case when bad then 'active_to_invalidated' when br and s>=70 and calm and not an then 'prepare_to_enter_breakout' when s>=75 and fl and not an then 'prepare_to_enter' when s<58 or al<40 then 'prepare_to_watch' end as r2,
-   case when bad then 'active_to_invalidated' when s<68 or tr<50 then 'enter_to_prepare' end as r3, case when s>=55 and fl and not an then 'invalidated_to_watch' end as r4 from sr),
- ky as (select distinct instrument_id from ri), gr as (select ky.instrument_id, cast(x.range as int) as session_ix, cf, r0, r1, r2, r3, r4 from ky cross join (select unnest(range((select min(session_ix) from ri),(select max(session_ix)+1 from ri))) as range) x left join sk on sk.instrument_id=ky.instrument_id and sk.session_ix=x.range),
- rl(rule, tgt, n) as (values ('not_listed_to_watch','watch',1),('watch_to_prepare','prepare',2),('prepare_to_enter','enter',2),('prepare_to_enter_breakout','enter',1),('enter_to_prepare','prepare',2),('prepare_to_watch','watch',2),('active_to_invalidated','invalidated',1),('invalidated_to_watch','watch',3)),
- wk as (select instrument_id, (select min(session_ix)-1 from ri) as session_ix, null::varchar as stage, null::varchar as pend, 0 as cnt, 0 as miss, 0 as held, null::varchar as status, null::double as conf from ky
-  union all select instrument_id, session_ix, x.stage, x.pend, x.cnt, x.miss, x.held, x.status, conf from (
-   select g.instrument_id, g.session_ix, g.cf+0.15::double*least(w.held/3,1.0) as conf, case
-    when g.cf is null and w.miss=0 then {{'stage': w.stage, 'pend': w.pend, 'cnt': w.cnt, 'miss': 1, 'held': w.held, 'status': 'unavailable_stale'}}
-    when g.cf is null then {{'stage': null, 'pend': null, 'cnt': 0, 'miss': w.miss+1, 'held': 0, 'status': 'unavailable_null'}}
-    when rl.rule is null then {{'stage': w.stage, 'pend': null, 'cnt': 0, 'miss': 0, 'held': case when w.stage is null then 0 else least(w.held+1,3) end, 'status': case when w.pend is not null then 'pending_reversed' when w.stage is null then 'not_listed' else 'held' end}}
-    when (case when w.pend=rl.rule then w.cnt+1 else 1 end)<rl.n then {{'stage': w.stage, 'pend': rl.rule, 'cnt': case when w.pend=rl.rule then w.cnt+1 else 1 end, 'miss': 0, 'held': case when w.stage is null then 0 else least(w.held+1,3) end, 'status': 'pending'}}
-    else {{'stage': rl.tgt, 'pend': null, 'cnt': 0, 'miss': 0, 'held': 1, 'status': case when rl.rule='not_listed_to_watch' then 'listed' when rl.tgt='invalidated' then 'invalidated' else 'switched' end}} end as x
-   from wk w join gr g on g.instrument_id=w.instrument_id and g.session_ix=w.session_ix+1
-   left join rl on rl.rule=case when w.stage is null then r0 when w.stage='watch' then r1 when w.stage='prepare' then r2 when w.stage='enter' then r3 else r4 end))"""
-
-
-def _stages(t):
-    from sessionloom.streaming.stages import stage_history
-
-    return stage_history(stage_facts(t), *session_range(t, "month"), 500.0, 100000.0)
-
-
-@query("str_03_candidate_stages", f"with recursive {_STAGE} select {IDS}, stage, pend as pending_rule, cnt as pending_count, status, held as stage_count, {R('conf')} as confidence from wk where session_ix>=(select min(session_ix) from ri)")
-def _(t):
-    return _stages(t).select(*ID, "stage", "pending_rule", "pending_count", "status", "stage_count", rnd("confidence").alias("confidence"))
-
-
-@query("job_17_stage_summary", f"with recursive {_STAGE} select session_ix, coalesce(stage,'none') as stage, count(*) as n from wk where session_ix>=(select min(session_ix) from ri) group by 1,2")
-def _(t):
-    return _stages(t).groupBy("session_ix", F.coalesce("stage", F.lit("none")).alias("stage")).agg(F.count(F.lit(1)).alias("n"))

@@ -22,11 +22,17 @@ LIMITS = dict(watch=50, watch_confidence=0.40, prepare=65, prepare_rs=55, prepar
 HOLD_SESSIONS = 1
 SUPPORT_CAP = 3
 STATE_WEIGHT = 0.15
+STAGES = ("none", "watch", "prepare", "enter", "invalidated")
 START = (None, None, 0, 0, 0)  # stage, pending rule, pending count, missing sessions, sessions in stage
 FIELDS = ["session_ix", "stage", "pending_rule", "pending_count", "status", "stage_count", "confidence"]
 SCHEMA = "instrument_id long, session_ix int, stage string, pending_rule string, pending_count int, status string, stage_count int, confidence double"
 
 
+def known() -> Column:
+    """All facts are there that a stage needs."""
+    return F.col("score").isNotNull() & F.col("median_dv").isNotNull()
+
+
 def wanted_rules(price_floor: float, liquidity_floor: float) -> list[Column]:
     """For each stage the instrument might be in, the rule its facts ask for (null when none)."""
     c, t = F.col, LIMITS
@@ -69,24 +75,28 @@ def step(state: tuple, rules: dict | None) -> tuple[tuple, str]:
     return (target, None, 0, 0, 1), status
 
 
+def session(state: tuple, rules: dict | None, confidence: float | None) -> tuple[tuple, tuple]:
+    """One session of one instrument: new state, and stage, pending rule and count, status, sessions in stage, confidence with the support of t - 1."""
+    support = STATE_WEIGHT * min(state[4] / SUPPORT_CAP, 1.0)
+    state, status = step(state, rules)
+    return state, (state[0], state[1], state[2], status, state[4], None if rules is None else confidence + support)
+
+
 def stage_history(facts: DataFrame, first: int, last: int, price_floor: float, liquidity_floor: float) -> DataFrame:
     """Every session of every instrument, a missing one held once and then dropped.
 
     Confidence adds the support of the stage held at t - 1, so it is finished inside the fold.
     """
-    asked = facts.where(F.col("score").isNotNull() & F.col("median_dv").isNotNull()).select("instrument_id", "session_ix", "confidence", *wanted_rules(price_floor, liquidity_floor))
+    asked = facts.where(known()).select("instrument_id", "session_ix", "confidence", *wanted_rules(price_floor, liquidity_floor))
     keys = facts.select("instrument_id").distinct().withColumn("session_ix", F.explode(F.sequence(F.lit(first), F.lit(last))))
     grid = keys.join(asked.withColumn("known", F.lit(True)), ["instrument_id", "session_ix"], "left")
-    stages = ("none", "watch", "prepare", "enter", "invalidated")
 
     def per_key(pdf: pd.DataFrame) -> pd.DataFrame:
         state, out = START, []
         for row in pdf.sort_values("session_ix").itertuples(index=False):
-            known = row.known is True or row.known == True  # noqa: E712
-            rules = {s: (r if isinstance(r := getattr(row, f"from_{s}"), str) else None) for s in stages} if known else None
-            support = STATE_WEIGHT * min(state[4] / SUPPORT_CAP, 1.0)
-            state, status = step(state, rules)
-            out.append((row.session_ix, state[0], state[1], state[2], status, state[4], row.confidence + support if known else None))
+            rules = {s: (r if isinstance(r := getattr(row, f"from_{s}"), str) else None) for s in STAGES} if row.known is True or row.known == True else None  # noqa: E712
+            state, record = session(state, rules, row.confidence)
+            out.append((row.session_ix, *record))
         frame = pd.DataFrame(out, columns=FIELDS)
         frame.insert(0, "instrument_id", pdf.instrument_id.iloc[0])
         return frame

@@ -139,3 +139,25 @@ def test_stage_rule_change_restarts_the_counter():
     asks = [{"none": "not_listed_to_watch"}, {"watch": "watch_to_prepare"}, {"watch": "watch_to_prepare"}, {"prepare": "prepare_to_enter"}, {"prepare": "prepare_to_watch"}, {"prepare": "prepare_to_watch"}]
     assert [x[0] for x in stage_run(asks)] == ["watch", "watch", "prepare", "prepare", "prepare", "watch"]
     assert stage_run([asks[0], {"watch": "active_to_invalidated"}])[-1] == ("invalidated", "invalidated")
+
+
+def test_stage_sessions_close_in_order_whatever_arrives_first():
+    from sessionloom.streaming import stage_stream as SS
+
+    rnd = random.Random(4)
+    asks = {"none": "not_listed_to_watch", "watch": "watch_to_prepare", "prepare": "prepare_to_enter", "enter": "enter_to_prepare", "invalidated": "invalidated_to_watch"}
+    facts = {ix: {k: {"known": rnd.random() < 0.9, "confidence": 0.5, **{f"{m}_{s}": r if rnd.random() < 0.8 else None for m in ("calm", "tense") for s, r in asks.items()}} for k in range(5) if rnd.random() < 0.7} for ix in range(1, 30)}
+    regimes = {ix: rnd.choice(["balanced", "stress", None]) for ix in range(1, 30) if ix % 7}  # every seventh session never gets a state
+    regimes[29] = "balanced"
+    copy = lambda d: {k: dict(v) if isinstance(v, dict) else v for k, v in d.items()}
+    whole, last = SS.advance({}, copy(facts), copy(regimes), None)
+    assert last == 29 and {ix for _, ix, *_ in whole} == set(range(1, 30))
+    for cuts in ([(1, 10, 12), (11, 29, 29)], [(1, 29, 3), (30, 30, 29)], [(1, 6, 6), (7, 20, 15), (21, 29, 29)]):
+        stages, waiting, out, last, told = {}, {}, [], None, 0
+        for lo, hi, known in cuts:  # facts of lo..hi and the market states up to ``known`` arrive together
+            waiting.update({ix: dict(facts[ix]) for ix in range(lo, hi + 1) if ix in facts and (last is None or ix > last)})
+            rows, last = SS.advance(stages, waiting, {ix: r for ix, r in regimes.items() if told < ix <= min(known, hi)}, last)
+            out, told = out + rows, min(known, hi)
+        if told == 29:
+            assert out == whole
+    assert SS.advance({}, {3: {}}, {}, 2) == ([], 2)
