@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.functions.numeric import ratio
+from sessionloom.functions.numeric import col, ratio
 from sessionloom.functions.staging import cut
 
 
@@ -44,13 +44,21 @@ def sign_episodes(df: DataFrame, x: str, key: str = "instrument_id") -> DataFram
     )
 
 
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Correlation over rows that have both; null where either doesn't vary.
+
+    ``corr`` divides before a condition around it is looked at, so its parts are divided here.
+    """
+    a, b = col(a), col(b)
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def pearson(a: str, b: str, minimum: int) -> list[Column]:
     """AGG-16: paired correlation with an observation floor; null when either side is constant."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-    n = F.count(x)
-    flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-    return [n.alias("n_pairs"), F.when((n >= minimum) & ~flat, F.corr(x, y)).alias("corr")]
+    n = F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return [n.alias("n_pairs"), F.when(n >= minimum, correlation(a, b)).alias("corr")]
 
 
 def holm(df: DataFrame, p: str, order: str, group: list[str] | None = None) -> DataFrame:

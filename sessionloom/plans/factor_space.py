@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions.numeric import MAD_TO_SIGMA
 from sessionloom.functions.ranking import median_mad, with_midrank
 from sessionloom.functions.staging import cut
-from sessionloom.operators.aggregates import rank_ic
+from sessionloom.operators.aggregates import correlation, rank_ic
 
 #: Jacobi sweeps over all pairs; rotations converge quadratically, so a dozen is ample for tens of columns.
 SWEEPS = 12
@@ -64,18 +64,11 @@ def wide(rows: DataFrame, keys: list[str], columns: list[str], value: str) -> Da
     return rows.groupBy(*keys).pivot("name", columns).agg(F.max(value))
 
 
-def _corr(a: str, b: str) -> Column:
-    """Correlation over rows that have both; null where either doesn't vary."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x, y))
-
-
 def correlation_row(scaled: DataFrame, columns: list[str]) -> DataFrame:
     """One row: n complete rows and their correlation matrix; the matrix is null without enough support or variation."""
     k = len(columns)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    row = scaled.dropna(subset=columns).agg(F.count(F.lit(1)).alias("n"), *[_corr(columns[i], columns[j]).alias(f"_{i}_{j}") for i, j in pairs if i != j])
+    row = scaled.dropna(subset=columns).agg(F.count(F.lit(1)).alias("n"), *[correlation(columns[i], columns[j]).alias(f"_{i}_{j}") for i, j in pairs if i != j])
     cell = lambda i, j: F.lit(1.0) if i == j else F.col(f"_{min(i, j)}_{max(i, j)}")
     usable = reduce(lambda a, b: a & b, [F.col(f"_{i}_{j}").isNotNull() for i, j in pairs if i != j], F.col("n") > k)
     return row.select("n", F.when(usable, F.array(*[F.array(*[cell(i, j) for j in range(k)]) for i in range(k)])).alias("matrix"))
@@ -162,7 +155,7 @@ def pair_report(panel: DataFrame, scaled: DataFrame, keys: list[str], columns: l
     has = {c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns}
     support = panel.agg(*[F.count_if(has[a] & has[b]).alias(f"both {a}/{b}") for a, b in pairs], *[F.count_if(~has[a] & ~has[b]).alias(f"neither {a}/{b}") for a, b in pairs])
     support = support.select(F.inline(F.array(*[_entry(kind, f"{a}/{b}", F.col(f"{kind} {a}/{b}")) for a, b in pairs for kind in ("both", "neither")])))
-    linear = scaled.agg(*[_corr(a, b).alias(f"{a}/{b}") for a, b in pairs])
+    linear = scaled.agg(*[correlation(a, b).alias(f"{a}/{b}") for a, b in pairs])
     linear = linear.select(F.inline(F.array(*[_entry("pearson", f"{a}/{b}", F.col(f"{a}/{b}")) for a, b in pairs])))
     sides = F.array(*[F.when(has[a] & has[b], F.struct(F.lit(f"{a}/{b}").alias("item"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))) for a, b in pairs])
     ranks = rank_ic(cut(panel.select(F.inline(F.array_compact(sides)))), ["item"], "x", "y", 3)

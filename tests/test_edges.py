@@ -92,3 +92,13 @@ def test_first_open_after_without_a_stamp_and_at_the_edges(spark):
     df = spark.createDataFrame([(i, s) for i, s, _ in stamps], "id int, s string").withColumn("at", F.col("s").cast("timestamp"))
     got = {r.id: r.eligible_ix for r in J.first_open_after(df, F.col("at"), J.next_session_lookup(sessions, "day", "open")).collect()}
     assert got == {i: want for i, _, want in stamps}
+
+
+def test_correlation_of_a_constant_is_null(spark):
+    from sessionloom.operators.aggregates import pearson, rank_ic
+
+    df = spark.createDataFrame([(1, 2.0, float(i)) for i in range(5)] + [(2, float(i), float(i * i)) for i in range(5)] + [(3, None, 1.0), (3, 1.0, 2.0)], "g int, a double, b double")
+    got = {r.g: (r.n_pairs, r.corr) for r in df.groupBy("g").agg(*pearson("a", "b", 3)).collect()}
+    assert got[1] == (5, None) and got[3] == (1, None) and abs(got[2][1] - 0.9589266) < 1e-6
+    ics = {r.g: r.ic for r in rank_ic(df, ["g"], "a", "b").collect()}
+    assert ics[1] is None and abs(ics[2] - 1) < 1e-9
