@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions.staging import cut
 from sessionloom.operators.filters import split_usability
 
 
@@ -110,6 +111,21 @@ def factor_catalog(bars: DataFrame, bench: DataFrame) -> DataFrame:
         when(W._fold_drawdown(c("_path"), False)).alias("max_drawdown"))
 
 
+#: Values of block sums that may be broadcast after they have been counted, some ten megabytes.
+BROADCAST_VALUES = 500_000
+
+
+def with_replicates(sums: DataFrame, trial: str, replicates: int) -> DataFrame:
+    """``sums`` (one row of block sums per trial) beside each replicate. Ids are spread before they meet the sums, so what is shuffled per replicate is a number.
+
+    The sums are counted; within the bound they are broadcast, beyond it they are joined.
+    """
+    sums = cut(sums)
+    ids = sums.select(trial, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).repartition(trial, "rep")
+    small = (sums.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_VALUES
+    return ids.join(F.broadcast(sums) if small else sums, trial)
+
+
 def block_bootstrap(series: DataFrame, trial: str, value: str, replicates: int, block: int, seed: str) -> DataFrame:
     """INF-01: circular block bootstrap of the mean of a session series, draws from a hash.
 
@@ -125,7 +141,7 @@ def block_bootstrap(series: DataFrame, trial: str, value: str, replicates: int,
 
     rest = F.col("n") % F.col("block")
     one = one.select(trial, "n", "block", "mean", sums(F.col("block")).alias("full"), F.when(rest > 0, sums(rest)).alias("tail"))
-    reps = one.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(trial, "rep")
+    reps = with_replicates(one, trial, replicates)
 
     def start(k):
         key = F.concat_ws("|", F.lit(seed), F.col(trial), F.col("rep"), k)
@@ -193,7 +209,7 @@ def slope_bootstrap(series: DataFrame, trial: str, x: str, y: str, replicates: i
 
     one = one.select(trial, "n", "block", "slope", *[sums(f, F.col("block")).alias(f"full_{k}") for k, f in terms.items()],
                      *[F.when(rest > 0, sums(f, rest)).alias(f"tail_{k}") for k, f in terms.items()])
-    reps = one.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(trial, "rep")
+    reps = with_replicates(one, trial, replicates)
 
     def start(k):
         key = F.concat_ws("|", F.lit(seed), F.col(trial), F.col("rep"), k)
