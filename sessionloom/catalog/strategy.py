@@ -45,6 +45,13 @@ def strategy_rows(t) -> DataFrame:
     return cut(rows_.select("split", "combo", (c("role") == "signal").alias("signal"), *ID, "regime", F.inline("labels")))
 
 
+#: From ``b`` and ``mk`` to ``lb``: state and bounds of each bar and horizon.
+_LABELS = f"""ex as (select {IDS}, h, case h when 1 then h1 when 3 then h3 else h5 end as hi_, case h when 1 then l1 when 3 then l3 else l5 end as lo_, session_ix+h as t_end from (select {IDS}, {', '.join(f"max(high) over (partition by instrument_id order by session_ix range between 1 following and {h} following) as h{h}, min(low) over (partition by instrument_id order by session_ix range between 1 following and {h} following) as l{h}" for h in PS.HORIZONS)} from b), (values (1),(3),(5)) z(h)),
+ e0 as (select ex.*, e.open as eo, m1.open as mo, mx.close as mc from ex left join b e on e.instrument_id=ex.instrument_id and e.session_ix=ex.session_ix+1 left join mk m1 on m1.session_ix=ex.session_ix+1 left join mk mx on mx.session_ix=ex.t_end),
+ e1 as (select e0.*, li.session_ix as ls, li.close as lc from e0 asof left join b li on li.instrument_id=e0.instrument_id and e0.t_end>=li.session_ix), e2 as (select e1.*, af.close as ac from e1 asof left join b af on af.instrument_id=e1.instrument_id and e1.t_end<af.session_ix),
+ lb as (select *, mc/mo-1 as base, case when eo is null then 'unexecutable_no_next_open' when mc is null or mo is null then 'unavailable_evidence' when ls=t_end then 'observed_eod_exact' when ac is null then 'terminal_reference_exact' when greatest(lc,ac)>={EVIDENCE}*least(lc,ac) then 'unavailable_evidence' else 'terminal_reference_interval' end as state,
+   case when ls=t_end or ac is null then lc else least(lc,ac) end/eo-1 as lo0, case when ls=t_end or ac is null then lc else greatest(lc,ac) end/eo-1 as up0 from e2)"""
+
 _ROWS = f"""{B()}, {B('mk', 'market')}, {UNIVERSE}, rgs as (with recursive {_composite_sql()}, d as (select 1::bigint as universe_id, cast(session_ix as int) as session_ix, regime_score as score from cp), {_FOLD} select w.session_ix as m, conf from w join e on e.universe_id=w.universe_id and e.session_ix=w.session_ix),
  tr as (select *, case when {lag('close', 1)} is not null then greatest(high-low, abs(high-{lag('close', 1)}), abs(low-{lag('close', 1)})) end as tr from b),
  a as (select {IDS}, session_date, {ret(5)} as x, close>{lag('close', 1)} as pc, close>{lag('high', 1)} as pch, case when {cont(6)} then (max(close) {rows(5, 1)}-close)/nullif(case when count(tr) {rows(5, 1)}=5 then avg(tr) {rows(5, 1)} end,0) end as depth, volume/nullif({lag('volume', 1)},0) as vr from tr),
@@ -52,11 +59,7 @@ _ROWS = f"""{B()}, {B('mk', 'market')}, {UNIVERSE}, rgs as (with recursive {_com
  g as (select row_number() over (order by a.i, d.i, c.i, v.i)-1 as combo, a.f as floor_, d.lo, d.hi, c.high, v.cap from (values (0,80.0),(1,60.0)) a(i,f), (values (0,0.0,1.0),(1,1.0,3.0)) d(i,lo,hi), (values (0,false),(1,true)) c(i,high), (values (0,0.8),(1,1.0),(2,1.2)) v(i,cap)),
  pl as (select session_ix, case when i<v then 'development' when i<h then 'validation' else 'holdout' end as split from (select *, n//2 as v, n//2+n//4 as h from (select session_ix, row_number() over (order by session_ix)-1 as i, count(*) over () as n from (select distinct session_ix from b))) where not (i<{WARMUP} or i+5>=n or (i>=v-5 and i<v+5) or (i>=h-5 and i<h+5))),
  ob as (select r.*, split, conf as regime from r join pl using (session_ix) join u using (instrument_id) left join rgs on rgs.m=(year(session_date)-1995)*12+month(session_date)-1),
- ex as (select {IDS}, h, case h when 1 then h1 when 3 then h3 else h5 end as hi_, case h when 1 then l1 when 3 then l3 else l5 end as lo_, session_ix+h as t_end from (select {IDS}, {', '.join(f"max(high) over (partition by instrument_id order by session_ix range between 1 following and {h} following) as h{h}, min(low) over (partition by instrument_id order by session_ix range between 1 following and {h} following) as l{h}" for h in PS.HORIZONS)} from b), (values (1),(3),(5)) z(h)),
- e0 as (select ex.*, e.open as eo, m1.open as mo, mx.close as mc from ex left join b e on e.instrument_id=ex.instrument_id and e.session_ix=ex.session_ix+1 left join mk m1 on m1.session_ix=ex.session_ix+1 left join mk mx on mx.session_ix=ex.t_end),
- e1 as (select e0.*, li.session_ix as ls, li.close as lc from e0 asof left join b li on li.instrument_id=e0.instrument_id and e0.t_end>=li.session_ix), e2 as (select e1.*, af.close as ac from e1 asof left join b af on af.instrument_id=e1.instrument_id and e1.t_end<af.session_ix),
- lb as (select *, mc/mo-1 as base, case when eo is null then 'unexecutable_no_next_open' when mc is null or mo is null then 'unavailable_evidence' when ls=t_end then 'observed_eod_exact' when ac is null then 'terminal_reference_exact' when greatest(lc,ac)>={EVIDENCE}*least(lc,ac) then 'unavailable_evidence' else 'terminal_reference_interval' end as state,
-   case when ls=t_end or ac is null then lc else least(lc,ac) end/eo-1 as lo0, case when ls=t_end or ac is null then lc else greatest(lc,ac) end/eo-1 as up0 from e2),
+ {_LABELS},
  ro as (select split, combo, (depth between lo and hi and (case when high then pch else pc end) and vr<=cap) as sg, ob.session_ix, regime, h as horizon, state, case when state not like 'un%' then lo0 end as lower, case when state not like 'un%' then up0 end as upper, case when state not like 'un%' then lo0-base end as rl, case when state not like 'un%' then up0-base end as ru,
    case when state not like 'un%' then hi_/eo-1 end as fav, case when state not like 'un%' then lo_/eo-1 end as adv from ob join g on rs>=floor_ join lb on lb.instrument_id=ob.instrument_id and lb.session_ix=ob.session_ix)"""
 

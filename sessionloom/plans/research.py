@@ -115,15 +115,15 @@ def factor_catalog(bars: DataFrame, bench: DataFrame) -> DataFrame:
 BROADCAST_VALUES = 500_000
 
 
-def with_replicates(sums: DataFrame, trial: str, replicates: int) -> DataFrame:
-    """``sums`` (one row of block sums per trial) beside each replicate. Ids are spread before they meet the sums, so what is shuffled per replicate is a number.
+def with_replicates(sums: DataFrame, keys: list[str], replicates: int) -> DataFrame:
+    """``sums`` (one row of block sums per ``keys``) beside each replicate. Ids are spread before they meet the sums, so what is shuffled per replicate is a number.
 
     The sums are counted; within the bound they are broadcast, beyond it they are joined.
     """
     sums = cut(sums)
-    ids = sums.select(trial, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).repartition(trial, "rep")
+    ids = sums.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).repartition(*keys, "rep")
     small = (sums.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_VALUES
-    return ids.join(F.broadcast(sums) if small else sums, trial)
+    return ids.join(F.broadcast(sums) if small else sums, keys)
 
 
 def block_bootstrap(series: DataFrame, trial: str, value: str, replicates: int, block: int, seed: str) -> DataFrame:
@@ -141,7 +141,7 @@ def block_bootstrap(series: DataFrame, trial: str, value: str, replicates: int,
 
     rest = F.col("n") % F.col("block")
     one = one.select(trial, "n", "block", "mean", sums(F.col("block")).alias("full"), F.when(rest > 0, sums(rest)).alias("tail"))
-    reps = with_replicates(one, trial, replicates)
+    reps = with_replicates(one, [trial], replicates)
 
     def start(k):
         key = F.concat_ws("|", F.lit(seed), F.col(trial), F.col("rep"), k)
@@ -194,12 +194,19 @@ def cohorts(features: DataFrame) -> DataFrame:
 
 
 def slope_bootstrap(series: DataFrame, trial: str, x: str, y: str, replicates: int, block: int, seed: str) -> DataFrame:
-    """INF-02: circular block bootstrap of a regression slope.
+    """INF-02: circular block bootstrap of a regression slope."""
+    return slope_bootstraps(series, trial, x, y, replicates, (block,), seed).drop("asked")
+
+
+def slope_bootstraps(series: DataFrame, trial: str, x: str, y: str, replicates: int, blocks: tuple[int, ...], seed: str) -> DataFrame:
+    """The same for several block lengths (column ``asked``) at once; a trial's k-th draw of a replicate is the same for all of them.
 
     A slope needs five sums, and each is a sum over blocks, so a replicate adds precomputed block sums.
     """
     pair = F.struct("session_ix", F.col(x).alias("x"), F.col(y).alias("y"))
-    one = series.groupBy(trial).agg(F.array_sort(F.collect_list(pair)).alias("a"), F.regr_slope(y, x).alias("slope")).withColumn("n", F.size("a")).withColumn("block", F.least(F.lit(block), F.col("n")))
+    slope = F.when(F.min(x) < F.max(x), F.try_divide(F.covar_pop(y, x), F.var_pop(x)))
+    one = series.groupBy(trial).agg(F.array_sort(F.collect_list(pair)).alias("a"), slope.alias("slope")).withColumn("n", F.size("a"))
+    one = one.withColumn("asked", F.explode(F.array(*[F.lit(b) for b in blocks]))).withColumn("block", F.least("asked", "n"))
     terms = {"sx": lambda p: p["x"], "sy": lambda p: p["y"], "sxx": lambda p: p["x"] * p["x"], "sxy": lambda p: p["x"] * p["y"]}
     rest = F.col("n") % F.col("block")
 
@@ -207,9 +214,9 @@ def slope_bootstrap(series: DataFrame, trial: str, x: str, y: str, replicates: i
         return F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda s: F.aggregate(
             F.sequence(s, s + length - 1), F.lit(0.0), lambda acc, j: acc + term(F.get(F.col("a"), j % F.col("n")))))
 
-    one = one.select(trial, "n", "block", "slope", *[sums(f, F.col("block")).alias(f"full_{k}") for k, f in terms.items()],
+    one = one.select(trial, "asked", "n", "block", "slope", *[sums(f, F.col("block")).alias(f"full_{k}") for k, f in terms.items()],
                      *[F.when(rest > 0, sums(f, rest)).alias(f"tail_{k}") for k, f in terms.items()])
-    reps = with_replicates(one, trial, replicates)
+    reps = with_replicates(one, [trial, "asked"], replicates)
 
     def start(k):
         key = F.concat_ws("|", F.lit(seed), F.col(trial), F.col("rep"), k)
@@ -223,9 +230,9 @@ def slope_bootstrap(series: DataFrame, trial: str, x: str, y: str, replicates: i
         return (body + F.when(rest > 0, F.get(f"tail_{k}", F.get("_at", whole))).otherwise(0.0)).alias(k)
 
     cols = [total(k) for k in terms]
-    s = reps.select(trial, "rep", "n", "slope", *cols)
+    s = reps.select(trial, "asked", "rep", "n", "slope", *cols)
     den = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    return s.select(trial, "rep", "slope", F.when(den > 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / den).alias("boot"))
+    return s.select(trial, "asked", "rep", "slope", F.when(den > 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / den).alias("boot"))
 
 
 def correlation_matrix(panel: DataFrame, columns: list[str]) -> DataFrame:
