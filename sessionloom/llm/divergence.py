@@ -32,7 +32,7 @@ WHOLE, MIN_DF, RANKS = 1_000_000_000, 3, 200
 #: Bytes of a UTF-8 text to spaces, or A-Z to a-z, so that what is left between spaces are its terms.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Terms that a task holds before it hands its sums on, and pairs of groups compared at once.
-HELD, PAIRS = 400_000, 1 << 20
+HELD, PAIRS = 800_000, 1 << 20
 
 
 def terms(text: str) -> list[str]:
@@ -47,28 +47,27 @@ def _vector(text: str) -> Counter:
 def _sums(batches, most: int = HELD):
     """Sums of the vectors of a task's documents per (lang, source), term b'' standing for the group itself.
 
-    They are handed on whenever ``most`` are held.
+    A sum holds occurrences and documents in one integer, the latter in its lower half. Sums are handed on whenever ``most`` are held.
     """
     held: dict[tuple, dict] = {}
     size = 0
 
     def out():
         for (lang, source), sums in held.items():
-            rows = list(sums.items())
-            for at in range(0, len(rows), 50_000):
-                part = rows[at : at + 50_000]
-                counts = [x for _, x in part]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(part), pa.string()), pa.array([source] * len(part), pa.string()), pa.array([t for t, _ in part], pa.binary()).cast(pa.string()),
-                    pa.array([c for c, _ in counts], pa.int64()), pa.array([d for _, d in counts], pa.int64())], ["lang", "source", "term", "c", "d"])
+            n = len(sums)
+            words, values = pa.array(list(sums), pa.binary()).cast(pa.string()), np.fromiter(sums.values(), np.int64, n)
+            batch = pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(source, pa.string()), n), words, pa.array(values >> 31), pa.array(values & 0x7FFFFFFF)], ["lang", "source", "term", "c", "d"])
+            for at in range(0, n, 50_000):
+                yield batch.slice(at, 50_000)
 
     for batch in slices(batches):
         for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-            sums = held.setdefault((lang, source), {b"": (0, 0)})
-            before = len(sums)
+            sums = held.get((lang, source))
+            if sums is None:
+                sums = held[lang, source] = {b"": 0}
+            before, get = len(sums), sums.get
             for t, c in _vector(text).items():
-                have = sums.get(t)
-                sums[t] = (have[0] + c, have[1] + 1) if have else (c, 1)
+                sums[t] = get(t, 0) + (c << 31) + 1
             size += len(sums) - before
             if size > most:
                 yield from out()
@@ -80,7 +79,8 @@ def group_sums(docs: DataFrame) -> DataFrame:
     """lang, source, term, c (occurrences), d (documents); term '' with zeros names a group."""
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     parts = rows.mapInArrow(_sums, "lang string, source string, term string, c long, d long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+    # a task's sums are merged already; dealt by term, those of one term also meet for the vocabulary
+    return parts.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
 
 
 def vocabulary(sums: DataFrame, min_df: int = MIN_DF) -> DataFrame:
@@ -96,9 +96,11 @@ def document_vectors(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def _share(count: Column, n: Column, v: Column) -> Column:
-    """1 + floor(10**9 (count + 1) / (n + v)) in decimals, so that no count is too large; null for an empty vocabulary."""
+    """1 + floor(10**9 (count + 1) / (n + v)), in decimals where a long might not hold the product; null for an empty vocabulary."""
+    whole = F.greatest(n + v, F.lit(1))
     top = F.lit(WHOLE).cast("decimal(10,0)") * (count + 1).cast("decimal(19,0)")
-    return F.when(v > 0, F.lit(1) + F.call_function("div", top, F.greatest(n + v, F.lit(1)).cast("decimal(19,0)"))).cast("long")
+    short = F.call_function("div", (count + 1).cast("long") * F.lit(WHOLE).cast("long"), whole.cast("long"))
+    return F.when(v > 0, F.lit(1) + F.when(count < (1 << 33), short).otherwise(F.call_function("div", top, whole.cast("decimal(19,0)")))).cast("long")
 
 
 def _far(p: Column, q: Column) -> Column:
@@ -177,15 +179,20 @@ def _with_others(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, min_df: int = MIN_DF, ranks: int = RANKS) -> DataFrame:
     """lang, source, part, item, value, rank: the other sources of the language, and the terms that the source has more of."""
-    sums = stored(group_sums(docs), "sums")
-    kept = stored(vocabulary(sums, min_df), "vocabulary")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("in_lang").alias("n_lang"))
-    counts = stored(sums.filter("term <> ''").join(kept, ["lang", "term"]).select("lang", "source", "term", "c", "in_lang"), "counts")
-    sizes = counts.groupBy("lang", "source").agg(F.sum("c").alias("n_group"), F.count("*").alias("n"))
-    groups = sums.filter("term = ''").select("lang", "source").join(langs, "lang", "left").join(sizes, ["lang", "source"], "left").fillna(0, ["v", "n_lang", "n_group", "n"])
+    of_term = Window.partitionBy("lang", "term")
+    sums = group_sums(docs).withColumn("in_lang", F.sum("c").over(of_term)).withColumn("docs", F.sum("d").over(of_term)).withColumn("first", F.row_number().over(of_term.orderBy("source")) == 1)
+    # the rows of a group itself have no term; a term counts towards its vocabulary once
+    counts = stored(sums.filter((F.col("docs") >= min_df) | (F.col("term") == "")).drop("docs"), "counts")
+    terms_ = counts.filter("term <> ''")
+    langs = terms_.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("c").alias("n_lang"))
+    sizes = terms_.groupBy("lang", "source").agg(F.sum("c").alias("n_group"), F.count("*").alias("n"))
+    groups = counts.filter("term = ''").select("lang", "source").join(langs, "lang", "left").join(sizes, ["lang", "source"], "left").fillna(0, ["v", "n_lang", "n_group", "n"])
     groups = stored(groups.withColumn("p0", _share(F.lit(0), F.col("n_group"), F.col("v"))), "groups")
-    there = join_counted(counts, groups.filter("n > 0"), ["lang", "source"], ["term"])
-    there = stored(there.select("lang", "source", "term", "p0", _share(F.col("c"), F.col("n_group"), F.col("v")).alias("p"), _share(F.col("in_lang"), F.col("n_lang"), F.col("v")).alias("q")), "shares")
+    if groups.count() <= BROADCAST_ROWS:
+        there = terms_.join(F.broadcast(groups), ["lang", "source"])
+    else:
+        there = stored(join_counted(terms_, groups.filter("n > 0"), ["lang", "source"], ["term"]), "shares")
+    there = there.select("lang", "source", "term", "p0", _share(F.col("c"), F.col("n_group"), F.col("v")).alias("p"), _share(F.col("in_lang"), F.col("n_lang"), F.col("v")).alias("q"))
 
     more = there.filter("p > q").select("lang", "source", F.col("term").alias("item"), _far(F.col("p"), F.col("q")).alias("value"))
 
