@@ -8,8 +8,9 @@ result found there is then carried into the searches of all other shards, where
 
 Components become floor(scale * x). Scores are exact integers.
 
-Defined cases: vectors that are null, hold a null or non-finite component, or are so long that a score could leave a long
-(scaled length 2**31 or more) take no part; shorter vectors count as padded with zeros; rows with equal id and vector
+Defined cases: vectors that are null or hold a null or non-finite component take no part; all other vectors do, however long they are:
+products that doubles can't hold exactly are taken in whole numbers. A result whose score leaves a long is an error,
+not a wrong number; shorter vectors count as padded with zeros; rows with equal id and vector
 are one vector; a query doesn't meet rows of its own id; ties go to the smaller id, null ids last; fewer than k candidates give
 all; a null id is never a query; an empty table gives no rows.
 """
@@ -29,10 +30,12 @@ from .common import stored
 #: Vectors in a shard, queries in a block, vectors in a leaf.
 SHARD, BLOCK, LEAF = 8192, 512, 128
 NO_ID = np.iinfo(np.int64).max
+#: What a score beyond a long is carried as; an error if it is among the results.
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
 class Tree:
-    """KD-tree over integer vectors (rows of ``x``) with ids; nodes are arrays, children of node i are at ``child[i]``."""
+    """KD-tree over whole-numbered vectors (rows of doubles ``x``) with ids; nodes are arrays, children of node i are at ``child[i]``."""
 
     def __init__(self, x: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
         self.low, self.high, self.child, self.range, self.least = [], [], [], [], []
@@ -58,11 +61,14 @@ class Tree:
         """For each query its best (score, id) pairs that beat the floor, at most ``k``; ``own`` is the id it must not meet."""
         bounds = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
         # sums of integers below 2**53 are exact in doubles; beyond, whole numbers are multiplied and bounds get slack
-        exact = float(np.abs(self.x).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, self.x.shape[1]) < 2.0**53
-        x = self.x.astype(np.float64) if exact else self.x
-        if not exact:
-            bounds += np.abs(bounds) * 1e-9 + 1
-        for i, q in enumerate(queries if not exact else queries.astype(np.float64)):
+        size = np.abs(self.x).max(initial=0) * np.abs(queries).max(axis=1, initial=0) * max(1, self.x.shape[1])
+        bounds[size >= 2.0**53] += np.abs(bounds[size >= 2.0**53]) * 1e-9 + 1
+        forms = {np.float64: self.x}
+        for i, q in enumerate(queries):
+            form = np.float64 if size[i] < 2.0**53 else np.int64 if size[i] < 2.0**62 else object
+            if form not in forms:
+                forms[form] = _whole(self.x) if form is object else self.x.astype(form)
+            x, q = forms[form], _whole(q) if form is object else q.astype(form)
             best = [(int(floor_score[i]), -int(floor_id[i]))] * k if floor_id[i] >= 0 else []  # heap of (score, -id), worst first
             kept: list[tuple[int, int]] = []
             row = bounds[i].tolist()
@@ -82,7 +88,8 @@ class Tree:
                 near = np.flatnonzero((scores >= best[0][0]) if len(best) == k else np.ones(b - a, bool))
                 near = near[self.ids[a:b][near] != own[i]]
                 if len(near) > k:
-                    near = near[np.lexsort((self.ids[a:b][near], -scores[near]))[:k]]
+                    ids = self.ids[a:b]
+                    near = near[np.lexsort((ids[near], -scores[near]))[:k]] if form is not object else np.array(sorted(near, key=lambda j: (-scores[j], ids[j]))[:k])
                 for s, v in zip(scores[near].tolist(), self.ids[a:b][near].tolist()):
                     item = (int(s), -v)
                     if len(best) < k:
@@ -97,16 +104,23 @@ class Tree:
 
 
 def scaled(vector: Column, scale: float) -> Column:
-    """floor(scale * x) of each component as long; null if the vector takes no part."""
-    big = float(2**31)
-    usable = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < big))
-    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long"))
-    square = F.aggregate(whole, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return F.when(usable & (square < big * big), whole)
+    """floor(scale * x) of each component, a whole number in a double; null if the vector takes no part."""
+    usable = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+
+    def whole(x: Column) -> Column:
+        y = x.cast("double") * F.lit(scale)
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)  # beyond, doubles are whole
+
+    return F.when(usable, F.transform(vector, whole))
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """The same numbers as Python integers."""
+    return np.array([int(v) for v in x.ravel()], object).reshape(x.shape)
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width), np.int64)
+    out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
     return out
@@ -120,7 +134,7 @@ def _search(k: int):
             tree = Tree(_matrix(vectors["c"], width), vectors["vec_id"].to_numpy(np.int64))
             own = queries["query_id"].to_numpy(np.int64)
             for i, found in tree.search(_matrix(queries["v"], width), own, k, queries["floor_score"].to_numpy(np.int64), queries["floor_id"].to_numpy(np.int64)):
-                out += [(own[i], queries["tie"].iat[i], -v, s) for s, v in found]
+                out += [(own[i], queries["tie"].iat[i], -v, min(max(s, LOWEST), HIGHEST)) for s, v in found]
         return pd.DataFrame(out, columns=["query_id", "tie", "vec_id", "score"]).astype("int64")
 
     return run
@@ -154,4 +168,4 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
         with_floor = with_floor.select("query_id", "tie", "v", "block", F.coalesce("s", F.lit(0)).cast("long").alias("floor_score"), F.coalesce(floor_id, F.lit(-1)).cast("long").alias("floor_id"))
         home = home.unionByName(searched(with_floor, False))
     ranked = home.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.when(F.col("vec_id") != int(NO_ID), F.col("vec_id")).alias("vec_id"), "score")
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.when(F.col("vec_id") != int(NO_ID), F.col("vec_id")).alias("vec_id"), F.when(F.col("score").isin(LOWEST, HIGHEST), F.raise_error(F.lit("a score leaves a long")).cast("long")).otherwise(F.col("score")).alias("score"))

@@ -205,11 +205,11 @@ def test_language_of_pages(spark):
 def test_top_k(spark):
     rnd = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rnd.integers(-3, 4, 6) / 64]) for i in range(400)]
-    rows += [(i, rows[0][1]) for i in range(400, 520)] + [(20, rows[20][1]), (600, None), (601, [None] * 6), (602, [math.nan] + [0.0] * 5), (603, [math.inf] * 6), (604, [0.5, 0.25]), (605, []), (606, [1e30] * 6), (None, rows[7][1])]
+    rows += [(i, rows[0][1]) for i in range(400, 520)] + [(20, rows[20][1]), (600, None), (601, [None] * 6), (602, [math.nan] + [0.0] * 5), (603, [math.inf] * 6), (604, [0.5, 0.25]), (605, []), (606, [9e6] + [0.0] * 5), (650, [1e7, -2e7] + [0.25] * 4), (651, [-3e6, 0.0, 0.5] + [0.0] * 3), (700, [2e4] * 6), (None, rows[7][1])]
     df = spark.createDataFrame([(*r, 0, "t") for r in rows], "vec_id long, embedding array<float>, score int, tie string")
     valid = {}
     for i, v in rows:
-        if v is not None and all(x is not None and math.isfinite(x) for x in v) and i != 606:
+        if v is not None and all(x is not None and math.isfinite(x) for x in v):
             valid[(i, tuple(v))] = [math.floor(256 * float(np.float32(x))) for x in v]
     for k, shard, block in ((5, 64, 3), (5, 8192, 512), (600, 100, 4)):
         got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, k, shard=shard, block=block).collect()}
@@ -220,6 +220,10 @@ def test_top_k(spark):
                 want |= {(q, n): (c, -s) for n, (s, _, c) in enumerate(scores[:k], 1)}
         assert got == want
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    beyond = spark.createDataFrame([(50, [1e10]), (1, [1e10]), (2, [-1e10])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="leaves a long"):
+        topk.top_k(beyond, F.col("vec_id") % 50 == 0).collect()
+    assert [(r.vec_id, r.score) for r in topk.top_k(beyond.filter("vec_id <> 1").unionByName(spark.createDataFrame([(3, [1.0])], beyond.schema)), F.col("vec_id") % 50 == 0, k=1).collect()] == [(3, 65536 * 10**10)]
 
 
 # pieces
