@@ -34,14 +34,19 @@ def _processor():
             self.state = handle.getValueState("regime", f"{STATE_SCHEMA}, last int")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            batch = pd.concat(list(rows)).sort_values("session_ix")
+            batch = pd.concat(list(rows)).sort_values("session_ix").reset_index(drop=True)
             *current, last = tuple(self.state.get()) if self.state.exists() else (*EMPTY, None)
-            scores = dict(zip(batch.session_ix.astype(int), batch.score))
+            fresh = batch if last is None else batch[batch.session_ix > last]
+            late = batch[~batch.index.isin(fresh.index)]
+            scores = dict(zip(fresh.session_ix.astype(int), fresh.score))
             # a session without a row is a missing score, which pauses the counter as in the batch form
-            start = min(scores) if last is None else last + 1
-            out, current = fold(((ix, scores.get(ix)) for ix in range(start, max(scores) + 1)), tuple(current))
-            self.state.update((*current, max(last or 0, max(scores))))
-            frame = pd.DataFrame(out, columns=COLUMNS)
+            start = min(scores, default=0) if last is None else last + 1
+            out, current = fold(((ix, scores.get(ix)) for ix in range(start, max(scores, default=start - 1) + 1)), tuple(current))
+            if scores:
+                self.state.update((*current, max(scores)))
+            # a session that was passed isn't opened again; its score is given back
+            out += [(int(ix), float(score), None, None, None, None, None, "late") for ix, score in zip(late.session_ix, late.score)]
+            frame = pd.DataFrame(out, columns=COLUMNS).astype({"pending_count": "Int32", "provisional": "boolean"})
             frame.insert(0, "universe_id", key[0])
             yield frame
 
@@ -55,7 +60,7 @@ def regime_stream(scores: DataFrame) -> DataFrame:
     """STR-02 as a stream: one value state per universe, advanced by the sessions of each batch.
 
     Sessions of a key must arrive in order, one or more per batch; a session that is skipped counts as a null score as soon as a
-    later one arrives.
+    later one arrives. A score of a session that was passed comes back with status ``late`` and changes nothing.
     """
     return scores.groupBy("universe_id").transformWithStateInPandas(
         statefulProcessor=_processor(), outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode="None")

@@ -80,6 +80,23 @@ def test_stream_notices_skipped_sessions(spark):
     assert got.count() == 72 and got.exceptAll(want).count() == 0
 
 
+def test_stream_gives_late_scores_back(spark):
+    df = spark.createDataFrame([(u, i, 10.0 * u + i) for u in (4, 6) for i in range(1, 9)], streams.SCORE_SCHEMA)
+    late = spark.createDataFrame([(4, 3, 99.0), (6, 6, None)], streams.SCORE_SCHEMA)
+    source, out, check = (tempfile.mkdtemp(prefix="run-") for _ in range(3))
+    for part in (df.where("session_ix <= 6"), late, df.where("session_ix > 6")):
+        part.coalesce(1).write.mode("append").parquet(source)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(streams.SCORE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    q = streams.regime_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    cols = ["universe_id", "session_ix", "confirmed", "status", "pending_count"]
+    got = spark.read.parquet(out)
+    assert sorted((r.universe_id, r.session_ix) for r in got.where("status = 'late'").collect()) == [(4, 3), (6, 6)]
+    want = folds.state_history(df, 1, 8)
+    assert got.where("status <> 'late'").count() == 16 and got.where("status <> 'late'").select(cols).exceptAll(want.select(cols)).count() == 0
+
+
 def test_publish_is_idempotent(spark):
     root = tempfile.mkdtemp(prefix="run-") + "/store"
     rows = [(i, float(i * s), 10.0, s) for i in range(5) for s in (1, 2, 3)]
