@@ -233,14 +233,14 @@ def _(t):
 @query("job_57_cohorts", f"""with {B(grain='month')}, a as (select {IDS}, {ret(20)} as x, close>{lag('close', 1)} as pc, close>{lag('high', 1)} as pch, case when {cont(6)} then (max(close) {rows(5, 1)}-close)/nullif(max(close) {rows(5, 1)}-min(close) {rows(5, 1)},0) end as depth, volume/nullif({lag('volume', 1)},0) as vr from b),
  k as (select * from a where x is not null and depth is not null and vr is not null), r as (select *, case when count(*) over (partition by session_ix, x)=count(*) over (partition by session_ix) then 50.0 else 100.0*(rank() over (partition by session_ix order by x)+(count(*) over (partition by session_ix, x)-1)/2.0-1)/(count(*) over (partition by session_ix)-1) end as rs from k),
  g as (select row_number() over (order by a.i, d.i, c.i, v.i)-1 as combo, a.f as floor_, d.lo, d.hi, c.high, v.cap from (values (0,80.0),(1,60.0)) a(i,f), (values (0,0.0,1.0),(1,1.0,3.0)) d(i,lo,hi), (values (0,false),(1,true)) c(i,high), (values (0,0.8),(1,1.0),(2,1.2)) v(i,cap)),
- o as (select combo, case when session_ix>78 then 'excluded_chronological_boundary' when instrument_id%10=7 then 'excluded_membership' when not rs>=floor_ then 'excluded_not_leader' when depth between lo and hi and (case when high then pch else pc end) and vr<=cap then 'signal' else 'eligible_leader_control' end as role from r, g)
+ o as (select combo, case when session_ix>(select max(session_ix) from b)-5 then 'excluded_chronological_boundary' when instrument_id%10=7 then 'excluded_membership' when not rs>=floor_ then 'excluded_not_leader' when depth between lo and hi and (case when high then pch else pc end) and vr<=cap then 'signal' else 'eligible_leader_control' end as role from r, g)
  select cast(combo as int) as combo, role, count(*) as n from o group by 1,2""")
 def _(t):
     hi, lo = F.max("close").over(W.rows(5, 1)), F.min("close").over(W.rows(5, 1))
     a = bars(t, grain="month").select(*ID, W.simple_return(20).alias("x"), (F.col("close") > W.lagged("close", 1)).alias("above_prior_close"), (F.col("close") > W.lagged("high", 1)).alias("above_prior_high"),
                                       F.when(W.contiguous(6), (hi - F.col("close")) / F.nullif(hi - lo, F.lit(0.0))).alias("depth"), (F.col("volume") / W.lagged("volume", 1)).alias("volume_ratio"))
     a = X.percentile_0_100(a.where("x is not null and depth is not null and volume_ratio is not null"), "x", out="rs")
-    f = a.select("rs", "depth", "above_prior_close", "above_prior_high", "volume_ratio", (F.col("session_ix") <= 78).alias("usable"), (F.col("instrument_id") % 10 != 7).alias("member"))
+    f = a.select("rs", "depth", "above_prior_close", "above_prior_high", "volume_ratio", (F.col("session_ix") <= session_range(t, "month")[1] - 5).alias("usable"), (F.col("instrument_id") % 10 != 7).alias("member"))
     return RS.cohorts(f).groupBy("combo", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
