@@ -74,8 +74,9 @@ def _(t):
 
 
 MODES = {"conservative": dict(minimum_price=10.0, minimum_median_dollar_volume=500000.0, maximum_annualized_volatility=15.0, maximum_absolute_open_gap=10.0, minimum_confidence=0.60, adrc_permitted=False),
-         "balanced": dict(minimum_price=5.0, minimum_median_dollar_volume=200000.0, maximum_annualized_volatility=25.0, maximum_absolute_open_gap=40.0, minimum_confidence=0.50, adrc_permitted=True)}
-CAPS = {"conservative": (5, 0.4), "balanced": (8, 0.25)}
+         "balanced": dict(minimum_price=5.0, minimum_median_dollar_volume=200000.0, maximum_annualized_volatility=25.0, maximum_absolute_open_gap=40.0, minimum_confidence=0.50, adrc_permitted=True),
+         "aggressive": dict(minimum_price=5.0, minimum_median_dollar_volume=100000.0, maximum_annualized_volatility=40.0, maximum_absolute_open_gap=100.0, minimum_confidence=0.45, adrc_permitted=True)}
+CAPS = {"conservative": (5, 0.4), "balanced": (8, 0.25), "aggressive": (12, 0.35)}
 
 
 def _mode_sql(m):

@@ -55,7 +55,7 @@ def _(t):
     return r.select(*ID, "available", "extension", "setup", "posture", "reason", "lane", F.when(F.col("available"), F.col("up_run")).cast("int").alias("up_run"), *[rnd(n, 8 if n == "support" else 5).alias(n) for n in _OUT])
 
 
-SHARES = {"conservative": 0.4, "balanced": 0.25}
+SHARES = {"conservative": 0.4, "balanced": 0.25, "aggressive": 0.35}
 
 
 def _gate_sql(m):
