@@ -9,7 +9,9 @@ paths of all of them meet in one boundary, the ids before it are committed and f
   merges to itself and each adjacent pair stays a pair. Every boundary then has exactly one such last piece.
 
 A boundary that no piece of the vocabulary spans (before a space mark, at a line break that no piece holds) is
-always such a meeting point, so what lies between two of them is looked up in a bounded table first.
+always such a meeting point, so what lies between two of them is looked up in a bounded table first. The spans of a block
+of texts that the table lacks are searched in sorted order: a span keeps the backpointers of the prefix that it shares with
+the one before it.
 
 Decoding joins the bytes of the pieces and drops the first space, which encoding adds. The space mark U+2581 itself is
 spelled in byte pieces, so that decoding gives back every text.
@@ -34,8 +36,10 @@ from .common import slices
 #: Model file of the production query; a public vocabulary with byte fallback.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Spans in each half of their lookup table, pairs in theirs, characters of the longest span: some 100 MB in all.
-TABLE, PAIRS, LONG = 1 << 17, 1 << 18, 48
+#: Spans in each half of their lookup table, pairs in theirs, characters of the longest span: some 200 MB in all.
+TABLE, PAIRS, LONG = 1 << 18, 1 << 18, 48
+#: Characters of the texts whose spans are searched together (a longer text is a block of its own).
+BLOCK = 1 << 22
 
 
 class Pieces:
@@ -99,35 +103,41 @@ class Pieces:
                 node[0] = i
         return root
 
+    def _step(self, window: str, n: int, back: list, last: list, score: list) -> None:
+        """The best last piece of the boundary after ``window[n]``, from those of the boundaries up to ``n``."""
+        char, bpe, pairs = window[n], self.kind == "bpe", self.pairs.get
+        node = self.ending.get(char)
+        ends = [(n, node[0])] if node is not None and 0 in node else [(n, -1 - ord(char))]
+        j = n
+        while node is not None and j:
+            j -= 1
+            node = node.get(window[j])
+            if node is not None and 0 in node:
+                ends.append((j, node[0]))
+        best = None
+        for j, piece in reversed(ends):
+            if bpe:
+                before = last[j]
+                if before is None or (known := pairs((before, piece))) or known is None and self._stays(before, piece):
+                    choice, kept = j, piece
+                    break
+            else:
+                s = score[j] + (self.score[self.text_of[piece]] if piece >= 0 else self.unknown_score)
+                if best is None or s > best:
+                    choice, kept, best = j, piece, s
+        back.append(choice)
+        last.append(kept)
+        score.append(best or 0.0)
+
     def search(self, text: Iterable[str]) -> Iterator[list[int]]:
         """Pieces of a stream of characters, in lists, each as soon as it is certain."""
         window = ""  # characters since the last committed boundary, and for each boundary between them:
         back, last, score = [0], [None], [0.0]  # where its last piece begins, that piece, and the sum of scores
-        limit, bpe, pairs, root, n = 4 * self.longest, self.kind == "bpe", self.pairs.get, self.ending, 0
+        limit, n = 4 * self.longest, 0
         for char in text:
             window += char
-            j, n = n, n + 1
-            node = root.get(char)
-            ends = [(j, node[0])] if node is not None and 0 in node else [(j, -1 - ord(char))]
-            while node is not None and j:
-                j -= 1
-                node = node.get(window[j])
-                if node is not None and 0 in node:
-                    ends.append((j, node[0]))
-            best = None
-            for j, piece in reversed(ends):
-                if bpe:
-                    before = last[j]
-                    if before is None or (known := pairs((before, piece))) or known is None and self._stays(before, piece):
-                        choice, kept = j, piece
-                        break
-                else:
-                    s = score[j] + (self.score[self.text_of[piece]] if piece >= 0 else self.unknown_score)
-                    if best is None or s > best:
-                        choice, kept, best = j, piece, s
-            back.append(choice)
-            last.append(kept)
-            score.append(best or 0.0)
+            self._step(window, n, back, last, score)
+            n += 1
             if n >= limit:
                 if meet := self._meeting(back, n):
                     yield self._path(last, back, meet)
@@ -140,6 +150,19 @@ class Pieces:
         if n:
             yield self._path(last, back, n)
 
+    def search_sorted(self, spans: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each span with its pieces; what a span shares with the one before it isn't searched again."""
+        before, back, last, score = "", [0], [None], [0.0]
+        for span in sorted(spans):
+            k, end = 0, min(len(before), len(span))
+            while k < end and before[k] == span[k]:
+                k += 1
+            del back[k + 1 :], last[k + 1 :], score[k + 1 :]
+            for n in range(k, len(span)):
+                self._step(span, n, back, last, score)
+            before = span
+            yield span, self._path(last, back, len(span))
+
     def _meeting(self, back: list[int], n: int) -> int:
         """The last boundary that the paths of all boundaries which can be continued have in common."""
         paths = None
@@ -163,30 +186,48 @@ class Pieces:
     def _ids(self, piece: int) -> list[int]:
         return [piece] if piece >= 0 else [self.byte_ids.get(b, self.unknown) for b in chr(-1 - piece).encode("utf-8", "surrogatepass")]
 
-    def _span(self, span: str) -> bytes:
-        """Ids of a span that is not among those found lately: from the older half of the table, or searched for."""
-        ids = self.older.pop(span, None)
-        if ids is None:
-            found = [p for part in self.search(span) for p in part]
-            ids = array("i", found if min(found) >= 0 else [i for p in found for i in self._ids(p)]).tobytes()
-        if len(span) <= LONG:
-            if len(self.found) >= TABLE:
+    def _packed(self, found: list[int]) -> bytes:
+        return array("i", found if min(found) >= 0 else [i for p in found for i in self._ids(p)]).tobytes()
+
+    def _blocks(self, texts: Iterable[str]) -> Iterator[list[list[list[str]]]]:
+        """Spans of each part of each text, a part being what lies between two space marks; some BLOCK characters at a time."""
+        block, size = [], 0
+        for text in texts:
+            if block and size + len(text) > BLOCK:
+                yield block
+                block, size = [], 0
+            parts = [part.replace(" ", SPACE) for part in text.split(SPACE)]
+            if text:
+                parts[0] = SPACE + parts[0]
+            block.append([self.split(part) for part in parts])
+            size += len(text)
+        if block:
+            yield block
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of whole texts, four bytes each."""
+        mark = array("i", self._ids_of_mark()).tobytes()
+        for block in self._blocks(texts):
+            missing = {span for parts in block for part in parts for span in part}.difference(self.found)
+            if len(self.found) + len(missing) > TABLE:
                 self.older, self.found = self.found, {}
-            self.found[span] = ids
-        return ids
+            known = {span: ids for span in missing if (ids := self.older.get(span))}
+            known.update((span, self._packed(found)) for span, found in self.search_sorted([span for span in missing if span not in known and len(span) <= LONG]))
+            once = {span: self._packed([p for part in self.search(span) for p in part]) for span in missing if len(span) > LONG}
+            for parts in block:
+                out = bytearray()
+                for n, part in enumerate(parts):
+                    if n:
+                        out += mark
+                    for span in part:
+                        out += self.found.get(span) or known.get(span) or self.older.get(span) or once[span]
+                yield bytes(out)
+            if len(self.found) + len(known) <= TABLE:
+                self.found.update(known)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, four bytes each."""
-        out = bytearray()
-        for n, part in enumerate(text.split(SPACE)):
-            if n:
-                out += array("i", self._ids_of_mark()).tobytes()
-            part = part.replace(" ", SPACE)
-            if not n and text:
-                part = SPACE + part
-            for span in self.split(part):
-                out += self.found.get(span) or self._span(span)
-        return bytes(out)
+        return next(self.encode_all([text]))
 
     def _ids_of_mark(self) -> list[int]:
         return [self.byte_ids.get(b, self.unknown) for b in SPACE.encode()]
@@ -217,11 +258,10 @@ def encode_documents(docs: DataFrame, model: str = MODEL, kind: str = "bpe", che
 
     def run(batches):
         pieces = loaded(sent.value, kind)
-        for batch in slices(batches):
+        for batch in slices(batches, 1024):
             flat, ends, same = bytearray(), [0], []
             texts = batch.column("text").to_pylist()
-            for text in texts:
-                ids = pieces.encode(text or "")
+            for text, ids in zip(texts, pieces.encode_all(t or "" for t in texts)):
                 same.append(None if text is None else pieces.decode(np.frombuffer(ids, np.int32).tolist()) == text if check else None)
                 flat += ids
                 ends.append(len(flat) // 4)

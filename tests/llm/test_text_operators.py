@@ -251,6 +251,23 @@ def test_pieces_equal_the_public_library(vocabulary):
     assert p.decode(ids_of(p, "\u2581a\u2581 b")) == "\u2581a\u2581 b"
 
 
+def test_sorted_spans_equal_the_stream(vocabulary, monkeypatch):
+    """Shared prefixes, small blocks and a small table give the ids of the stream search."""
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("theroan") for _ in range(rnd.randint(1, 60))) for _ in range(300)]
+    texts = ["", "\u2581", " "] + [" ".join(rnd.choices(words, k=rnd.randint(1, 80))) for _ in range(60)]
+    monkeypatch.setattr(pieces, "TABLE", 64)
+    for kind in ("bpe", "unigram"):
+        p = pieces.Pieces(vocabulary, kind)
+        spans = words + [w[: len(w) // 2 + 1] for w in words]
+        assert dict(p.search_sorted(spans)) == {w: [x for part in p.search(w) for x in part] for w in spans}
+        whole = list(p.encode_all(texts))
+        monkeypatch.setattr(pieces, "BLOCK", 500)
+        assert list(p.encode_all(texts)) == whole == [pieces.Pieces.encode(p, t) for t in texts]
+        monkeypatch.undo()
+        monkeypatch.setattr(pieces, "TABLE", 64)
+
+
 def test_unigram_search_is_optimal(vocabulary):
     p = pieces.Pieces(vocabulary, "unigram")
     rnd = random.Random(6)
