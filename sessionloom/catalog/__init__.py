@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("scans", "filters", "joins", "aggregates", "windows", "tops_sets", "scalars", "market", "jobs", "streams", "candidates", "reports", "overview", "entries", "censuses", "screening", "stores", "stages", "factor_space", "strategy", "interaction", "reconstruction", "projection")
+AREAS = ("scans", "filters", "joins", "aggregates", "windows", "tops_sets", "scalars", "market", "jobs", "streams", "candidates", "reports", "overview", "entries", "censuses", "screening", "qualification", "stores", "stages", "factor_space", "strategy", "interaction", "reconstruction", "projection")
 
 
 def load():

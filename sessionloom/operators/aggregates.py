@@ -151,9 +151,15 @@ def top_decile_share(df: DataFrame, by: list[str], value: str, minimum: int, buc
 
 def distribution_report(df: DataFrame, by: list[str], value: str, buckets: int = 16) -> DataFrame:
     """AGG-22: quantiles, extremes, distinct count, tie excess and the share outside three IQRs."""
-    from sessionloom.functions.ranking import _pick, value_counts
+    from sessionloom.functions.ranking import value_counts
+
+    return distribution_of_counts(value_counts(df, by, value), by, buckets)
+
+
+def distribution_of_counts(counts: DataFrame, by: list[str], buckets: int = 16) -> DataFrame:
+    """The same from distinct values ``_v`` with their counts ``_n``."""
+    from sessionloom.functions.ranking import _pick
 
-    counts = value_counts(df, by, value)
     q = _pick(counts, by, {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}, buckets)
     iqr = F.col("p75") - F.col("p25")
     out = (F.col("_v") < F.col("p25") - 3 * iqr) | (F.col("_v") > F.col("p75") + 3 * iqr)
@@ -169,7 +175,11 @@ def concentration(df: DataFrame, by: list[str], part: str, top: int = 10) -> Dat
 
     The k largest parts are kept by a mergeable top-k, so the parts of one group are never sorted together.
     """
-    parts = df.groupBy(*by, part).agg(F.count(F.lit(1)).alias("_n"))
+    return concentration_of_counts(df.groupBy(*by, part).agg(F.count(F.lit(1)).alias("_n")), by, part, top)
+
+
+def concentration_of_counts(parts: DataFrame, by: list[str], part: str, top: int = 10) -> DataFrame:
+    """The same from parts with their counts ``_n``."""
     total = parts.groupBy(*by).agg(F.sum("_n").alias("_t"), F.sum(F.col("_n").cast("double") * F.col("_n")).alias("_sq"), F.max("_n").alias("_m"), F.count(F.lit(1)).alias("n_parts"))
     best = parts.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_n"), part))).where(F.col("_rn") <= top)
     best = best.groupBy(*by).agg(F.sum("_n").alias("_k"))

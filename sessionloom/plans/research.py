@@ -24,8 +24,8 @@ def split_plan(sessions: DataFrame, warmup: int, horizon: int, purge: int, embar
     )
 
 
-def pairwise_spearman(panel: DataFrame, factors: list[str], minimum: int, threshold: float) -> DataFrame:
-    """AGG-24: same-session rank correlation of every factor pair, averaged over sessions.
+def session_spearman(panel: DataFrame, factors: list[str], minimum: int) -> DataFrame:
+    """session_ix, pair_id, n_pairs, rho: rank correlation of every factor pair in each session that has ``minimum`` rows of both.
 
     Ranks depend on which rows a pair shares, so each pair is a group of its own in one long table:
     all pairs are ranked in one pass.
@@ -41,7 +41,12 @@ def pairwise_spearman(panel: DataFrame, factors: list[str], minimum: int, thresh
     ry = rank_table(tall, by, "y").select(*by, "y", F.col("midrank").alias("ry"))
     n, rho = pearson("rx", "ry", minimum)
     per = tall.join(rx, [*by, "x"]).join(ry, [*by, "y"]).groupBy(*by).agg(n, rho.alias("rho"))
-    return per.where(F.col("n_pairs") >= minimum).groupBy("pair_id").agg(
+    return per.where(F.col("n_pairs") >= minimum)
+
+
+def pairwise_spearman(panel: DataFrame, factors: list[str], minimum: int, threshold: float) -> DataFrame:
+    """AGG-24: same-session rank correlation of every factor pair, averaged over sessions."""
+    return session_spearman(panel, factors, minimum).groupBy("pair_id").agg(
         F.count(F.lit(1)).alias("n_sessions"), F.avg("rho").alias("mean_rho"), (F.abs(F.avg("rho")) >= threshold).alias("near_duplicate"))
 
 
