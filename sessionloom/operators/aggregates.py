@@ -210,6 +210,6 @@ def partial_rank_ic(df: DataFrame, by: list[str], factor: str, target: str, cont
     d = df.where(F.col(factor).isNotNull() & F.col(target).isNotNull() & F.col(control).isNotNull())
     for c, a in ((factor, "_x"), (target, "_y"), (control, "_z")):
         d = d.join(rank_table(d, by, c).select(*by, c, F.col("midrank").alias(a)), [*by, c])
-    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_obs"), F.corr("_x", "_y").alias("xy"), F.corr("_x", "_z").alias("xz"), F.corr("_y", "_z").alias("yz"))
+    g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_obs"), correlation("_x", "_y").alias("xy"), correlation("_x", "_z").alias("xz"), correlation("_y", "_z").alias("yz"))
     den = (1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz"))
     return g.select(*by, "n_obs", F.col("xy").alias("ic"), F.when(den > 1e-12, (F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt(den)).alias("partial_ic"))
