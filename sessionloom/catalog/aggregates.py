@@ -235,9 +235,9 @@ def _(t):
 FACTORS = ["f_ret5", "f_ret20", "f_range", "f_volume"]
 
 
-def factor_panel(t):
+def factor_panel(t, *prices: str):
     b = bars(t, grain="month")
-    return b.select(*ID, W.simple_return(5).alias("f_ret5"), W.simple_return(20).alias("f_ret20"), (F.col("high") / F.col("low")).alias("f_range"), F.col("volume").alias("f_volume"))
+    return b.select(*ID, W.simple_return(5).alias("f_ret5"), W.simple_return(20).alias("f_ret20"), (F.col("high") / F.col("low")).alias("f_range"), F.col("volume").alias("f_volume"), *prices)
 
 
 FACTOR_SQL = f"{B(grain='month')}, fp as (select {IDS}, {ret(5)} as f_ret5, {ret(20)} as f_ret20, high/low as f_range, volume as f_volume from b)"

@@ -25,11 +25,11 @@ _X = ["session", "instrument"]
 _C = ["n_parts", "max_share", "top_share", "herfindahl"]
 
 
-def panel(t):
-    """Monthly bars with the registered factors."""
+def panel(t, *prices: str):
+    """Monthly bars with the registered factors, and further columns of the bars."""
     b = bars(t, grain="month")
     return b.select(*Q.ID, W.simple_return(5).alias("f_ret5"), W.simple_return(20).alias("f_ret20"), (F.col("high") / F.col("low")).alias("f_range"), (F.col("high") / F.col("low") - 1).alias("f_span"),
-                    F.col("volume").cast("double").alias("f_volume"), (F.col("close") * F.col("volume")).alias("f_dollar"), (F.col("close") > F.col("open")).cast("double").alias("f_gain"))
+                    F.col("volume").cast("double").alias("f_volume"), (F.col("close") * F.col("volume")).alias("f_dollar"), (F.col("close") > F.col("open")).cast("double").alias("f_gain"), *prices)
 
 
 def state(t):

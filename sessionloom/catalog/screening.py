@@ -9,8 +9,7 @@ from sessionloom.catalog import qualification as Q
 from sessionloom.catalog.core import R, query
 from sessionloom.catalog.qualification import _FP as _QFP
 from sessionloom.functions.numeric import rnd
-from sessionloom.plans import screening as P
-from sessionloom.sources.fixtures import bars
+from sessionloom.plans import qualification, screening as P
 
 HORIZONS, REPLICATES, BLOCK, SEED, COST = (1, 3), 2000, 5, "screen-v1", 0.002
 FLOORS = dict(n_sessions=40, mean_ic=0.0, positive_share=0.5, p_holm=0.1)
@@ -37,7 +36,7 @@ _ONE = " union all ".join(f"select '{f}|{h}' as trial, session_ix, instrument_id
    case when p_holm>{FLOORS['p_holm']} then 'not_significant_after_holm' end, case when coalesce(net_spread<=0,true) then 'no_spread_after_costs' end], lambda x: x is not null)) as failed from hm)
  select trial, n_sessions, {R('mean_ic')} as mean_ic, {R('ir')} as ir, {R('positive_share')} as positive_share, {R('p_value')} as p_value, {R('p_holm')} as p_holm, {R('net_spread')} as net_spread, array_to_string(failed,'|') as failed, case when len(failed)=0 then 'selected' else 'rejected' end as decision from fl""")
 def _(t):
-    panel = factor_panel(t).join(bars(t, grain="month").select("instrument_id", "session_ix", "close"), ["instrument_id", "session_ix"])
+    panel = factor_panel(t, "close").dropna(subset=qualification.ID)
     s = P.screened(P.trials(panel, FACTORS, HORIZONS), REPLICATES, BLOCK, SEED, COST, FLOORS)
     return s.select("trial", "n_sessions", *[rnd(c).alias(c) for c in ("mean_ic", "ir", "positive_share", "p_value", "p_holm", "net_spread")], "failed", "decision")
 
@@ -81,7 +80,7 @@ _FAIL = [("mean_ic>={mean_ic}", "primary_mean_rank_ic"), ("lower>0", "primary_ra
 
 
 def _results(t):
-    panel = Q.panel(t).join(bars(t, grain="month").select("instrument_id", "session_ix", "open", "low", "close"), ["instrument_id", "session_ix"])
+    panel = Q.panel(t, "open", "low", "close").dropna(subset=qualification.ID)
     return P.horizon_results(P.paths(panel, REGISTRY, "f_ret20", _HS), MINIMUM, DRAWS, BLOCK, SCREEN_SEED)
 
 

@@ -9,19 +9,54 @@ window over the group nor an exact ``percentile`` buffer is safe.  Instead:
 3. bucket sizes give each bucket its offset, a bounded table of ``buckets`` rows a group;
 4. ranks inside one bucket plus the offset are the exact ranks of the group.
 
+Where the largest group has been counted and is small (``WHOLE`` rows), one task sorts a group: the buckets would cost more
+passes than they save.
+
 Quantiles read only the buckets that hold the wanted order statistics.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.staging import cut
 
 BUCKETS, MOST_BUCKETS = 16, 512
+#: Rows of a group that one task sorts; if any group has more, buckets are made.
+WHOLE = 1_000_000
+
+
+def small_groups(df: DataFrame, group: Sequence[str]) -> bool:
+    """Whether no group is too large for one task; only the sizes are computed."""
+    most = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0] or 0
+    return most <= WHOLE
+
+
+def grouped(df: DataFrame, group: Sequence[str], values: Sequence[str] = ()) -> DataFrame:
+    """Rows with a group and all values."""
+    return df.dropna(subset=[*group]).where(reduce(and_, [F.col(v).isNotNull() for v in values], F.lit(True)))
+
+
+def window_midrank(group: Sequence[str], value: str) -> Column:
+    """Mid-rank inside a small group: all columns that are ranked in a group share its partition."""
+    by = Window.partitionBy(*group).orderBy(value)
+    return (F.rank().over(by) + F.count(F.lit(1)).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / 2.0
+
+
+def with_midranks(df: DataFrame, group: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
+    """Rows that have all of the values, with the mid-rank of each among them (column: value)."""
+    df = grouped(df, group, [*columns.values()])
+    if small_groups(df, group):
+        return df.select("*", *[window_midrank(group, v).alias(c) for c, v in columns.items()])
+    ranked = df
+    for c, v in columns.items():
+        ranked = ranked.join(rank_table(df, group, v).select(*group, v, F.col("midrank").alias(c)), [*group, v])
+    return ranked
 
 
 def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -34,6 +69,10 @@ def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 
 
 def _binned(counts: DataFrame, group: Sequence[str], buckets: int) -> DataFrame:
+    if small_groups(counts, group):
+        total = F.sum("_n").over(Window.partitionBy(*group))
+        zero = F.lit(0).cast("bigint")
+        return grouped(counts, group).withColumn("_total", total).select("*", F.lit(0).alias("_b"), F.col("_total").alias("_bn"), zero.alias("_off"))
     # as many buckets as the cluster has tasks, so a group that holds most rows still meets all of them
     buckets = max(buckets, 2, min(MOST_BUCKETS, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     steps = [i / buckets for i in range(1, buckets)]
@@ -71,7 +110,17 @@ def rank_table(df: DataFrame, group: Sequence[str], value: str, buckets: int = B
 
 def with_midrank(df: DataFrame, group: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
     """Attach the mid-rank (WIN-05); rows with a null value drop out of the ranking and the result."""
-    return df.join(rank_table(df, group, value, buckets), [*group, value])
+    known = grouped(df, group, [value])
+    if not small_groups(known, group):
+        return df.join(rank_table(df, group, value, buckets), [*group, value])
+    by = Window.partitionBy(*group).orderBy(value)
+    up_to = F.count(F.lit(1)).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    keys = [*group, value]
+    ranked = known.select(
+        *keys, *[c for c in df.columns if c not in keys], (F.rank().over(by) - 1).cast("bigint").alias("n_lower"), up_to.alias("_up_to"), F.count(F.lit(1)).over(Window.partitionBy(*group)).alias("n_group"))
+    tied = F.col("_up_to") - F.col("n_lower")
+    return ranked.select(
+        *keys, *[c for c in df.columns if c not in keys], "n_lower", tied.alias("n_tied"), "n_group", (F.col("n_lower") + (tied + 1) / 2.0).alias("midrank"))
 
 
 def _pick(counts: DataFrame, group: Sequence[str], probs: Mapping[str, float], buckets: int) -> DataFrame:

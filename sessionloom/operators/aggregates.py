@@ -194,22 +194,17 @@ def unpivot(df: DataFrame, ids: list[str], columns: list[str], name: str = "fact
 
 def rank_ic(df: DataFrame, by: list[str], factor: str, target: str, minimum: int = 2) -> DataFrame:
     """AGG-17: Spearman with mid-ranks per group, from two distributed rankings."""
-    from sessionloom.functions.ranking import rank_table
+    from sessionloom.functions.ranking import with_midranks
 
-    both = df.where(F.col(factor).isNotNull() & F.col(target).isNotNull())
-    f = rank_table(both, by, factor).select(*by, factor, F.col("midrank").alias("_rf"))
-    g = rank_table(both, by, target).select(*by, target, F.col("midrank").alias("_rt"))
-    return both.join(f, [*by, factor]).join(g, [*by, target]).groupBy(*by).agg(*[
-        c.alias(a) for c, a in zip(pearson("_rf", "_rt", minimum), ("n_obs", "ic"))])
+    ranked = with_midranks(df.select(*by, factor, target), by, {"_rf": factor, "_rt": target})
+    return ranked.groupBy(*by).agg(*[c.alias(a) for c, a in zip(pearson("_rf", "_rt", minimum), ("n_obs", "ic"))])
 
 
 def partial_rank_ic(df: DataFrame, by: list[str], factor: str, target: str, control: str) -> DataFrame:
     """AGG-18: partial Spearman in closed form from three rank correlations."""
-    from sessionloom.functions.ranking import rank_table
+    from sessionloom.functions.ranking import with_midranks
 
-    d = df.where(F.col(factor).isNotNull() & F.col(target).isNotNull() & F.col(control).isNotNull())
-    for c, a in ((factor, "_x"), (target, "_y"), (control, "_z")):
-        d = d.join(rank_table(d, by, c).select(*by, c, F.col("midrank").alias(a)), [*by, c])
+    d = with_midranks(df.select(*by, factor, target, control), by, {"_x": factor, "_y": target, "_z": control})
     g = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_obs"), correlation("_x", "_y").alias("xy"), correlation("_x", "_z").alias("xz"), correlation("_y", "_z").alias("yz"))
     den = (1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz"))
     return g.select(*by, "n_obs", F.col("xy").alias("ic"), F.when(den > 1e-12, (F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt(den)).alias("partial_ic"))

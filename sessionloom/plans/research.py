@@ -30,17 +30,15 @@ def session_spearman(panel: DataFrame, factors: list[str], minimum: int) -> Data
     Ranks depend on which rows a pair shares, so each pair is a group of its own in one long table:
     all pairs are ranked in one pass.
     """
-    from sessionloom.functions.ranking import rank_table
+    from sessionloom.functions.ranking import with_midranks
     from sessionloom.operators.aggregates import pearson
 
     pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1:]]
     legs = F.array(*[F.struct(F.lit(f"{a}/{b}").alias("pair_id"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])
     tall = panel.select("session_ix", F.explode(legs).alias("_p")).select("session_ix", "_p.*").where("x is not null and y is not null")
     by = ["session_ix", "pair_id"]
-    rx = rank_table(tall, by, "x").select(*by, "x", F.col("midrank").alias("rx"))
-    ry = rank_table(tall, by, "y").select(*by, "y", F.col("midrank").alias("ry"))
     n, rho = pearson("rx", "ry", minimum)
-    per = tall.join(rx, [*by, "x"]).join(ry, [*by, "y"]).groupBy(*by).agg(n, rho.alias("rho"))
+    per = with_midranks(tall, by, {"rx": "x", "ry": "y"}).groupBy(*by).agg(n, rho.alias("rho"))
     return per.where(F.col("n_pairs") >= minimum)
 
 

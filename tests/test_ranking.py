@@ -61,3 +61,23 @@ def test_partitioning_does_not_change_ranks(panel):
     a = with_midrank(panel, ["g"], "x").select("g", "i", "midrank")
     b = with_midrank(panel.repartition(7, F.rand(3)), ["g"], "x").select("g", "i", "midrank")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_small_groups_and_buckets_agree(panel, monkeypatch):
+    """A small group is ranked by one sort, a larger one in buckets; both keep every row and drop a group without a key."""
+    from sessionloom.functions import ranking as R
+    from sessionloom.operators.aggregates import partial_rank_ic, rank_ic
+
+    df = panel.unionByName(panel.where("g = 1").withColumn("g", F.lit(None).cast("int"))).withColumns({"y": F.abs(F.col("x") - 1), "z": F.col("i") % 7.0})
+
+    def results():
+        ranks = R.with_midrank(df, ["g"], "x")
+        assert ranks.columns == ["g", "x", "i", "y", "z", "n_lower", "n_tied", "n_group", "midrank"]
+        return [sorted(map(tuple, d.collect())) for d in (ranks, quantiles(df, ["g"], "x", {"q": 0.3}), rank_ic(df.where("g in (0, 1)"), ["g"], "x", "y"), partial_rank_ic(df.where("g in (0, 1)"), ["g"], "x", "y", "z"))]
+
+    shuffles = R.with_midrank(df, ["g"], "x")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles == 1  # no table of ranks is joined back
+    small = results()
+    monkeypatch.setattr(R, "WHOLE", 3)
+    for a, b in zip(small, results()):
+        assert len(a) == len(b) and all(np.allclose(p, q) for p, q in zip(a, b))
