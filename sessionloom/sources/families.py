@@ -21,6 +21,8 @@ from pyspark.sql.types import StructType
 from sessionloom.functions.staging import cut
 from sessionloom.operators.aggregates import multiset_fingerprint
 
+#: Rows of a partition that one task sorts and writes as one file.
+FILE_ROWS = 250_000
 MANIFEST = "version long, publication string, partition string, n long, fingerprint string, schema_version string"
 
 
@@ -94,14 +96,16 @@ def plan(rows: DataFrame, root: str, family: Family) -> DataFrame:
 def stage(rows: DataFrame, todo: DataFrame, root: str, family: Family) -> str:
     """Write the partitions that ``todo`` lists, out of readers' sight; returns the publication's id.
 
-    Large partitions are split over tasks and small ones share a task.
+    Large partitions are split over tasks by their counted rows (a shuffle's bytes say little of rows that compress well), and small ones share a task.
     """
     publication = uuid.uuid4().hex
     typed = family.typed(rows)
-    listed = todo.select(*family.partitions).distinct()
-    fresh = typed.join(listed, on=[typed[k].eqNullSafe(listed[k]) for k in family.partitions], how="left_semi")
+    listed = todo.groupBy(*family.partitions).agg(F.ceil(F.max("n") / FILE_ROWS).alias("_slices"))
+    fresh = typed.join(listed, on=[typed[k].eqNullSafe(listed[k]) for k in family.partitions]).select(*[typed[c] for c in family.fields], "_slices")
     keys = [F.col(k) for k in family.partitions]
-    ordered = fresh.hint("rebalance", *keys).sortWithinPartitions(*keys, *family.identity)
+    tasks = max(1, -(-(todo.agg(F.sum("n")).first()[0] or 0) // FILE_ROWS))
+    dealt = fresh.withColumn("_slice", F.pmod(F.xxhash64(*family.identity), "_slices")).repartition(tasks, *keys, "_slice").drop("_slice", "_slices")
+    ordered = dealt.sortWithinPartitions(*keys, *family.identity)
     ordered.write.partitionBy(*family.partitions).parquet(f"{root}/{family.name}/data/publication={publication}")
     return publication
 

@@ -84,3 +84,15 @@ def test_invalid_rows_are_refused(spark, root):
     with pytest.raises(Exception):
         FT.publish(bad.drop("value"), root, LEDGER)
     assert FT.publish(bad.limit(0), root, LEDGER).count() == 0
+
+
+def test_large_partition_is_written_by_several_tasks(spark, root, monkeypatch):
+    """Rows that compress to little are dealt by their count, so no task sorts a whole partition."""
+    monkeypatch.setattr(FT, "FILE_ROWS", 100, raising=False)
+    df = rows(spark, [("a", 2001, i, 1.0, "y") for i in range(1000)] + [(None, 2002, i, 1.0, "y") for i in range(5)])
+    todo = FT.plan(df, root, LEDGER)
+    publication = FT.stage(df, todo, root, LEDGER)
+    back = spark.read.parquet(f"{root}/ledger/data/publication={publication}")
+    assert back.count() == 1005 and back.select("id").distinct().count() == 1000
+    sizes = [r["count"] for r in back.where("year = 2001").groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 3 and max(sizes) < 500
