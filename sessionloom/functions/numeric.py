@@ -86,10 +86,10 @@ def joined(codes: Column) -> Column:
 
 def sorted_middle(values: Column) -> Column:
     """Exact median of a short array (a bounded window frame)."""
-    s = F.array_sort(values)
-    n = F.size(s)
-    hi = F.element_at(s, (F.floor(n / 2) + 1).cast("int"))
-    lo = F.element_at(s, F.greatest(F.floor((n + 1) / 2), F.lit(1)).cast("int"))
+    s = F.sort_array(F.array_compact(values))  # array_sort would call a comparator for each pair; nulls count and come last
+    n = F.size(values)
+    hi = F.get(s, F.floor(n / 2).cast("int"))
+    lo = F.get(s, (F.greatest(F.floor((n + 1) / 2), F.lit(1)) - 1).cast("int"))
     return F.when(n > 0, (lo + hi) / 2.0)
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,7 @@ STAGES = ("none", "watch", "prepare", "enter", "invalidated")
 START = (None, None, 0, 0, 0)  # stage, pending rule, pending count, missing sessions, sessions in stage
 FIELDS = ["session_ix", "stage", "pending_rule", "pending_count", "status", "stage_count", "confidence"]
 SCHEMA = "instrument_id long, session_ix int, stage string, pending_rule string, pending_count int, status string, stage_count int, confidence double"
+TYPES = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.float64()]
 
 
 def known() -> Column:
@@ -91,14 +95,18 @@ def stage_history(facts: DataFrame, first: int, last: int, price_floor: float, l
     keys = facts.select("instrument_id").distinct().withColumn("session_ix", F.explode(F.sequence(F.lit(first), F.lit(last))))
     grid = keys.join(asked.withColumn("known", F.lit(True)), ["instrument_id", "session_ix"], "left")
 
-    def per_key(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = START, []
-        for row in pdf.sort_values("session_ix").itertuples(index=False):
-            rules = {s: (r if isinstance(r := getattr(row, f"from_{s}"), str) else None) for s in STAGES} if row.known is True or row.known == True else None  # noqa: E712
-            state, record = session(state, rules, row.confidence)
-            out.append((row.session_ix, *record))
-        frame = pd.DataFrame(out, columns=FIELDS)
-        frame.insert(0, "instrument_id", pdf.instrument_id.iloc[0])
-        return frame
-
-    return grid.groupBy("instrument_id").applyInPandas(per_key, SCHEMA)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # instruments follow each other, each in the order of its sessions; the state goes on into the next batch
+        state, current = START, ()
+        for batch in batches:
+            ids, ixs, confidences, seen, *asked_for = (batch.column(c).to_pylist() for c in ("instrument_id", "session_ix", "confidence", "known", *[f"from_{s}" for s in STAGES]))
+            out = []
+            for instrument, ix, confidence, there, *wanted in zip(ids, ixs, confidences, seen, *asked_for):
+                if (instrument,) != current:
+                    state, current = START, (instrument,)
+                state, record = session(state, dict(zip(STAGES, wanted)) if there else None, math.nan if confidence is None else confidence)
+                out.append((ix, *record))
+            columns = [ids, *(zip(*out) if out else [()] * len(FIELDS))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t, from_pandas=True) for c, t in zip(columns, TYPES)], ["instrument_id", *FIELDS])
+
+    return grid.repartition("instrument_id").sortWithinPartitions("instrument_id", "session_ix").mapInArrow(walk, SCHEMA)

@@ -102,3 +102,34 @@ def test_correlation_of_a_constant_is_null(spark):
     assert got[1] == (5, None) and got[3] == (1, None) and abs(got[2][1] - 0.9589266) < 1e-6
     ics = {r.g: r.ic for r in rank_ic(df, ["g"], "a", "b").collect()}
     assert ics[1] is None and abs(ics[2] - 1) < 1e-9
+
+
+def test_sorted_middle_with_nulls(spark):
+    from sessionloom.functions.numeric import sorted_middle
+
+    df = spark.createDataFrame([([3.0, 1.0, 2.0],), ([4.0, 1.0, 2.0, 3.0],), ([1.0, None, 2.0],), ([None, 1.0],), ([None],), ([],), (None,)], "a array<double>")
+    assert [r.m for r in df.select(sorted_middle(F.col("a")).alias("m")).collect()] == [2.0, 2.5, 2.0, None, None, None, None]
+    assert "array_sort" not in df.select(sorted_middle(F.col("a")).alias("m"))._jdf.queryExecution().toString().replace("sort_array", "")
+
+
+def test_stage_fold_over_batches(spark):
+    """The fold's state crosses Arrow batches and starts anew with each instrument; a null instrument is a group."""
+    from sessionloom.streaming.stages import START, session, stage_history
+
+    facts = [(k, ix, 60.0 if (k or 0) % 2 else 40.0, 0.5 if ix % 5 else None, 900.0, 1e6, 60.0, 60.0, 60.0, False, False, "balanced") for k in (1, 2, 3, None) for ix in range(1, 30) if (ix + (k or 0)) % 4]
+    df = spark.createDataFrame(facts, "instrument_id long, session_ix int, score double, confidence double, price double, median_dv double, rs double, trend double, alignment double, anomaly boolean, breakout boolean, regime string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(map(tuple, stage_history(df, 1, 30, 500.0, 1e5).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 120 and {r[0] for r in got} == {1, 2, 3, None}
+    state, want = START, []
+    for ix in range(1, 31):
+        there = ix < 30 and (ix + 1) % 4
+        clear = bool(ix % 5)
+        rules = {"none": "not_listed_to_watch" if clear else None, "watch": None, "prepare": None, "enter": None, "invalidated": "invalidated_to_watch"} if there else None
+        state, record = session(state, rules, 0.5 if clear else float("nan"))
+        want.append((1, ix, *record))
+    same = lambda a, b: a == b or (a is None and b != b)
+    assert all(same(x, y) for a, b in zip(got[:30], want) for x, y in zip(a, b))
