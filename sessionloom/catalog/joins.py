@@ -102,9 +102,8 @@ def filing_states(t):
  select g.cik, cast(g.session_ix as bigint) as session_ix, k.accession, k.session_ix is null as absent from g asof left join k on k.cik=g.cik and k.session_ix<=g.session_ix""")
 def _(t):
     first, last = session_range(t)
-    grid = t.customer.select(F.col("c_custkey").alias("cik"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("session_ix"))
     states = filing_states(t).withColumn("_at", F.struct("available_at", "accession"))
-    out = J.asof_by_session(states, grid, "cik", "_at", ["accession"])
+    out = J.asof_by_span(states, t.customer.select(F.col("c_custkey").alias("cik")), "cik", "_at", ["accession"], first, last)
     return out.select("cik", F.col("session_ix").cast("bigint").alias("session_ix"), "accession", F.col("accession").isNull().alias("absent"))
 
 

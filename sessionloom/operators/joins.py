@@ -62,6 +62,26 @@ def asof_by_session(states: DataFrame, grid: DataFrame, key: str, ts: str, colum
     return filled.select(key, "session_ix", *[F.col(f"_last.{c}").alias(c) for c in (ts, *columns)])
 
 
+def asof_by_span(states: DataFrame, keys: DataFrame, key: str, ts: str, columns: Sequence[str], first: int, last: int) -> DataFrame:
+    """The same for every session from ``first`` to ``last`` of each row of ``keys``.
+
+    A state holds from its session to the one before the next state's, so only states are sorted; sessions are written out
+    afterwards, without a shuffle. A state without a session precedes all others.
+    """
+    before, unknown = -(2**40), -(2**40) + 1
+    known = states.groupBy(key, "session_ix").agg(F.max_by(F.struct(ts, *columns), ts).alias("_s"))
+    known = known.select(key, F.coalesce(F.col("session_ix").cast("bigint"), F.lit(unknown)).alias("_from"), "_s", F.lit(None).cast("bigint").alias("_rows"))
+    # a state that is null leaves the one before in force
+    start = keys.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).select(key, F.lit(before).cast("bigint").alias("_from"), F.lit(None).cast(known.schema["_s"].dataType).alias("_s"), "_rows")
+    by = Window.partitionBy(key)
+    spans = known.where("_s is not null").unionByName(start).select(
+        key, "_s", F.greatest("_from", F.lit(first)).alias("_a"), F.least(F.lead("_from").over(by.orderBy("_from")) - 1, F.lit(last)).alias("_z"), F.max("_rows").over(by).alias("_rows"))
+    spans = spans.where("_rows is not null and _a <= _z")
+    sessions = F.sequence(F.col("_a").cast("int"), F.col("_z").cast("int"))
+    each = F.when(F.col("_rows") == 1, sessions).otherwise(F.flatten(F.array_repeat(sessions, F.col("_rows").cast("int"))))
+    return spans.select(key, F.explode(each).alias("session_ix"), *[F.col(f"_s.{c}").alias(c) for c in (ts, *columns)])
+
+
 def next_session_lookup(sessions: DataFrame, day: str, open_utc: str) -> DataFrame:
     """One row per calendar day: the first session opening on or after it, and the one after that.
 

@@ -104,6 +104,20 @@ def test_correlation_of_a_constant_is_null(spark):
     assert ics[1] is None and abs(ics[2] - 1) < 1e-9
 
 
+def test_asof_by_span_equals_the_grid(spark):
+    """States written out as spans equal the search over the whole grid: repeated and null keys, states before, after and without a session."""
+    from sessionloom.operators import joins as J
+
+    states = spark.createDataFrame([(1, 3, 30, "a"), (1, 3, 31, "b"), (1, 5, 50, "c"), (1, 99, 990, "d"), (2, -4, 1, "e"), (2, None, 0, "f"), (3, 4, 40, "g"), (None, 2, 20, "h"), (4, None, 7, "i"), (6, 4, None, "j")],
+                                   "k int, session_ix int, at int, v string")
+    keys = spark.createDataFrame([(1,), (2,), (2,), (None,), (4,), (5,), (6,)], "k int")
+    grid = keys.select("k", F.explode(F.sequence(F.lit(2), F.lit(7))).alias("session_ix"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = J.asof_by_session(states, grid, "k", "at", ["v"])
+    got = J.asof_by_span(states, keys, "k", "at", ["v"], 2, 7)
+    assert got.columns == want.columns and rows(got) == rows(want) and got.count() == 42
+
+
 def test_sorted_middle_with_nulls(spark):
     from sessionloom.functions.numeric import sorted_middle
 
