@@ -39,22 +39,28 @@ def outcomes(bars: DataFrame, benchmark: DataFrame, evidence_ratio: float) -> Da
     b = b.join(market.where(c("_far") - c("session_ix") == far).drop("_far"), "session_ix", "left")
 
     def label(h: int) -> Column:
-        end = c("session_ix") + h
-        entry = F.get(F.filter("near", lambda x: x["session_ix"] == c("session_ix") + 1), F.lit(0))["open"]
-        inside = F.filter("near", lambda x: x["session_ix"] <= end)
-        last = F.element_at(inside, -1)
-        then = F.coalesce(F.get(F.filter("near", lambda x: x["session_ix"] > end), F.lit(0)), c("after"))["close"]
+        entry, last, then = c("_entry"), c(f"_last{h}"), c(f"_then{h}")
         low, high = F.least(last["close"], then), F.greatest(last["close"], then)
-        traded = last["session_ix"] == end
+        traded = last["session_ix"] == c("session_ix") + h
         state = (F.when(entry.isNull(), STATES[4]).when(c(f"close{h}").isNull() | c("open1").isNull(), STATES[3]).when(traded, STATES[0]).when(then.isNull(), STATES[1]).when(high >= evidence_ratio * low, STATES[3]).otherwise(STATES[2]))
+        return state, F.when(traded | then.isNull(), last["close"]).otherwise(low), F.when(traded | then.isNull(), last["close"]).otherwise(high)
+
+    def fields(h: int) -> Column:
+        entry, state, known = c("_entry"), c(f"_state{h}"), c(f"_state{h}").isin(*NUMERIC)
         base = c(f"close{h}") / c("open1") - 1
-        lower, upper = F.when(traded | then.isNull(), last["close"]).otherwise(low) / entry - 1, F.when(traded | then.isNull(), last["close"]).otherwise(high) / entry - 1
-        known = state.isin(*NUMERIC)
+        lower, upper = c(f"_lower{h}") / entry - 1, c(f"_upper{h}") / entry - 1
         return F.struct(F.lit(h).alias("horizon"), state.alias("state"), F.when(known, lower).alias("lower"), F.when(known, upper).alias("upper"), F.when(known, lower - base).alias("rel_lower"), F.when(known, upper - base).alias("rel_upper"),
-                        F.when(known, F.array_max(F.transform(inside, lambda x: x["high"])) / entry - 1).alias("favourable"), F.when(known, F.array_min(F.transform(inside, lambda x: x["low"])) / entry - 1).alias("adverse"))
+                        F.when(known, c(f"_high{h}") / entry - 1).alias("favourable"), F.when(known, c(f"_low{h}") / entry - 1).alias("adverse"))
 
     b = b.withColumn("near", F.when(F.size("near") > 0, c("near")))  # an empty list has no last bar
-    return b.select("instrument_id", "session_ix", F.array(*[label(h) for h in HORIZONS]).alias("labels"))
+    # each list is gone through once: what several fields need is a column of an earlier step
+    ahead = lambda keep: F.get(F.filter("near", lambda x: keep(x["session_ix"])), F.lit(0))
+    b = b.withColumns({"_entry": ahead(lambda ix: ix == c("session_ix") + 1)["open"], **{f"_inside{h}": F.filter("near", lambda x: x["session_ix"] <= c("session_ix") + h) for h in HORIZONS},
+                       **{f"_then{h}": F.coalesce(ahead(lambda ix: ix > c("session_ix") + h), c("after"))["close"] for h in HORIZONS}})
+    b = b.withColumns({f"{name}{h}": x for h in HORIZONS for name, x in (
+        ("_last", F.get(f"_inside{h}", F.size(f"_inside{h}") - 1)), ("_high", F.array_max(F.transform(f"_inside{h}", lambda x: x["high"]))), ("_low", F.array_min(F.transform(f"_inside{h}", lambda x: x["low"]))))})
+    b = b.withColumns({f"{name}{h}": x for h in HORIZONS for name, x in zip(("_state", "_lower", "_upper"), label(h))})
+    return b.select("instrument_id", "session_ix", F.array(*[fields(h) for h in HORIZONS]).alias("labels"))
 
 
 def assigned(features: DataFrame, labels: DataFrame) -> DataFrame:
