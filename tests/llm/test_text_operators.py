@@ -547,6 +547,58 @@ def test_links_of_members_that_fail_all_leaders(spark):
     assert [got[d] for d, _ in docs] == [min(docs[j][0] for j in range(len(docs)) if want[j] == c) for c in want]
 
 
+def hot_group(rnd, size, edits):
+    """Copies of one text with a few words replaced from a small vocabulary."""
+    base = [f"w{rnd.randrange(9999)}" for _ in range(150)]
+    out = {}
+    for i in range(size):
+        words = base[:]
+        for at in rnd.sample(range(150), rnd.choice(edits)):
+            words[at] = f"v{rnd.randrange(30)}"
+        out[i] = words
+    return out
+
+
+def compared(spark, kinds, classes):
+    """Pairs that _across gives for contents of one bucket with equal sketches, and those of different classes that are alike."""
+    sets = {i: set(probminhash.shingles(probminhash.word_hashes(" ".join(w), probminhash.Words())).view(np.int64).tolist()) for i, w in kinds.items()}
+    members = spark.createDataFrame([(1, i, len(s), 0) for i, s in sets.items()], "h long, key long, n long, own long")
+    held = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "key long, set array<long>")
+    signs = spark.createDataFrame([(i, [0] * 80) for i in sets], "key long, signs array<tinyint>")
+    found = [tuple(r) for r in probminhash._across(members, spark.createDataFrame(list(classes.items()), "key long, `class` long"), held, signs).collect()]
+    assert len(found) == len(set(found))
+    return set(found), {(i, j) for i in sets for j in sets if i < j and classes[i] != classes[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+
+
+def test_pairs_of_a_hot_group_grow_with_its_size(spark):
+    """Copies that are too far from each other are not listed pair by pair, and no link between classes is left out."""
+    rnd = random.Random(31)
+    listed = []
+    for size in (150, 600):
+        kinds = hot_group(rnd, size, [4, 5, 6])
+        for i in range(0, size, 10):  # a copy of a copy, which only that one is like
+            kinds[i + 1] = kinds[i][:-1] + ["end"]
+        found, alike = compared(spark, kinds, {i: i for i in kinds})
+        assert alike <= found and len(alike) >= size // 10
+        listed.append(len(found))
+    assert listed[1] < 600 * 599 // 2 // 10
+
+
+@pytest.mark.parametrize("small", [2, 6])
+def test_groups_fall_apart_without_loss(spark, monkeypatch, small):
+    """Groups within groups: every link between given classes is found, at any size from which groups are split."""
+    monkeypatch.setattr(probminhash, "SMALL", small)
+    rnd = random.Random(small)
+    kinds = hot_group(rnd, 60, [0, 1, 2, 3, 4, 8])
+    base = kinds[0]
+    for i in range(60, 80):  # cut at the end
+        kinds[i] = base[: 150 - 6 * (i - 60)]
+    for i in range(80, 90):  # same shingles, and some of other texts
+        kinds[i] = kinds[i - 50] + [f"x{rnd.randrange(4)}" for _ in range(rnd.randrange(12))]
+    found, alike = compared(spark, kinds, {i: rnd.choice([i, i - i % 7]) for i in kinds})
+    assert len(alike) > 300 and alike <= found
+
+
 # token counts
 
 
