@@ -9,7 +9,7 @@ from sessionloom.catalog.filters import FACTS_SQL, LADDER_SQL, facts as filing_f
 from sessionloom.catalog.sqltext import MASTER, SPLITS, bars as B, cont, full, lag, lr, needs, ret, rows, sess
 from sessionloom.catalog.windows import _DOWN, _VS, _span, _versus
 from sessionloom.functions.numeric import rnd
-from sessionloom.functions.staging import cut
+from sessionloom.functions.staging import stored
 from sessionloom.operators import filters as P
 from sessionloom.operators import joins as J
 from sessionloom.operators import windows as W
@@ -22,11 +22,16 @@ ID = ["instrument_id", "session_ix"]
 IDS = "instrument_id, session_ix"
 
 
-def _scored(t):
-    stock = bars(t, grain="month")
+def stock_panel(t):
+    """Monthly bars of all stocks, stored once for all that a query derives from them."""
+    return stored(bars(t, grain="month").select(*ID, "open", "high", "low", "close", "volume"), "panel")
+
+
+def _scored(t, stock=None):
+    stock = stock_panel(t) if stock is None else stock
     r1 = W.add_returns(stock, lags=(1,)).where("r1 is not null")
     regime = r1.groupBy("session_ix").agg((F.avg((F.col("r1") > 0).cast("double")) * 100).alias("regime_score"))
-    return C.scores(C.facts(stock, bars(t, "type", "month"), bars(t, "market", "month"), regime))
+    return C.scores(C.facts(stock, bars(t, "type", "month"), bars(t, "market", "month"), regime), stock)
 
 
 def _n(c, k, lo, hi):
@@ -88,7 +93,7 @@ def _mode_sql(m):
 
 @query("job_16_risk_mode_lists", f"with {SCORE_SQL}, {MASTER} " + " union all ".join(_mode_sql(m) for m in MODES))
 def _(t):
-    s = cut(_scored(t).select(*ID, "base_score", "close", "median_dv", "rv10", "max_gap", "confidence")).join(master(t).select("instrument_id", "form", "exchange"), "instrument_id")
+    s = stored(_scored(t).select(*ID, "base_score", "close", "median_dv", "rv10", "max_gap", "confidence"), "scored").join(master(t).select("instrument_id", "form", "exchange"), "instrument_id")
     r = C.risk_lists(s, MODES, 45.0, 5.0, 100000.0, 0.4, CAPS)
     return r.select(*ID, "mode", F.col("rank").cast("bigint").alias("rank"), rnd("score", 5).alias("score"))
 

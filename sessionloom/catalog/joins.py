@@ -9,6 +9,7 @@ from sessionloom.catalog.core import R, query
 from sessionloom.catalog.filters import FACTS_SQL, ladder_input, LADDER_SQL
 from sessionloom.catalog.sqltext import FILINGS, I, MASTER, SPLITS, UNIVERSE, bars as B, lag, lr, ret
 from sessionloom.functions.numeric import joined, rnd
+from sessionloom.functions.staging import stored
 from sessionloom.operators import joins as J
 from sessionloom.operators import windows as W
 from sessionloom.sources.fixtures import bars, filings, master, session_index, session_range, splits, supplier_region, universe
@@ -223,7 +224,7 @@ def _(t):
  select s.instrument_id, s.session_ix, k.fund as driver, {R('k.cr')} as driver_corr, k.n as driver_obs from s left join k on k.instrument_id=s.instrument_id and k.session_ix=s.session_ix and rn=1""")
 def _(t):
     stock = W.add_log_return(bars(t, grain="month"))
-    legs = W.add_returns(W.add_log_return(bars(t, "type", "month")), lags=(5,))
+    legs = stored(W.add_returns(W.add_log_return(bars(t, "type", "month")), lags=(5,)), "legs")
     return J.best_partner(stock, legs, 20, 18, 0.35).select(*ID, "driver", rnd("driver_corr").alias("driver_corr"), "driver_obs")
 
 

@@ -24,7 +24,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.functions.staging import cut
+from sessionloom.functions.staging import cut, stored
 
 BUCKETS, MOST_BUCKETS = 16, 512
 #: Rows of a group that one task sorts; if any group has more, buckets are made.
@@ -61,10 +61,11 @@ def with_midranks(df: DataFrame, group: Sequence[str], columns: Mapping[str, str
 
 def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Distinct values with their counts, stored once: every later pass reads this table."""
-    return cut(
+    return stored(
         df.where(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n")),
+        "counts",
     )
 
 
@@ -123,6 +124,32 @@ def with_midrank(df: DataFrame, group: Sequence[str], value: str, buckets: int =
         *keys, *[c for c in df.columns if c not in keys], "n_lower", tied.alias("n_tied"), "n_group", (F.col("n_lower") + (tied + 1) / 2.0).alias("midrank"))
 
 
+def window_scores(df: DataFrame, group: Sequence[str], value: str, low: float, high: float) -> DataFrame:
+    """The columns of ``winsorised_scores`` beside each row of groups small enough for one task, null where the value is; all values share one partition."""
+    by, v, i, n = Window.partitionBy(*group), F.col(value), F.col("_i"), F.col("n_group")
+
+    def at(x: Column, p: float) -> Column:
+        h = (n - 1) * p
+        a, b = (F.max(F.when(i == k(h), x)).over(by) for k in (F.floor, F.ceil))
+        return a + (b - a) * (h - F.floor(h))
+
+    position = lambda x: (F.row_number().over(by.orderBy(F.asc_nulls_last(x))) - 1).alias("_i")
+    kept = df.columns
+    df = df.select(*kept, position(value), F.count(value).over(by).alias("n_group"))
+    df = df.select(*kept, "n_group", at(v, low).alias("_lo"), at(v, 0.5).alias("med"), at(v, high).alias("_hi"))
+    df = df.select(*kept, "n_group", "med", F.when(v.isNotNull(), F.least("_hi", F.greatest("_lo", value))).alias("w"))
+    df = df.select(*kept, "n_group", "med", "w", F.abs(F.col("w") - F.col("med")).alias("_d"))
+    df = df.select(*kept, "n_group", "med", "w", "_d", position("_d"))
+    return window_ties(df.select(*kept, "n_group", "med", "w", at(F.col("_d"), 0.5).alias("mad")), group, "w")
+
+
+def window_ties(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """n_tied and midrank of each row's value among those of its small group that are not null."""
+    before = F.rank().over(Window.partitionBy(*group).orderBy(F.asc_nulls_last(value))) - 1
+    df = df.select("*", before.alias("_lt"), F.count(F.lit(1)).over(Window.partitionBy(*group, value)).alias("n_tied"))
+    return df.withColumn("midrank", F.when(F.col(value).isNotNull(), F.col("_lt") + (F.col("n_tied") + 1) / 2.0)).drop("_lt")
+
+
 def _pick(counts: DataFrame, group: Sequence[str], probs: Mapping[str, float], buckets: int) -> DataFrame:
     binned = _binned(counts, group, buckets)
     lo = {k: F.floor((F.col("_total") - 1) * p) for k, p in probs.items()}
@@ -154,6 +181,34 @@ def quantiles(
     return _pick(value_counts(df, group, value), group, probs, buckets)
 
 
+def bracketed_quantile(df: DataFrame, group: Sequence[str], values: Mapping[str, str], p: float, slack: float = 0.01, accuracy: int = 200) -> DataFrame:
+    """Type 7 quantile (name: value) of several columns per group, null without values, from two passes over rows that should be stored.
+
+    A sketch gives each group a bracket around the wanted positions; then rows below it are counted and only values inside are shuffled. The counts
+    say whether the positions are inside, so the result is exact; should one bracket miss, all groups go through ``quantiles``.
+    """
+    edges = [F.percentile_approx(v, [max(0.0, p - slack), min(1.0, p + slack)], accuracy).alias(f"_e_{k}") for k, v in values.items()]
+    legs = F.array(*[F.struct(F.lit(k).alias("_name"), F.col(v).alias("_v"), F.get(f"_e_{k}", F.lit(0)).alias("_a"), F.get(f"_e_{k}", F.lit(1)).alias("_z")) for k, v in values.items()])
+    tall = df.select(*group, *values.values()).join(stored(df.groupBy(*group).agg(*edges), "edges"), [*group]).select(*group, F.inline(legs)).where("_v is not null")
+    side = F.when(F.col("_v") < F.col("_a"), -1).when(F.col("_v") > F.col("_z"), 1).otherwise(0)
+    by = [*group, "_name"]
+    counts = tall.groupBy(*by, side.alias("_side"), F.when(side == 0, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = stored(counts, "counts")
+    n = lambda *sides: F.coalesce(F.sum(F.when(F.col("_side").isin(*sides), F.col("_n"))), F.lit(0))
+    h = (F.col("_total") - 1) * p
+    sums = counts.groupBy(*by).agg(F.sum("_n").alias("_total"), n(-1).alias("_below"), n(-1, 0).alias("_upto")).select("*", F.floor(h).alias("_lo"), F.ceil(h).alias("_hi"))
+    sums = stored(sums, "sums")
+    if not sums.where("_lo < _below or _hi >= _upto").isEmpty():
+        parts = [quantiles(df, group, v, {k: p}).drop("n_group") for k, v in values.items()]
+        return reduce(lambda a, b: a.join(b, [*group], "left"), parts, df.select(*group).distinct())
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.where("_side = 0").join(sums, by).withColumn("_lt", F.col("_below") + before)
+    at = lambda x: F.max(F.when((F.col(x) >= F.col("_lt")) & (F.col(x) < F.col("_lt") + F.col("_n")), F.col("_v")))
+    a, b = at("_lo"), at("_hi")
+    found = placed.groupBy(*by).agg((a + (b - a) * (F.max(h) - F.max("_lo"))).alias("_q"))
+    return found.groupBy(*group).agg(*[F.max(F.when(F.col("_name") == k, F.col("_q"))).alias(k) for k in values])
+
+
 def nearest_rank(
     df: DataFrame, group: Sequence[str], value: str, probs: Mapping[str, float], buckets: int = BUCKETS
 ) -> DataFrame:

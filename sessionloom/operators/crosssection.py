@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Mapping
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.numeric import NORMAL_Q75, clip100
 from sessionloom.operators.aggregates import attach_one_row
-from sessionloom.functions.ranking import winsorised_scores, with_midrank
+from sessionloom.functions.ranking import window_scores, window_ties, winsorised_scores, with_midrank
 
 SESSION = ["session_ix"]
 
@@ -28,14 +32,36 @@ def robust_score(df: DataFrame, value: str, group=SESSION, out: str = "score",
     The score is a function of (session, value), so it is computed on distinct values and joined back once.
     """
     table = winsorised_scores(df, group, value, low, high)
-    pct = F.when(F.col("n_tied") == F.col("n_group"), 50.0).otherwise(
-        100.0 * (F.col("midrank") - 1) / (F.col("n_group") - 1))
-    score = F.when(F.col("mad") == 0, pct).otherwise(
-        clip100(50.0 + scale * NORMAL_Q75 * (F.col("w") - F.col("med")) / F.col("mad")))
-    table = table.select(*group, value, F.col("w").alias("winsorised"), score.alias(out))
+    table = table.select(*group, value, F.col("w").alias("winsorised"), _robust(scale).alias(out))
     return df.join(table, [*group, value])
 
 
+def _percentile() -> Column:
+    return F.when(F.col("n_tied") == F.col("n_group"), 50.0).otherwise(100.0 * (F.col("midrank") - 1) / (F.col("n_group") - 1))
+
+
+def _robust(scale: float) -> Column:
+    return F.when(F.col("mad") == 0, _percentile()).otherwise(clip100(50.0 + scale * NORMAL_Q75 * (F.col("w") - F.col("med")) / F.col("mad")))
+
+
+def small_cross_sections(df: DataFrame, robust: Mapping[str, str], percentiles: Mapping[str, str], group=SESSION,
+                         scale: float = 15.0, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """WIN-07 and WIN-06 of several columns (score: value) beside each row, for sessions that one task can sort.
+
+    One exchange by session serves all scores, and no score is joined back. A score is null where its value or a group column is.
+    """
+    whole = reduce(and_, [F.col(g).isNotNull() for g in group])
+    for out, value in robust.items():
+        kept = df.columns
+        df = window_scores(df, group, value, low, high)
+        df = df.select(*kept, F.when(whole & F.col(value).isNotNull(), _robust(scale)).alias(out))
+    for out, value in percentiles.items():
+        kept = df.columns
+        df = window_ties(df.withColumn("n_group", F.count(value).over(Window.partitionBy(*group))), group, value)
+        df = df.select(*kept, F.when(whole & F.col(value).isNotNull(), _percentile()).alias(out))
+    return df
+
+
 def rank_buckets(df: DataFrame, value: str, group=SESSION, n_buckets: int = 5, out: str = "bucket") -> DataFrame:
     """AGG-27: equal-count buckets from mid-ranks, so ties share a bucket."""
     ranked = with_midrank(df, list(group), value)

@@ -204,9 +204,10 @@ def best_partner(stock: DataFrame, legs: DataFrame, window: int, minimum: int, f
 
     ``stock`` and ``legs`` carry (session_ix, lr); the registry is fixed and small, so a stock row meets
     one row per fund.  Rolling sums give the correlation of shared observations in the window.
+    Stored legs are broadcast by their size, and one exchange by instrument serves windows and minimum.
     """
     by = Window.partitionBy("instrument_id", "fund").orderBy("session_ix").rangeBetween(-(window - 1), 0)
-    pair = stock.select("instrument_id", "session_ix", "lr").join(
+    pair = stock.select("instrument_id", "session_ix", "lr").repartition("instrument_id").join(
         legs.select(F.col("instrument_id").alias("fund"), "session_ix", F.col("lr").alias("flr"), "r5"), "session_ix")
     both = F.col("lr").isNotNull() & F.col("flr").isNotNull()
     x, y = F.when(both, F.col("lr")), F.when(both, F.col("flr"))

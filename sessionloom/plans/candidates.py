@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.numeric import declining_score, linear_score, log_linear_score, sorted_middle
-from sessionloom.functions.staging import cut
+from sessionloom.functions.ranking import small_groups
+from sessionloom.functions.staging import cut, stored
 from sessionloom.operators import windows as W
-from sessionloom.operators.crosssection import percentile_0_100, robust_score
+from sessionloom.operators.crosssection import SESSION, percentile_0_100, robust_score, small_cross_sections
 from sessionloom.operators.filters import risk_rejections
 from sessionloom.operators.joins import best_partner
 from sessionloom.operators.topk import capped_selection
@@ -19,7 +20,12 @@ CROSS = {"s_driver_rel5": "driver_rel5", "s_stock_driver5": "stock_driver5", "s_
 
 
 def facts(stock: DataFrame, legs: DataFrame, market: DataFrame, regime: DataFrame) -> DataFrame:
-    """JOB-14: raw metrics of every bar in one window pass, plus the best registered fund as driver."""
+    """JOB-14: raw metrics of every bar in one window pass, plus the best registered fund as driver.
+
+    What has a row per session is stored, so its size decides whether it is broadcast. An instrument's drivers travel as a map by session,
+    no longer than the calendar: both sides stay dealt by instrument.
+    """
+    legs, market, regime = stored(legs, "legs"), stored(market, "market"), stored(regime, "regime")
     b = W.versus_benchmark(stock, market)
     b = W.relative_strength(W.add_returns(b), windows=(5, 20))
     b = W.max_drawdown(W.trailing_means(b), 6)
@@ -35,18 +41,30 @@ def facts(stock: DataFrame, legs: DataFrame, market: DataFrame, regime: DataFram
     funds = W.add_returns(W.add_log_return(legs), lags=(5,))
     drv = best_partner(W.add_log_return(stock), funds, 20, 18, 0.35)
     f5 = funds.select(F.col("instrument_id").alias("driver"), "session_ix", F.col("r5").alias("f5"))
-    b = b.join(drv, ID, "left").join(f5, ["driver", "session_ix"], "left").join(regime, "session_ix", "left")
+    one = F.struct("driver", "driver_corr", "driver_obs")
+    drv = drv.dropna(subset=ID).where("driver is not null").groupBy("instrument_id").agg(F.map_from_entries(F.collect_list(F.struct("session_ix", one))).alias("_drivers"))
+    b = b.join(drv, "instrument_id", "left").withColumn("_d", F.try_element_at("_drivers", F.col("session_ix"))).select("*", "_d.*").drop("_drivers", "_d")
+    b = b.join(f5, ["driver", "session_ix"], "left").join(regime, "session_ix", "left")
     return b.select("*", (F.col("f5") - F.col("m5")).alias("driver_rel5"), (F.col("r5") - F.col("f5")).alias("stock_driver5"), F.col("regime_score").alias("n_regime"))
 
 
-def scores(f: DataFrame) -> DataFrame:
-    """JOB-15: seven components; each needs all its metrics, the total needs 80 of 100 weight."""
+def cross_scores(f: DataFrame, counted: DataFrame) -> DataFrame:
+    """Facts with their scores among those of the session; the rows of ``counted`` per session say whether one task may sort them."""
+    if small_groups(counted, SESSION):
+        kept, given = f.columns, F.col("instrument_id").isNotNull()  # an instrument without id counts but has no score
+        made = small_cross_sections(f, CROSS, {"p_r20": "r20"})
+        return made.select(*kept, *[F.when(given, F.col(k)).alias(k) for k in (*CROSS, "p_r20")])
     f = cut(f)
     tall = f.select(*ID, F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(c).alias("x")) for k, c in CROSS.items()])).alias("_e")).select(*ID, "_e.*")
     tall = robust_score(tall.where("x is not null"), "x", ["session_ix", "metric"])
     wide = tall.groupBy(*ID).pivot("metric", list(CROSS)).agg(F.max("score"))
     pct = percentile_0_100(f.where("r20 is not null").select(*ID, "r20"), "r20", out="p_r20").select(*ID, "p_r20")
-    df = f.join(wide, ID, "left").join(pct, ID, "left")
+    return f.join(wide, ID, "left").join(pct, ID, "left")
+
+
+def scores(f: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """JOB-15: seven components; each needs all its metrics, the total needs 80 of 100 weight. ``counted`` has as many rows per session as the facts."""
+    df = cross_scores(f, f if counted is None else counted)
     kinds = {"linear": linear_score, "declining": declining_score, "log": log_linear_score}
     df = df.select("*", *[kinds[k](c, lo, hi).alias(n) for n, (c, k, lo, hi) in NORMALISERS.items()])
     comps = []

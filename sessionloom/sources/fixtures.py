@@ -30,7 +30,7 @@ def session_range(t, grain: str = "week") -> tuple[int, int]:
 
 def _bar_columns() -> list[Column]:
     px = (F.col("l_extendedprice") / F.col("l_quantity")).alias("px")
-    trade = F.struct(*[F.col(c) for c in TRADE_ORDER], px)
+    trade = F.struct(*[F.col(c) for c in TRADE_ORDER])
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     return [
         F.min(trade).alias("first_trade"),
@@ -55,15 +55,19 @@ def _merge_columns() -> list[Column]:
     ]
 
 
+def _price(trade: str) -> Column:
+    return F.col(f"{trade}.l_extendedprice") / F.col(f"{trade}.l_quantity")
+
+
 def _finish(df: DataFrame, grain: str) -> DataFrame:
     return df.select(
         "instrument_id",
         "session_date",
         session_index(F.col("session_date"), grain).alias("session_ix"),
-        F.col("first_trade.px").alias("open"),
+        _price("first_trade").alias("open"),
         "high",
         "low",
-        F.col("last_trade.px").alias("close"),
+        _price("last_trade").alias("close"),
         "volume",
         (F.col("cents") / 100.0).alias("notional"),
         "trades",
@@ -101,13 +105,13 @@ def bars(t, entity: str = "supplier", grain: str = "week") -> DataFrame:
     """Bars of one kind of instrument.
 
     supplier = stock panel, market / region = broad benchmarks, type = sector funds, brand = dense long panel.
-    Broad bars merge the supplier bars, so line items are reduced before they meet a dimension.
+    Region bars merge the supplier bars, so line items are reduced before they meet a dimension; market bars need none, so each task sends one row per session.
     """
     if entity == "supplier":
         return _finish(_stock_parts(t, grain), grain)
     if entity == "market":
-        merged = _stock_parts(t, grain).groupBy(F.lit("MARKET").alias("instrument_id"), "session_date")
-        return _finish(merged.agg(*_merge_columns()), grain)
+        merged = t.lineitem.groupBy(F.lit("MARKET").alias("instrument_id"), session_start("l_shipdate", grain).alias("session_date"))
+        return _finish(merged.agg(*_bar_columns()), grain)
     if entity == "region":
         home = supplier_region(t).select(F.col("s_suppkey").alias("instrument_id"), "r_name")
         merged = (
