@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sessionloom.catalog.candidates import MODES, SCORE_SQL, _scored
+from sessionloom.catalog.candidates import MODES, SCORE_SQL, _scored, stock_panel
 from sessionloom.catalog.core import R, query
 from sessionloom.catalog.filters import RISK_SQL, risk_input
 from sessionloom.catalog.scalars import ASSUMPTIONS
 from sessionloom.catalog.sqltext import I, bars as B, cont, full, lag, lr, needs, ret, rows
 from sessionloom.functions import scalars as S
 from sessionloom.functions.numeric import rnd
-from sessionloom.functions.staging import cut
+from sessionloom.functions.staging import stored
 from sessionloom.params import entry as E
 from sessionloom.plans import entries as P
 from sessionloom.sources.fixtures import bars, master
@@ -45,8 +45,9 @@ _PARTS = ["stock_relative_strength", "trend_quality", "volume_participation", "v
 
 def reviewed(t):
     """Entry review of every scored bar."""
-    s = cut(_scored(t)).select(*ID, F.col("base_score").alias("score"), F.col("stock_relative_strength").alias("relative"), F.col("trend_quality").alias("trend"), *_PARTS, "driver", "median_dv", "rv10", "max_gap", "confidence", F.lit(False).alias("blocked"))
-    return P.entry_review(P.geometry_facts(bars(t, grain="month")).join(s, ID))
+    stock = stock_panel(t)
+    s = _scored(t, stock).select(*ID, F.col("base_score").alias("score"), F.col("stock_relative_strength").alias("relative"), F.col("trend_quality").alias("trend"), *_PARTS, "driver", "median_dv", "rv10", "max_gap", "confidence", F.lit(False).alias("blocked"))
+    return P.entry_review(P.geometry_facts(stock).join(s, ID))
 
 
 @query("job_18_entry_geometry", f"with {GEOMETRY_SQL} select {IDS}, available, extension, setup, posture, reason, lane, case when available then cast(run as int) end as up_run, " + ", ".join(f"{R(c, 8 if n == 'support' else 5)} as \"{n}\"" for n, c in _OUT.items()) + " from g7")
@@ -72,7 +73,7 @@ def _(t):
     c = F.col
     gates = {m: (c("score") >= 45) & (c("confidence") >= p["minimum_confidence"]) & (c("median_dv") >= p["minimum_median_dollar_volume"]) & (c("rv10") <= p["maximum_annualized_volatility"]) & (c("max_gap") <= p["maximum_absolute_open_gap"])
              for m, p in MODES.items() if m in SHARES}
-    return P.publication_lanes(cut(reviewed(t)), gates, SHARES).withColumn("rank", F.col("rank").cast("bigint"))
+    return P.publication_lanes(stored(reviewed(t).select(*ID, "lane", "driver", "score", "relative", "confidence", "median_dv", "rv10", "max_gap"), "reviewed"), gates, SHARES).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 _FACTS = ["net_return_10", "information_discreteness_10", "path_efficiency_10", "largest_share_10", "positive_share_10", "above_sma10_share_10", "sma10_slope_5_atr", "atr_5_to_14", "drawdown_20_atr", "low_vs_prior_5_atr", "high_vs_prior_5_atr",
@@ -126,11 +127,14 @@ def _channel_sql(name):
 CHANNEL_SQL = f"""{GEOMETRY_SQL}, tk as (select s_suppkey as instrument_id, s_name as ticker from supplier), g8 as (select *, coalesce(strong and {lag('strong', 1)}, false) as advanced from g7), ch as ({' union all '.join(map(_channel_sql, E.CHANNEL_WEIGHTS))})"""
 
 
+_ASSESSED = [*ID, "ticker", "available", "setup", "extension", "strong", "score", *_PARTS]
+
+
 @query("job_20_strategy_channels", f"""with {CHANNEL_SQL}, rk as (select {IDS}, channel, row_number() over (partition by session_ix, channel order by status, cs desc, ticker, instrument_id) as rank from ch join tk using (instrument_id) where status in ('advance_to_research','watch_for_trigger'))
  select ch.instrument_id, ch.session_ix, ch.channel, status, {R('cs', 6)} as channel_score, rank from ch left join rk on rk.instrument_id=ch.instrument_id and rk.session_ix=ch.session_ix and rk.channel=ch.channel""")
 def _(t):
     r = reviewed(t).join(master(t).select("instrument_id", "ticker"), "instrument_id")
-    return P.channels(cut(r)).select(*ID, "channel", "status", rnd("channel_score", 6).alias("channel_score"), "rank")
+    return P.channels(stored(r.select(*_ASSESSED), "reviewed")).select(*ID, "channel", "status", rnd("channel_score", 6).alias("channel_score"), "rank")
 
 
 @query("job_21_channel_overlap", f"""with {CHANNEL_SQL}, s as (select session_ix, instrument_id, {', '.join(f"bool_or(channel='{n}' and status in ('advance_to_research','watch_for_trigger')) as {n}" for n in E.CHANNEL_WEIGHTS)} from ch group by 1,2),
@@ -139,4 +143,4 @@ def _(t):
  select *, {R('case when n_union>0 then n_both/n_union else 0.0 end')} as jaccard, left_only=0 as left_in_right, right_only=0 as right_in_left from g""")
 def _(t):
     r = reviewed(t).join(master(t).select("instrument_id", "ticker"), "instrument_id")
-    return P.channel_overlap(P.channels(cut(r))).withColumn("jaccard", rnd("jaccard"))
+    return P.channel_overlap(P.channels(stored(r.select(*_ASSESSED), "reviewed"))).withColumn("jaccard", rnd("jaccard"))
