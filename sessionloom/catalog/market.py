@@ -13,17 +13,17 @@ from sessionloom.operators import windows as W
 from sessionloom.params.regime import DIMENSIONS
 from sessionloom.plans import market as M
 from sessionloom.sources.fixtures import bars, universe
-from sessionloom.functions.staging import cut
+from sessionloom.functions.staging import stored
 
 ID = ["instrument_id", "session_ix"]
 IDS = "instrument_id, session_ix"
 METRICS = {d: [m[0] for m in items] for d, (_, items) in DIMENSIONS.items()}
 
 
-def regime_metrics(t):
+def regime_metrics(t, stock=None):
     u = universe(t)
     total = u.agg(F.count(F.lit(1)).alias("n")).scalar()
-    own = M.member_metrics(cut(members(bars(t, grain="month"), u)), total, min_obs=10, min_positive=4)
+    own = M.member_metrics(stored(members(bars(t, grain="month") if stock is None else stock, u).select("instrument_id", "session_ix", "close", "volume"), "members"), total, min_obs=10, min_positive=4)
     return own.join(M.benchmark_metrics(bars(t, "region", "month"), bars(t, "market", "month"), 5, 3), "session_ix", "left")
 
 

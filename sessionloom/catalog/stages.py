@@ -6,17 +6,17 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from sessionloom.catalog.candidates import SCORE_SQL, _scored
+from sessionloom.catalog.candidates import SCORE_SQL, _scored, stock_panel
 from sessionloom.catalog.core import R, query
 from sessionloom.catalog.market import _composite_sql, regime_metrics
 from sessionloom.catalog.sqltext import bars as B, cont, lag, rows
 from sessionloom.catalog.streams import _FOLD
 from sessionloom.functions.numeric import rnd
-from sessionloom.functions.staging import cut
+from sessionloom.functions.staging import stored
 from sessionloom.operators import windows as W
 from sessionloom.operators.aggregates import attach_one_row
 from sessionloom.plans import market as M
-from sessionloom.sources.fixtures import bars, session_range
+from sessionloom.sources.fixtures import session_range
 from sessionloom.streaming import folds, stage_stream as SS
 from sessionloom.streaming.stages import stage_history
 
@@ -25,18 +25,18 @@ IDS = "instrument_id, session_ix"
 PRICE_FLOOR, LIQUIDITY_FLOOR = 500.0, 100000.0
 
 
-def market_states(t):
+def market_states(t, stock=None):
     """Confirmed market state per session (JOB-08)."""
-    c = M.composite(regime_metrics(t)).select(F.lit(1).cast("bigint").alias("universe_id"), "session_ix", F.col("regime_score").alias("score"))
+    c = M.composite(regime_metrics(t, stock)).select(F.lit(1).cast("bigint").alias("universe_id"), "session_ix", F.col("regime_score").alias("score"))
     return folds.state_history(c, *session_range(t, "month")).select("session_ix", F.col("confirmed").alias("regime"))
 
 
-def stage_facts(t):
+def stage_facts(t, stock):
     """What the stage machine asks of a bar: the candidate score and its parts (JOB-15), the break of the prior closes, a return that looks wrong."""
     c = F.col
-    up = W.add_returns(W.prior_extremes(bars(t, grain="month")), lags=(1,)).select(*ID, (c("close") > c("prior_high")).alias("up"), ((c("r1") >= 1.0) | (c("r1") <= -0.5)).alias("odd"))
+    up = W.add_returns(W.prior_extremes(stock), lags=(1,)).select(*ID, (c("close") > c("prior_high")).alias("up"), ((c("r1") >= 1.0) | (c("r1") <= -0.5)).alias("odd"))
     no = lambda x: F.coalesce(x, F.lit(False))
-    return _scored(t).join(up, ID).select(
+    return _scored(t, stock).join(up, ID).select(
         *ID, F.round("base_score", 6).alias("score"), "confidence", c("close").alias("price"), "median_dv", F.round("stock_relative_strength", 6).alias("rs"), F.round("trend_quality", 6).alias("trend"),
         F.round("market_alignment", 6).alias("alignment"), no(c("odd")).alias("anomaly"), no(c("up") & (c("participation") == 100)).alias("breakout"))
 
@@ -65,7 +65,8 @@ _STAGE = f"""{SCORE_SQL}, rgs as (with recursive {_composite_sql()}, d as (selec
 
 
 def _stages(t):
-    return stage_history(stage_facts(t).join(market_states(t), "session_ix", "left"), *session_range(t, "month"), PRICE_FLOOR, LIQUIDITY_FLOOR)
+    stock = stock_panel(t)
+    return stage_history(stage_facts(t, stock).join(stored(market_states(t, stock), "states"), "session_ix", "left"), *session_range(t, "month"), PRICE_FLOOR, LIQUIDITY_FLOOR)
 
 
 @query("str_03_candidate_stages", f"with recursive {_STAGE} select {IDS}, stage, pend as pending_rule, cnt as pending_count, status, held as stage_count, {R('conf')} as confidence from wk where session_ix>=(select min(session_ix) from ri)")
@@ -82,13 +83,14 @@ def _(t):
  select count(*) as n_append, count(*) as n_replay, cast(0 as bigint) as only_append, cast(0 as bigint) as only_replay, (select count(*) from ri where session_ix=(select min(session_ix)+2 from ri)) as n_late, count(*) filter (status='switched') as n_switched, count(distinct stage) as n_stages from w2""")
 def _(t):
     first, last = session_range(t, "month")
-    facts, states = cut(stage_facts(t)), cut(market_states(t).where("regime is not null"))
+    stock = stock_panel(t)
+    facts, states = stored(stage_facts(t, stock), "facts"), stored(market_states(t, stock).where("regime is not null"), "states")
     replay = stage_history(facts.join(states, "session_ix", "left"), first, last, PRICE_FLOOR, LIQUIDITY_FLOOR)
     listed = facts.groupBy("instrument_id").agg(F.min("session_ix").alias("_f"))
     replay = replay.join(listed, "instrument_id").where("session_ix >= _f")
     appended = SS.appended(facts, states, first, last, PRICE_FLOOR, LIQUIDITY_FLOOR)
     columns = [*ID, "stage", "pending_rule", "pending_count", "status", "stage_count", F.round("confidence", 9).alias("confidence")]
-    append, replay = cut(appended.where("not late").select(columns)), cut(replay.select(columns))
+    append, replay = stored(appended.where("not late").select(columns), "append"), stored(replay.select(columns), "replay")
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     parts = [count(append, "n_append"), count(replay, "n_replay"), count(append.exceptAll(replay), "only_append"), count(replay.exceptAll(append), "only_replay"), count(appended.where("late"), "n_late"),
              append.agg(F.count_if(F.col("status") == "switched").alias("n_switched"), F.countDistinct("stage").alias("n_stages"))]
