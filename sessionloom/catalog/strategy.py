@@ -13,7 +13,7 @@ from sessionloom.catalog.sqltext import UNIVERSE, bars as B, cont, lag, ret, row
 from sessionloom.catalog.stages import market_states
 from sessionloom.catalog.streams import _FOLD
 from sessionloom.functions.numeric import rnd
-from sessionloom.functions.staging import cut, shared_folder
+from sessionloom.functions.staging import cut, shared_folder, stored
 from sessionloom.operators import crosssection as X
 from sessionloom.operators import windows as W
 from sessionloom.params import strategy as PS
@@ -31,18 +31,21 @@ FLOORS = (60, 20, 10)
 def strategy_rows(t) -> DataFrame:
     """Signals and controls of the weekly panel under all combinations, with their split; months lag, so a week sees the state of the month before."""
     c = F.col
-    b = cut(bars(t))
-    a = W.average_true_range(b).select(*ID, "session_date", W.simple_return(5).alias("x"), (c("close") > W.lagged("close", 1)).alias("above_prior_close"), (c("close") > W.lagged("high", 1)).alias("above_prior_high"),
+    b = stored(bars(t).select(*ID, "session_date", "open", "high", "low", "close", "volume"), "weeks")
+    a = W.average_true_range(b).select(*ID, "session_date", "open", "high", "low", "close", W.simple_return(5).alias("x"), (c("close") > W.lagged("close", 1)).alias("above_prior_close"), (c("close") > W.lagged("high", 1)).alias("above_prior_high"),
                                        F.when(W.contiguous(6), (F.max("close").over(W.rows(5, 1)) - c("close")) / F.nullif("atr5_prior", F.lit(0.0))).alias("depth"), (c("volume") / W.lagged("volume", 1)).alias("volume_ratio"))
-    a = X.percentile_0_100(a.where("x is not null and depth is not null and volume_ratio is not null"), "x", out="rs")
-    plan = RS.split_plan(b.select("session_ix").distinct(), warmup=WARMUP, horizon=5, purge=5, embargo=5)
-    states = market_states(t).select(c("session_ix").alias("month_ix"), "regime")
-    a = a.withColumn("month_ix", session_index(F.trunc("session_date", "month"), "month") - 1).join(states, "month_ix", "left").join(plan.select("session_ix", "split", "usable"), "session_ix")
+    measured = ["session_date", "x", "depth", "above_prior_close", "above_prior_high", "volume_ratio"]
+    a = ST.outcomes(a, stored(bars(t, "market").select("session_ix", "open", "close"), "market"), EVIDENCE, measured)
+    a = stored(a.where("x is not null and depth is not null and volume_ratio is not null"), "measured")
+    a = X.percentile_0_100(a, "x", out="rs")
+    plan = stored(RS.split_plan(b.select("session_ix").distinct(), warmup=WARMUP, horizon=5, purge=5, embargo=5).select("session_ix", "split", "usable"), "plan")
+    states = stored(market_states(t).select(c("session_ix").alias("month_ix"), "regime"), "states")
+    a = a.withColumn("month_ix", session_index(F.trunc("session_date", "month"), "month") - 1).join(states, "month_ix", "left").join(plan, "session_ix").where("usable").dropna(subset=ID)
     a = a.join(universe(t).withColumn("member", F.lit(True)), "instrument_id", "left").withColumn("member", F.coalesce("member", F.lit(False)))
-    features = a.select(*ID, "split", "regime", "rs", "depth", "above_prior_close", "above_prior_high", "volume_ratio", "usable", "member")
-    labels = ST.outcomes(b, bars(t, "market"), EVIDENCE)
-    rows_ = ST.cohorts(features.where("usable").join(labels, ID)).where(c("role").isin("signal", "eligible_leader_control"))
-    return cut(rows_.select("split", "combo", (c("role") == "signal").alias("signal"), *ID, "regime", F.inline("labels")))
+    # an observation is stored once; its combinations and horizons are only spread where they are summed
+    observed = stored(a.select(*ID, "split", "regime", "rs", "depth", "above_prior_close", "above_prior_high", "volume_ratio", "usable", "member", "labels"), "observed")
+    rows_ = ST.cohorts(observed).where(c("role").isin("signal", "eligible_leader_control"))
+    return rows_.select("split", "combo", (c("role") == "signal").alias("signal"), *ID, "regime", F.inline("labels"))
 
 
 #: From ``b`` and ``mk`` to ``lb``: state and bounds of each bar and horizon.

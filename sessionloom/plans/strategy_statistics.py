@@ -8,11 +8,13 @@ go back to the rows, through exact distributed quantiles.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.numeric import ratio
-from sessionloom.functions.ranking import quantiles
+from sessionloom.functions.ranking import bracketed_quantile
 from sessionloom.functions.staging import cut
 from sessionloom.operators.aggregates import attach_one_row, chronological_halves
 from sessionloom.operators.windows import series
@@ -24,17 +26,18 @@ KEY = ["combo", "horizon"]
 CASE = [*KEY, "scenario"]
 
 
-def outcomes(bars: DataFrame, benchmark: DataFrame, evidence_ratio: float) -> DataFrame:
+def outcomes(bars: DataFrame, benchmark: DataFrame, evidence_ratio: float, keep: Sequence[str] = ()) -> DataFrame:
     """Per bar and horizon: state, bounds of the return and of the return over the benchmark's, excursions.
 
     Entry is the next session's open. A session that didn't trade at the horizon leaves the interval between the closes around it; with no later bar at all the last close is the
     reference. Closes that differ by ``evidence_ratio`` or more ask for evidence that isn't there.
+    Columns in ``keep`` stay beside the labels, so that they need not be joined to them.
     """
     c, far = F.col, max(HORIZONS)
     bar = F.struct("session_ix", "open", "high", "low", "close")
     # a bar of each of the next sessions, and the one after them, are among the next ``far + 1`` bars
-    b = bars.select("instrument_id", "session_ix", F.array_compact(F.array(*[F.lead(bar, k).over(series()) for k in range(1, far + 2)])).alias("next"))
-    b = b.select("instrument_id", "session_ix", F.filter("next", lambda x: x["session_ix"] <= c("session_ix") + far).alias("near"), F.get(F.filter("next", lambda x: x["session_ix"] > c("session_ix") + far), F.lit(0)).alias("after"))
+    b = bars.select("instrument_id", "session_ix", *keep, F.array_compact(F.array(*[F.lead(bar, k).over(series()) for k in range(1, far + 2)])).alias("next"))
+    b = b.select("instrument_id", "session_ix", *keep, F.filter("next", lambda x: x["session_ix"] <= c("session_ix") + far).alias("near"), F.get(F.filter("next", lambda x: x["session_ix"] > c("session_ix") + far), F.lit(0)).alias("after"))
     market = benchmark.select("session_ix", *[F.lead(x, k).over(Window.orderBy("session_ix")).alias(f"{x}{k}") for x, k in [("open", 1), *[("close", h) for h in HORIZONS]]], F.lead("session_ix", far).over(Window.orderBy("session_ix")).alias("_far"))
     b = b.join(market.where(c("_far") - c("session_ix") == far).drop("_far"), "session_ix", "left")
 
@@ -60,7 +63,7 @@ def outcomes(bars: DataFrame, benchmark: DataFrame, evidence_ratio: float) -> Da
     b = b.withColumns({f"{name}{h}": x for h in HORIZONS for name, x in (
         ("_last", F.get(f"_inside{h}", F.size(f"_inside{h}") - 1)), ("_high", F.array_max(F.transform(f"_inside{h}", lambda x: x["high"]))), ("_low", F.array_min(F.transform(f"_inside{h}", lambda x: x["low"]))))})
     b = b.withColumns({f"{name}{h}": x for h in HORIZONS for name, x in zip(("_state", "_lower", "_upper"), label(h))})
-    return b.select("instrument_id", "session_ix", F.array(*[fields(h) for h in HORIZONS]).alias("labels"))
+    return b.select("instrument_id", "session_ix", *keep, F.array(*[fields(h) for h in HORIZONS]).alias("labels"))
 
 
 def assigned(features: DataFrame, labels: DataFrame) -> DataFrame:
@@ -72,10 +75,12 @@ def assigned(features: DataFrame, labels: DataFrame) -> DataFrame:
 def _cells(rows: DataFrame) -> DataFrame:
     """One row per (combination, horizon, session): both roles' counts by state and sums of both bounds."""
     known = F.col("state").isin(*NUMERIC)
-    aggs = []
+    aggs, by = [], [*KEY, "session_ix"]
     for role, mine in (("s", F.col("signal")), ("c", ~F.col("signal"))):
         aggs += [F.count_if(mine).alias(f"{role}_assigned"), F.count_if(mine & known).alias(f"{role}_n"), *[F.sum(F.when(mine, F.col(x))).alias(f"{role}_{x}") for x in ("lower", "upper")], *[F.count_if(mine & (F.col("state") == s)).alias(f"{role}_{s}") for s in STATES]]
-    return cut(rows.groupBy(*KEY, "session_ix").agg(F.max("regime").alias("regime"), *aggs))
+    # a regime is a key first: the largest string has no fixed width, so taking it beside the sums would sort all rows
+    cells = rows.groupBy(*by, "regime").agg(*aggs)
+    return cut(cells.groupBy(*by).agg(F.max("regime").alias("regime"), *[F.sum(x).alias(x) for x in cells.columns[len(by) + 1:]]))
 
 
 def _bounds() -> Column:
@@ -86,30 +91,32 @@ def _bounds() -> Column:
 def _signals(rows: DataFrame) -> DataFrame:
     """Per (combination, horizon, bound): moments, wins and losses before and after costs, medians of the signals' returns."""
     both = F.array(F.struct(F.lit("lower").alias("bound"), F.col("lower").alias("x"), F.col("rel_lower").alias("rel")), F.struct(F.lit("upper").alias("bound"), F.col("upper").alias("x"), F.col("rel_upper").alias("rel")))
-    tall = cut(rows.where(F.col("signal") & F.col("state").isin(*NUMERIC)).select(*KEY, "favourable", "adverse", F.inline(both)))
+    signals = rows.where(F.col("signal") & F.col("state").isin(*NUMERIC))
+    tall = signals.select(*KEY, "favourable", "adverse", F.inline(both))
     by = [*KEY, "bound"]
     aggs = [F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.avg("favourable").alias("mean_favourable"), F.avg("adverse").alias("mean_adverse"), F.count("favourable").alias("n_excursions")]
     for bps in COSTS_BPS:
         net = F.col("x") - 2 * bps / 10000.0
         aggs += [F.count_if(net > 0).alias(f"wins_{bps}"), F.sum(F.when(net > 0, net)).alias(f"won_{bps}"), F.count_if(net < 0).alias(f"losses_{bps}"), F.sum(F.when(net < 0, net)).alias(f"lost_{bps}")]
     out = tall.groupBy(*by).agg(*aggs)
-    for x, name in (("x", "median"), ("rel", "median_relative")):
-        out = out.join(quantiles(tall, by, x, {name: 0.5}).drop("n_group"), by)
-    return out
+    ends = ("lower", "upper")
+    middle = bracketed_quantile(signals, KEY, {f"{x}{b}": f"{x}{b}" for x in ("", "rel_") for b in ends}, 0.5)
+    middle = middle.select(*KEY, F.inline(F.array(*[F.struct(F.lit(b).alias("bound"), F.col(b).alias("median"), F.col(f"rel_{b}").alias("median_relative")) for b in ends])))
+    return out.join(middle.where("median is not null and median_relative is not null"), by)
 
 
 def summaries(rows: DataFrame, floors: tuple[int, int, int], seed: str, replicates: int = REPLICATES, only_exact: bool = False) -> DataFrame:
     """One row per combination, horizon and scenario; ``floors`` are signals, paired sessions, signals per reported regime.
 
-    ``only_exact`` counts points only and has the one scenario ``all_lower``.
+    ``only_exact`` counts points only and has the one scenario ``all_lower``. ``rows`` are gone through a few times and not stored here:
+    what they are made of should be.
     """
     c = F.col
     if only_exact:
         rows = rows.withColumn("state", F.when(c("state") == "terminal_reference_interval", "unavailable_evidence").otherwise(c("state")))
         rows = rows.withColumn("lower", F.when(c("state").isin(*NUMERIC), c("lower")))
-    rows = cut(rows)
     cells = _cells(rows)
-    halves = chronological_halves(rows)
+    halves = chronological_halves(cells)
     cases = cells.join(halves, "session_ix").withColumn("_b", F.explode(_bounds())).select("*", "_b.*").drop("_b")
     if only_exact:
         cases = cases.where("scenario = 'all_lower'")
